@@ -29,8 +29,14 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_table(_table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity
+
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_packing, op5_token_files)}
+    return {f.__name__: f for f in (op1_simhash, op2_packing, op5_token_files, op8_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
