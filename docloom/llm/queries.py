@@ -35,8 +35,14 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import shards
+
+    return shards(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_packing, op5_token_files, op8_toxicity)}
+    return {f.__name__: f for f in (op1_simhash, op2_packing, op5_token_files, op8_toxicity, op9_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
