@@ -23,6 +23,12 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filter import judge
+
+    return judge(_table(spark, sf_dir, "pages"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_files import token_table
 
@@ -42,8 +48,10 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_packing, op5_token_files, op8_toxicity, op9_sharding)}
+    return {f.__name__: f for f in (op1_simhash, op2_packing, op4_url_filter, op5_token_files, op8_toxicity, op9_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import url_filter
+
+    return {"op4_url_filter": url_filter.SQL}
