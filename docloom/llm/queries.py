@@ -35,6 +35,12 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_table(_table(spark, sf_dir, "documents"))
 
 
+def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embeddings import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import toxicity
 
@@ -48,7 +54,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_packing, op4_url_filter, op5_token_files, op8_toxicity, op9_sharding)}
+    return {f.__name__: f for f in (op1_simhash, op2_packing, op4_url_filter, op5_token_files, op7_embeddings, op8_toxicity, op9_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
