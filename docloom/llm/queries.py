@@ -53,8 +53,14 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards(_table(spark, sf_dir, "documents"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contaminated
+
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_packing, op4_url_filter, op5_token_files, op7_embeddings, op8_toxicity, op9_sharding)}
+    return {f.__name__: f for f in (op1_simhash, op2_packing, op4_url_filter, op5_token_files, op7_embeddings, op8_toxicity, op9_sharding, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
