@@ -23,6 +23,12 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix import repeats
+
+    return repeats(_table(spark, sf_dir, "documents"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .url_filter import judge
 
@@ -60,7 +66,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_packing, op4_url_filter, op5_token_files, op7_embeddings, op8_toxicity, op9_sharding, op10_decontamination)}
+    return {f.__name__: f for f in (op1_simhash, op2_packing, op3_suffix_array, op4_url_filter, op5_token_files, op7_embeddings, op8_toxicity, op9_sharding, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
