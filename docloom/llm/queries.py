@@ -41,6 +41,12 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_table(_table(spark, sf_dir, "documents"))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import main_text
+
+    return main_text(_table(spark, sf_dir, "pages"))
+
+
 def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .embeddings import near_duplicates
 
@@ -66,7 +72,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_packing, op3_suffix_array, op4_url_filter, op5_token_files, op7_embeddings, op8_toxicity, op9_sharding, op10_decontamination)}
+    return {f.__name__: f for f in (op1_simhash, op2_packing, op3_suffix_array, op4_url_filter, op5_token_files, op6_html_text, op7_embeddings, op8_toxicity, op9_sharding, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
