@@ -277,9 +277,10 @@ def simhash_groups(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) ->
 
 
 def keep_first(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
-    """docs without all but the document of smallest doc_id in each component; of repeated rows one stays, and rows with a null doc_id stay."""
-    groups = simhash_groups(docs, width, radius)
+    """docs, all columns, with the document of smallest doc_id of each component; of repeated doc_ids one row stays, and rows with a null doc_id stay."""
+    groups = cut(simhash_groups(docs, width, radius), "groups")
     gone = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti")
-    known = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return known.unionByName(kept.where("doc_id is null"))
+    if groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return kept
+    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
