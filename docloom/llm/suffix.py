@@ -419,7 +419,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) -
     A document of which nothing is left goes; one that was null or empty before stays as it was.
     """
     others = [c for c in docs.columns if c not in ("text", "doc_id")]
-    rows = docs.select("doc_id", "text", F.struct(F.lit(1).alias("_"), *others).alias("others"))
+    rows = docs.select("doc_id", "text", F.struct(F.lit(0).alias("c"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others))).alias("others"))
 
     def of(raw, lows, highs):
         left, n, _ = remove(raw, lows, highs, length)
@@ -427,5 +427,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) -
 
     out = _finished(rows, length, crowd, ["doc_id", "others"], "text string, removed bigint", of, whole=True)
     out = out.where((F.coalesce("removed", F.lit(0)) == 0) | (F.col("text") != ""))
-    size = {"n_chars": F.when(F.col("removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("others.n_chars"))} if "n_chars" in others else {}
-    return out.select(*(c if c in ("doc_id", "text") else size.get(c, F.col("others")[c]).alias(c) for c in docs.columns))
+    held = {c: F.col("others")[f"c{i}"] for i, c in enumerate(others)}
+    if "n_chars" in held:
+        held["n_chars"] = F.when(F.col("removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(held["n_chars"])
+    return out.select(*(F.col(c) if c in ("doc_id", "text") else held[c].alias(c) for c in docs.columns))
