@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from .plans import queries as plans
 
-
-def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "n_chars")
+FLAGSHIP = plans.pdf_extract_runs
 
 
 def queries() -> dict:
-    return {}
+    return plans.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return plans.oracle_sql()
