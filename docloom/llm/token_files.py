@@ -185,8 +185,8 @@ def id_counts(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
         total = np.zeros(max(tool.size, end_id + 1), dtype=np.int64)
         for batch in batches:
             for part in text_batches(batch):
-                flat = b"".join(tool.encode(part.column("text").to_pylist()))
-                total += np.bincount(np.frombuffer(flat, dtype="<u4"), minlength=len(total))
+                flat, _ = tool.encode_flat(part.column("text").to_pylist())
+                total += np.bincount(flat, minlength=len(total))
                 total[end_id] += part.num_rows
         some = np.flatnonzero(total)
         if len(some):

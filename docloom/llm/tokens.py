@@ -1,10 +1,11 @@
 """Token ids of a public word-BPE vocabulary, many times faster than encoding text by text.
 
 The vocabulary (a tokenizers JSON file with end-of-word symbols) drops white space, so a text's ids
-are those of its blank-separated chunks in turn. Chunks are remembered; new ones of plain Latin
-letters, digits and signs are merged together by array operations, one merge in every word a round.
-Any other chunk (other scripts, controls, special tokens, very long runs) goes to the tokenizers
-library itself, so the ids are always the library's.
+are those of its blank-separated chunks in turn. All texts of a batch are cut into words by array
+operations; words are told apart by 64-bit hashes and remembered with their ids, and new ones are
+merged together, one merge in every word a round. Chunks with anything but plain Latin letters,
+digits and signs (other scripts, controls, apostrophes, special tokens, very long runs) go to the
+tokenizers library itself, so the ids are always the library's.
 """
 
 from __future__ import annotations
@@ -21,20 +22,20 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
 
 
 class WordEncoder:
-    """Texts to ids (little-endian uint32 bytes). limit: chunks remembered; only speed depends on it."""
+    """Texts to ids. limit: words remembered; only speed depends on it."""
 
     NONE = 1 << 30
     LONGEST = 48
-    BREAK = 0xFFFFFFFF
+    SPACE, LETTER, NUMBER, OTHER, ODD = range(5)
+    BASE = 0x2545F4914F6CDD1D
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 2_000_000):
         import numpy as np
-        import regex
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.np, self.limit, self.known = np, limit, {}
+        self.np, self.limit = np, limit
         self.library = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
@@ -51,11 +52,7 @@ class WordEncoder:
         suffix = model["model"]["end_of_word_suffix"] or ""
         self.inner = np.array([vocab[letters[b]] for b in range(256)], dtype=np.int32)
         self.last = np.array([vocab[letters[b] + suffix] for b in range(256)], dtype=np.int32)
-        # Fixed value: how the vocabulary file splits words (a line end is added: it parts the chunks).
-        self.pieces = regex.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-        self.plain = regex.compile(r"[\n\x21-\x7e\xa1-\u012f\u0131-\u024f]*")
-        self.start = {"\n": np.array([self.BREAK], dtype="<u4").tobytes()}
-        self.merged = dict(self.start)
+        self._tables()
 
     @staticmethod
     def _letters() -> dict[int, str]:
@@ -64,40 +61,169 @@ class WordEncoder:
         rest = [b for b in range(256) if b not in set(shown)]
         return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
+    def _tables(self) -> None:
+        """For code points below U+0250: the kind of character, and its lower case if that is as long in UTF-8."""
+        import unicodedata
+
+        np = self.np
+        kind, low = np.full(0x250, self.ODD, dtype=np.uint8), np.arange(0x250, dtype=np.int64)
+        for c in [*range(0x21, 0x7F), *range(0xA1, 0x250)]:
+            lower = chr(c).lower()
+            if c == ord("'") or len(lower) != 1 or len(lower.encode()) != len(chr(c).encode()):
+                continue
+            kind[c], low[c] = {"L": self.LETTER, "N": self.NUMBER}.get(unicodedata.category(chr(c))[0], self.OTHER), ord(lower)
+        kind[[0x20, 0x0A]] = self.SPACE
+        self.kind, self.low = kind, low
+        self.known_hash, self.known_at, self.known_n = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool = np.zeros(0, dtype=np.uint32)
+        base = np.uint64(self.BASE)
+        self.power, self.inverse = np.ones(1, np.uint64), np.ones(1, np.uint64)
+        self.bases = (base, np.uint64(pow(self.BASE, -1, 1 << 64)))
+
+    def _powers(self, n: int) -> None:
+        np = self.np
+        if len(self.power) < n:
+            with np.errstate(over="ignore"):
+                self.power, self.inverse = (np.cumprod(np.r_[np.uint64(1), np.full(n - 1, b)]) for b in self.bases)
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """A null text is an empty one."""
-        chunks = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        new = set().union(*chunks).difference(self.known) if chunks else set()
-        if new:
-            self._learn(list(new))
-        get = self.known.__getitem__
-        out = [b"".join(map(get, c)) for c in chunks]
-        if len(self.known) > self.limit:
-            self.known.clear()
-        return out
+        """Ids of each text as little-endian uint32 bytes. A null text is an empty one."""
+        flat, counts = self.encode_flat(texts)
+        raw, ends = flat.astype("<u4").tobytes(), self.np.cumsum(counts) * 4
+        return [raw[s:e] for s, e in zip([0, *ends[:-1].tolist()], ends.tolist())]
+
+    def encode_flat(self, texts: list[str | None], size: int = 1 << 20):
+        """(ids of all texts in turn, ids of each)."""
+        np = self.np
+        flats, counts, held, n = [np.zeros(0, dtype=np.uint32)], [np.zeros(0, dtype=np.int64)], [], 0
+        for text in texts:
+            held.append((text or "").encode())
+            n += len(held[-1]) + 1
+            if n >= size:
+                done = self._batch(held)
+                flats.append(done[0])
+                counts.append(done[1])
+                held, n = [], 0
+        if held:
+            done = self._batch(held)
+            flats.append(done[0])
+            counts.append(done[1])
+        return np.concatenate(flats), np.concatenate(counts)
+
+    def _batch(self, raws: list[bytes]):
+        np = self.np
+        raw = b"\n".join(raws) + b"\n"
+        b = np.frombuffer(raw, dtype=np.uint8)
+        n = len(b)
+        # Code points of one and two bytes; a second byte has its first one's kind, longer ones are odd.
+        kind = self.kind[np.where(b < 0x80, b, 0)]
+        low = b.copy()
+        ascii_capital = (b >= 65) & (b <= 90)
+        low[ascii_capital] += 32
+        high = np.flatnonzero(b >= 0x80)
+        if len(high):
+            kind[high] = self.ODD
+            lead = high[(b[high] >= 0xC2) & (b[high] <= 0xC9)]
+            code = (b[lead].astype(np.int64) & 0x1F) << 6 | b[lead + 1] & 0x3F
+            lead, code = lead[code < 0x250], code[code < 0x250]
+            kind[lead] = kind[lead + 1] = self.kind[code]
+            small = self.low[code]
+            low[lead], low[lead + 1] = 0xC0 | small >> 6, 0x80 | small & 0x3F
+        first = (b & 0xC0) != 0x80  # not the second byte of a character
+        new = np.empty(n, dtype=bool)
+        new[0] = True
+        np.not_equal(kind[1:], kind[:-1], out=new[1:])
+        new |= (kind == self.NUMBER) & first
+        space = kind == self.SPACE
+        # A chunk with an odd character is one word, left to the library; so is one with a very long word.
+        starts = np.flatnonzero(new)
+        ends = np.r_[starts[1:], n]
+        odd_at = np.flatnonzero(kind == self.ODD)
+        too_long = starts[(ends - starts > self.LONGEST) & ~space[starts]]
+        special = [i for x in self.special for i in self._finds(raw, x.encode())]
+        odd_at = np.unique(np.concatenate([odd_at, too_long, np.array(special, dtype=np.int64)]))
+        odd: list[tuple[int, int]] = []
+        if len(odd_at):
+            gaps = np.flatnonzero(space)
+            to = np.unique(np.searchsorted(gaps, odd_at))
+            begin, stop = np.where(to > 0, gaps[to - 1] + 1, 0), gaps[to]
+            odd = list(zip(begin.tolist(), stop.tolist()))
+            inside = np.zeros(n + 1, dtype=np.int8)
+            inside[begin] += 1
+            inside[stop] -= 1
+            inside = np.cumsum(inside[:-1], dtype=np.int8) > 0
+            new &= ~inside
+            new[begin] = new[stop] = True
+            starts = np.flatnonzero(new)
+            ends = np.r_[starts[1:], n]
+        word = ~space[starts]
+        starts, ends = starts[word], ends[word]
+        self._powers(n + 1)
+        with np.errstate(over="ignore"):
+            s = np.zeros(n + 1, dtype=np.uint64)
+            np.cumsum((low.astype(np.uint64) + np.uint64(1)) * self.power[:n], out=s[1:])
+            h = (s[ends] - s[starts]) * self.inverse[starts]
+            h = (h ^ h >> np.uint64(31)) * np.uint64(0x9FB21C651E98DF25)
+        if odd:  # hashes of their own, apart from words
+            at = np.searchsorted(starts, [o[0] for o in odd])
+            h[at] = self._odd([raw[x:y] for x, y in odd])
+        if not len(h):
+            return np.zeros(0, dtype=np.uint32), np.zeros(len(raws), dtype=np.int64)
+        distinct, one, which = np.unique(h, return_index=True, return_inverse=True)
+        place = self._place(distinct)
+        missing = np.flatnonzero(place < 0)
+        if len(missing):
+            text = low.tobytes()
+            words = [text[x:y] for x, y in zip(starts[one[missing]].tolist(), ends[one[missing]].tolist())]
+            self._remember(distinct[missing], self._merge(words))
+            place = self._place(distinct)
+        at, m = self.known_at[place], self.known_n[place]
+        m_all = m[which]
+        total = int(m_all.sum())
+        before = np.cumsum(m_all) - m_all
+        flat = self.pool[np.repeat(at[which] - before, m_all) + np.arange(total)]
+        sizes = np.fromiter(map(len, raws), dtype=np.int64, count=len(raws)) + 1
+        edge = np.searchsorted(starts, np.cumsum(sizes))
+        upto = np.r_[0, np.cumsum(m_all)][edge]
+        if len(self.known_hash) > self.limit:
+            self.known_hash, self.known_at, self.known_n, self.pool = self.known_hash[:0], self.known_at[:0], self.known_n[:0], self.pool[:0]
+        return flat, np.diff(np.r_[0, upto])
+
+    @staticmethod
+    def _finds(raw: bytes, what: bytes):
+        at = raw.find(what)
+        while at >= 0:
+            yield at
+            at = raw.find(what, at + 1)
+
+    def _place(self, h):
+        np = self.np
+        if not len(self.known_hash):
+            return np.full(len(h), -1)
+        at = np.minimum(np.searchsorted(self.known_hash, h), len(self.known_hash) - 1)
+        return np.where(self.known_hash[at] == h, at, -1)
+
+    def _remember(self, h, ids: list[bytes]) -> None:
+        np = self.np
+        n = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+        at = len(self.pool) + np.cumsum(n) - n
+        self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(ids), dtype="<u4").astype(np.uint32)])
+        every = np.concatenate([self.known_hash, h])
+        order = np.argsort(every, kind="stable")
+        self.known_hash, self.known_at, self.known_n = every[order], np.concatenate([self.known_at, at])[order], np.concatenate([self.known_n, n])[order]
+
+    def _odd(self, chunks: list[bytes]):
+        """Hashes of odd chunks, whose ids the library gives."""
+        from xxhash import xxh3_64_intdigest
 
-    def _learn(self, new: list[str]) -> None:
-        """Split all new chunks at once, merge the words not met before, and note each chunk's ids."""
         np = self.np
-        joined = "\n".join(new)
-        if not self.plain.fullmatch(joined) or max(map(len, new)) > self.LONGEST or "<" in joined:
-            odd = [c for c in new if not self.plain.fullmatch(c) or len(c) > self.LONGEST or "<" in c and any(x in c for x in self.special)]
-            for chunk in odd:
-                ids = self.library.encode(chunk, add_special_tokens=False).ids
-                self.known[chunk] = np.array(ids, dtype="<u4").tobytes()
-            new = list(set(new).difference(odd))
-            joined = "\n".join(new)
-        if not new:
-            return
-        pieces = self.pieces.findall(joined.lower())
-        words = list(set(pieces).difference(self.merged))
-        self.merged.update(zip(words, self._merge([w.encode() for w in words])))
-        flat = b"".join(map(self.merged.__getitem__, pieces))
-        ends = np.flatnonzero(np.frombuffer(flat, dtype="<u4") == self.BREAK) * 4
-        starts = [0, *(ends + 4).tolist()]
-        self.known.update((chunk, flat[s:e]) for chunk, s, e in zip(new, starts, [*ends.tolist(), len(flat)]))
-        if len(self.merged) > self.limit:
-            self.merged = dict(self.start)
+        h = np.array([xxh3_64_intdigest(c, 77) for c in chunks], dtype=np.uint64)
+        distinct, one = np.unique(h, return_index=True)
+        fresh = np.flatnonzero(self._place(distinct) < 0)
+        if len(fresh):
+            texts = [chunks[i].decode() for i in one[fresh].tolist()]
+            self._remember(distinct[fresh], [np.array(self.library.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts])
+        return h
 
     def _rank(self, a, b):
         """Place of the pair in the list of merges, NONE if it has none."""
