@@ -52,6 +52,13 @@ class CMap:
 
     def decode(self, raw: bytes) -> tuple[str, bool, int, int]:
         """(text, complete, units, mapped units): the longest code first, what no code fits is U+FFFD."""
+        if len(self.lengths) == 1:  # codes of one length need no search
+            k, get = self.lengths[0], self.map.get
+            parts = [get(raw[i : i + k]) for i in range(0, len(raw), k)]
+            lost = parts.count(None)
+            if not lost:
+                return "".join(parts), True, len(parts), len(parts)
+            return "".join("\ufffd" if p is None else p for p in parts), False, len(parts), len(parts) - lost
         out, at, units, mapped = [], 0, 0, 0
         least = min((len(a) for a, _ in self.spaces), default=self.lengths[-1] if self.lengths else 1)
         while at < len(raw):

@@ -186,8 +186,7 @@ class Observer:
                 size = abs(state["size"]) * math.hypot(m[2], m[3])
                 vertical = font is not None and font.vertical or abs(m[1]) > 1.5 * abs(m[0])
                 number = order + 1
-                glyphs = [f"glyph-{page.number}-{number}-{i + 1}" for i in range(len(clean))]
-                self.runs.append({"id": f"run-{page.number}-{number}", "content_order": order, "text": clean, "glyph_ids": glyphs, "encoding_kind": font.kind if font else "unknown", "mapping_source": font.kind if font else None, "writing_mode": "vertical" if vertical else "horizontal", "x": x, "y": y, "font_size": size, "starts_new_line": fresh_line, "font": ref, "stream": stream, "complete": complete})
+                self.runs.append({"id": f"run-{page.number}-{number}", "content_order": order, "text": clean, "glyph_count": len(clean), "encoding_kind": font.kind if font else "unknown", "mapping_source": font.kind if font else None, "writing_mode": "vertical" if vertical else "horizontal", "x": x, "y": y, "font_size": size, "starts_new_line": fresh_line, "font": ref, "stream": stream, "complete": complete})
                 self.gaps += not complete
                 mark("text", text=clean, run_id=f"run-{page.number}-{number}", x=x, y=y, stream=stream, paint="invisible" if state["mode"] == 3 else "shown")
                 order += 1
@@ -366,5 +365,10 @@ class Observer:
         return {"bbox": self._bounds(points) if points else None, "point_count": len(points), "closed": closed, "segments": segments}
 
 
+def glyph_ids(page_number: int, content_order: int, count: int) -> list[str]:
+    """The ids of a run's glyphs, which rows only count."""
+    return [f"glyph-{page_number}-{content_order + 1}-{i + 1}" for i in range(count)]
+
+
 def color_text(color) -> str:
     return f"{color[0]}({','.join(format_number(c) for c in color[1])})"

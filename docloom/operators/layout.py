@@ -99,21 +99,23 @@ def _rows_match(tall: list[list[float]], size: float) -> bool:
 
 def ordered(table: DataFrame) -> DataFrame:
     """lines and reading_order, from 0 on each page."""
+    from pyspark.sql.functions import arrow_udf
 
-    def run(batches):
+    @arrow_udf("array<int>")
+    def places(rows):
         import pyarrow as pa
 
-        for batch in batches:
-            keys, rows = batch.select(["doc_id", "page_number"]), batch.column("rows").to_pylist()
-            made = []
-            for page in rows:
-                order = page_order([r["x"] for r in page], [r["y"] for r in page], [r["font_size"] for r in page], [r["text"] for r in page], bool(page[0]["vertical"]))
-                made.append([r["line"] for r in (page[i] for i in order)])
-            yield pa.RecordBatch.from_arrays([*keys.columns, pa.array(made, pa.list_(pa.int32()))], names=["doc_id", "page_number", "order"])
+        made = []
+        for page in rows.to_pylist():
+            made.append(page_order([r["x"] for r in page], [r["y"] for r in page], [r["font_size"] for r in page], [r["text"] for r in page], bool(page[0]["vertical"])))
+        return pa.array(made, pa.list_(pa.int32()))
 
-    packed = table.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("line", "x", "y", "font_size", "text", "vertical"))).alias("rows"))
-    places = packed.mapInArrow(run, "doc_id bigint, page_number int, order array<int>").select(*PAGE, F.posexplode("order").alias("reading_order", "line"))
-    return table.join(places, [*PAGE, "line"])
+    own = [c for c in table.columns if c not in PAGE]
+    packed = table.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("line", *(c for c in own if c != "line")))).alias("rows"))
+    seen = F.transform("rows", lambda r: F.struct(r["x"].alias("x"), r["y"].alias("y"), r["font_size"].alias("font_size"), r["text"].alias("text"), r["vertical"].alias("vertical")))
+    packed = packed.withColumn("order", places(seen))
+    each = packed.select(*PAGE, F.posexplode(F.transform("order", lambda i: F.element_at("rows", i + 1))).alias("reading_order", "r"))
+    return each.select(*PAGE, *(F.col(f"r.{c}").alias(c) for c in own), "reading_order")
 
 
 def repeated_keys(table: DataFrame) -> DataFrame:
@@ -132,26 +134,36 @@ def body_font_sizes(table: DataFrame) -> DataFrame:
     return longer.groupBy(*PAGE).agg(F.median("font_size").alias("body_font_size"))
 
 
-def bands(table: DataFrame) -> DataFrame:
+def _bands(table: DataFrame) -> DataFrame:
     """table and `band`: header or footer for lines beyond the first wide gap near a page's edge, in no more than body size."""
-    fit = table.where("x is not null and y is not null")
-    down = by_page(F.desc("y"), "reading_order")
+    fit = F.col("x").isNotNull() & F.col("y").isNotNull()
+    down = by_page(F.desc_nulls_last(F.when(fit, F.col("y"))), "reading_order")
     whole = Window.partitionBy(*PAGE)
-    fit = fit.withColumn("_at", F.row_number().over(down)).withColumn("_n", F.count("*").over(whole)).withColumn("_size", F.coalesce(F.median("font_size").over(whole), F.lit(12.0)))
-    fit = fit.withColumn("_gap", F.col("y") - F.lead("y").over(down) > F.greatest(F.lit(22.0), F.col("_size") * 2.1))
-    small = F.coalesce("font_size", "_size") <= F.col("_size") * 1.12
+    out = table.withColumn("_at", F.row_number().over(down)).withColumn("_n", F.count_if(fit).over(whole)).withColumn("_size", F.coalesce(F.median(F.when(fit, F.col("font_size"))).over(whole), F.lit(12.0)))
+    out = out.withColumn("_gap", F.coalesce(fit & (F.col("y") - F.lead(F.when(fit, F.col("y"))).over(down) > F.greatest(F.lit(22.0), F.col("_size") * 2.1)), F.lit(False)))
+    small = fit & (F.coalesce("font_size", "_size") <= F.col("_size") * 1.12)
     top = F.min(F.when(F.col("_gap") & (F.col("_at") <= F.least(F.lit(2), F.col("_n") - 1)), F.col("_at"))).over(whole)
     bottom = F.max(F.when(F.col("_gap") & (F.col("_at") >= F.greatest(F.lit(1), F.col("_n") - 2)) & (F.col("_at") < F.col("_n")), F.col("_at"))).over(whole)
-    fit = fit.withColumn("_top", top).withColumn("_bottom", bottom)
+    out = out.withColumn("_top", top).withColumn("_bottom", bottom)
     band = F.when(F.col("_n") < 4, None).when(small & (F.col("_at") > F.col("_bottom")), "footer").when(small & (F.col("_at") <= F.col("_top")), "header")
-    return table.join(fit.select(*PAGE, "line", band.alias("band")), [*PAGE, "line"], "left")
+    return out.withColumn("band", band).drop("_at", "_n", "_size", "_gap", "_top", "_bottom")
 
 
 def roles(table: DataFrame) -> DataFrame:
-    """Ordered lines and role, role_confidence, method: list, repeated heading, header, footer, heading or body."""
-    keyed = bands(table).withColumn("key", T.boundary_key(F.col("text")))
-    repeated = repeated_keys(table).withColumn("repeated", F.lit(True))
-    rows = keyed.join(repeated, ["doc_id", "key"], "left").join(body_font_sizes(table), [*PAGE], "left")
+    """Ordered lines and role, role_confidence, method: list, repeated heading, header, footer, heading or body.
+
+    All evidence comes from windows over the same rows, so the runs below are made once: pages share one
+    partitioning, and only the repeated keys of a document need another.
+    """
+    whole = Window.partitionBy(*PAGE)
+    rank = F.row_number().over(by_page(F.desc(F.when(F.col("font_size").isNotNull(), F.length("text"))), "reading_order"))
+    rows = _bands(table).withColumn("_rank", rank).withColumn("_sized", F.count("font_size").over(whole))
+    half = (F.col("_rank") <= F.greatest(F.lit(1), F.ceil(F.col("_sized") / 2))) & F.col("font_size").isNotNull()
+    rows = rows.withColumn("body_font_size", F.median(F.when(half, F.col("font_size"))).over(whole))
+    edge = (F.row_number().over(by_page("reading_order")) <= 2) | (F.row_number().over(by_page(F.desc("reading_order"))) <= 2)
+    rows = rows.withColumn("key", T.boundary_key(F.col("text"))).withColumn("_edge", edge)
+    pages = F.size(F.collect_set(F.when(F.col("_edge") & F.col("key").isNotNull(), F.col("page_number"))).over(Window.partitionBy("doc_id", "key")))
+    rows = rows.withColumn("repeated", pages >= 2)
     ratio = F.when(F.col("body_font_size") > 0, F.coalesce("font_size", "body_font_size") / F.col("body_font_size")).otherwise(1.0)
     index, n = F.col("reading_order"), F.count("*").over(Window.partitionBy(*PAGE))
     following = F.lead("text").over(by_page("reading_order"))

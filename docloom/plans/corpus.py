@@ -42,6 +42,12 @@ SCHEMAS = {
 CATALOGS = ("metadata", "destination", "page_label", "structure", "annotation", "outline", "field", "attachment", "signature", "layer", "active", "finding")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in at least as many partitions as there are cores: a kernel's work is per document, whatever the files' splits."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def _box(b):
     return None if b is None else dict(zip(("x", "y", "width", "height"), b))
 
@@ -114,7 +120,7 @@ def _runs(doc: Document):
     for p, seen in _observed(doc):
         shown = {m["run_id"]: m["visibility"] for m in seen.marks if m["kind"] == "text"}
         for r in seen.runs:
-            yield {"page_number": p.number, "glyph_count": len(r["glyph_ids"]), "font_obj": r["font"].obj if r["font"] else None, "stream_obj": r["stream"].obj, "visibility": shown[r["id"]]} | {k: r[k] for k in ("id", "content_order", "text", "encoding_kind", "writing_mode", "x", "y", "font_size", "starts_new_line", "complete")}
+            yield {"page_number": p.number, "font_obj": r["font"].obj if r["font"] else None, "stream_obj": r["stream"].obj, "visibility": shown[r["id"]]} | {k: r[k] for k in ("id", "content_order", "text", "glyph_count", "encoding_kind", "writing_mode", "x", "y", "font_size", "starts_new_line", "complete")}
 
 
 def _marks(doc: Document):
@@ -152,7 +158,8 @@ class Corpus:
 
     def __init__(self, table: DataFrame, policy: Policy | None = None, passwords: tuple[str, ...] = ()):
         self.policy, self.passwords = policy or Policy(javascript="report", launch="report"), passwords
-        self.table = table.select("doc_id", "content", F.col("password") if "password" in table.columns else F.lit(None).cast("string").alias("password"))
+        table = table.select("doc_id", "content", F.col("password") if "password" in table.columns else F.lit(None).cast("string").alias("password"))
+        self.table = table if table.isStreaming else spread(table)
 
     def _rows(self, schema: str, of: Callable, whole: bool = False) -> DataFrame:
         policy, passwords = self.policy, self.passwords

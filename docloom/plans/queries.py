@@ -11,7 +11,7 @@ from ..operators import fragments as fr
 from ..operators import knowledge, layout
 from ..sources.crypto import PERMISSIONS
 from ..sources.store import Policy
-from .corpus import Corpus
+from .corpus import Corpus, spread
 from .tables import pdf_corpus, read, text_runs, turn_fragments
 
 QUERIES: dict = {}
@@ -159,7 +159,7 @@ def filters_round_trip(spark, sf_dir):
             columns = list(zip(*rows)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *(pa.array(c, pa.string()) for c in columns[1:])], names=["doc_id", "filter", "digest", "state"])
 
-    return read(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(run, "doc_id bigint, filter string, digest string, state string")
+    return spread(read(spark, sf_dir, "documents").select("doc_id", "text")).mapInArrow(run, "doc_id bigint, filter string, digest string, state string")
 
 
 # Features: R2-R8, J4, J5, O10, A7, C9, P2, P10, P12, T4, T18, I1, M5, S17
