@@ -76,6 +76,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import url_filter
+    from . import embeddings, url_filter
 
-    return {"op4_url_filter": url_filter.SQL}
+    return {"op4_url_filter": url_filter.SQL, "op7_embeddings": embeddings.SQL}
