@@ -202,6 +202,19 @@ def _truetype(font: bytes) -> dict[int, str]:
     return out
 
 
+# Character collections
+
+
+def japan1(cid: int) -> str | None:
+    """CIDs of the Japanese collection that follow a rule: ASCII, hiragana; and a few ideographs."""
+    if 1 <= cid <= 94:
+        return chr(cid + 31)
+    if 842 <= cid <= 924:
+        return chr(cid - 842 + 0x3041)
+    # Fixed values.
+    return {0x07A0: "語", 0x0CD4: "日", 0x0E8A: "本"}.get(cid)
+
+
 # Fonts of a page
 
 
@@ -212,6 +225,7 @@ class Font:
         get = lambda d, k: doc.resolve(d.get(k)) if isinstance(d, dict) else None
         self.composite = get(items, "Subtype") == "Type0"
         self.cmap = self.codes = self.glyphs = None
+        self.japanese = False
         self.vertical = False
         unicode = get(items, "ToUnicode")
         if isinstance(unicode, Stream) and (raw := doc.decoded(unicode)) is not None:
@@ -221,6 +235,8 @@ class Font:
             self.vertical = isinstance(named, Name) and named.endswith("-V")
             below = doc.array(items.get("DescendantFonts"))
             below = doc.dictionary(below[0]) if below else {}
+            system = doc.dictionary(below.get("CIDSystemInfo"))
+            self.japanese = (get(system, "Registry"), get(system, "Ordering")) == (b"Adobe", b"Japan1")
             file = get(doc.dictionary(below.get("FontDescriptor")), "FontFile2")
             if isinstance(file, Stream) and (raw := doc.decoded(file)) is not None:
                 glyphs, map_ = truetype_glyphs(raw), get(below, "CIDToGIDMap")
@@ -233,7 +249,7 @@ class Font:
             if isinstance(named, dict):
                 named = {k: doc.array(v) if k == "Differences" else doc.resolve(v) for k, v in named.items()}
             self.codes = encoding(named)
-        self.kind = "to-unicode" if self.cmap else "single-byte" if self.codes else "embedded" if self.glyphs else "unknown"
+        self.kind = "to-unicode" if self.cmap else "single-byte" if self.codes else "embedded" if self.glyphs else "collection" if self.japanese else "unknown"
 
     def decode(self, raw: bytes) -> tuple[str, bool]:
         """(text, all of it mapped)."""
@@ -243,7 +259,11 @@ class Font:
         if self.codes is not None:
             text = "".join(self.codes.get(b, "�") for b in raw)
             return text, "�" not in text
-        if self.glyphs:
-            text = "".join(self.glyphs.get(c, "�") for c in struct.unpack(f">{len(raw) // 2}H", raw[: len(raw) // 2 * 2]))
-            return text, "�" not in text
+        if self.glyphs or self.japanese:
+            cids = struct.unpack(f">{len(raw) // 2}H", raw[: len(raw) // 2 * 2])
+            embedded = [(self.glyphs or {}).get(c) for c in cids]
+            listed = [japan1(c) if self.japanese else None for c in cids]
+            # The one that maps more wins, the embedded font if both map as many.
+            best = listed if listed.count(None) < embedded.count(None) else embedded
+            return "".join("�" if t is None else t for t in best), None not in best
         return "".join(chr(b) if 32 <= b < 127 else "�" for b in raw), all(32 <= b < 127 for b in raw)

@@ -13,6 +13,8 @@ OPERATOR = re.compile(rb"[A-Za-z'\"][A-Za-z0-9*'\"]*")
 IMAGE_END = re.compile(rb"[\x00\t\n\x0c\r ]EI(?=[\x00\t\n\x0c\r ]|$)")
 CONTROL = re.compile(r"[\x00-\x1f\x7f-\x9f]")
 SPACE_GAP = -120  # thousandths of the font size: a move this far left between shown strings is a blank
+# Characters at a seam that keep it closed.
+SHUT_BEFORE, SHUT_AFTER = "-'/(", "-'),.:;%]"
 PAINT = {"S": "stroke", "s": "stroke", "f": "fill", "F": "fill", "f*": "fill", "B": "fill-stroke", "B*": "fill-stroke", "b": "fill-stroke", "b*": "fill-stroke", "n": "none"}
 CLOSES = ("s", "b", "b*")
 SPACES = {"g": ("device-gray", False), "G": ("device-gray", True), "rg": ("device-rgb", False), "RG": ("device-rgb", True), "k": ("device-cmyk", False), "K": ("device-cmyk", True)}
@@ -89,6 +91,26 @@ def _inline(lexer: Lexer) -> Stream:
     return Stream(items, lexer.data[start : found.start()], start, found.start())
 
 
+def seam(left: str, right: str, gap: float | None) -> str:
+    """What stands between two strings of one array: a blank where the move is wide and neither side keeps the seam closed."""
+    a, b = left.rstrip(), right.lstrip()
+    wide = gap is not None and gap <= SPACE_GAP
+    return " " if wide and a and b and a[-1] not in SHUT_BEFORE and b[0] not in SHUT_AFTER else ""
+
+
+def unreadable(text: str) -> bool:
+    """Control characters and hardly any letters or digits."""
+    control = sum(c < " " and c not in "\t\n" or "\x7f" <= c <= "\x9f" for c in text)
+    solid = sum(c.isalnum() for c in text)
+    return bool(control) and (not solid or control / len(text) > 0.25 and solid / len(text) < 0.3)
+
+
+def spoken(actual: str | None, shown: str) -> str | None:
+    """The replacement text of a marked span, if it is no shorter than what is shown or that cannot be read."""
+    clean = re.sub(r"[^\S\n]+", " ", re.sub(r"\r\n?", "\n", actual or "")).strip()
+    return clean if clean and (unreadable(shown) or len(clean) >= len(shown.strip())) else None
+
+
 def normal(text: str) -> str:
     """Control characters are blanks, blanks in a row are one, none at the ends."""
     return re.sub(r" +", " ", CONTROL.sub(" ", text)).strip()
@@ -172,13 +194,16 @@ class Observer:
         def show(strings, stream):
             nonlocal tm, order, fresh_line
             font, ref = self._font(state["font"]) if state["font"] is not None else (None, None)
-            text, complete = "", True
+            text, complete, gap = "", True, None
+            said = next((m["actual_text"] for m in reversed(marked) if m["actual_text"]), None)
             for s in strings:
-                if isinstance(s, bytes):
-                    got, ok = font.decode(s) if font else ("".join(chr(b) if 32 <= b < 127 else "�" for b in s), all(32 <= b < 127 for b in s))
-                    text, complete = text + got, complete and ok
-                elif s <= SPACE_GAP and text and not text.endswith(" "):
-                    text += " "
+                if not isinstance(s, bytes):
+                    gap = s
+                    continue
+                got, ok = font.decode(s) if font else ("".join(chr(b) if 32 <= b < 127 else "�" for b in s), all(32 <= b < 127 for b in s))
+                if said and not s.hexadecimal and (better := spoken(said, got)) is not None:
+                    got, ok = better, True
+                text, complete, gap = text + seam(text, got, gap) + got, complete and ok, None
             clean = normal(text)
             m = multiply(tm, multiply(state["ctm"], shown))
             if clean:
@@ -299,9 +324,10 @@ class Observer:
                 items = doc.dictionary(value)
                 vis = self.visible.of(value) if tag == "OC" else "visible"
                 own = f"mark-marked-content-{page.number}-{order + 1}"
-                marked.append({"id": own, "visibility": vis})
                 from ..sources.store import text_of
 
+                marked.append({"id": own, "visibility": vis, "actual_text": text_of(doc.resolve(items.get("ActualText")))})
+
                 kind = {"Artifact": "artifact", "Span": "span"}.get(tag, "other")
                 mark("marked-content", tag=tag, content_kind=kind, mcid=items.get("MCID") if isinstance(items.get("MCID"), int) else None, actual_text=text_of(doc.resolve(items.get("ActualText"))), alternate_text=text_of(doc.resolve(items.get("Alt"))))
                 self.marks[-1]["marked_content_id"] = marked[-2]["id"] if len(marked) > 1 else None

@@ -167,6 +167,24 @@ def test_instructions():
     assert normal(" a\x00\x01 b  ") == "a b"
 
 
+def shown(content, font="<</Type/Font/Subtype/Type1/BaseFont/H/Encoding/WinAnsiEncoding>>"):
+    w = Writer()
+    w.put(1, "<</Type/Catalog/Pages 2 0 R>>")
+    w.put(2, "<</Type/Pages/Kids[4 0 R]/Count 1/MediaBox[0 0 612 792]>>")
+    w.put(3, font)
+    w.put(4, "<</Type/Page/Parent 2 0 R/Contents 5 0 R/Resources<</Font<</F1 3 0 R>>>>>>")
+    w.stream(5, b"BT /F1 12 Tf 72 720 Td " + content + b" ET")
+    return runs(w.file())
+
+
+def test_seams():
+    assert shown(b"[(ab) -200 (cd) -20 (ef) -500 (,) -300 (x-) -300 (y)] TJ") == ["ab cdef, x-y"]
+    assert shown(b"/Span<</ActualText(spoken words)>> BDC (sp) Tj EMC (rest) Tj") == ["spoken words", "rest"]
+    assert shown(b"/Span<</ActualText(s)>> BDC (longer) Tj EMC") == ["longer"]
+    japanese = "<</Type/Font/Subtype/Type0/Encoding/Identity-H/DescendantFonts[<</CIDSystemInfo<</Registry(Adobe)/Ordering(Japan1)>>>>]>>"
+    assert shown(b"<0CD40E8A07A00031034B> Tj", japanese) == ["日本語Pあ"]
+
+
 def test_features():
     row = {"doc_id": 3, "text": "hello\n" * 60, "source": "src1", "lang": "en"}
     doc = Document(variants.rich(row))
