@@ -34,20 +34,22 @@ def chunk_numbers(blocks: DataFrame, target: int = TARGET) -> DataFrame:
     the target. The sum starts anew at each cut, so it is a fold over a page's blocks, not a window.
     """
     kept = blocks.where("role not in ('header', 'footer')")
-    rows = kept.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("reading_order", F.length("text").alias("n"), "role"))).alias("rows"))
-    start = F.struct(F.lit(-1).alias("chunk"), F.lit(0).alias("size"), F.lit("").alias("role"), F.expr("cast(array() as array<struct<reading_order:int,chunk:int>>)").alias("out"))
+    own = [c for c in blocks.columns if c not in (*PAGE, "reading_order")]
+    rows = kept.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("reading_order", *own))).alias("rows"))
+    start = F.struct(F.lit(-1).alias("chunk"), F.lit(0).alias("size"), F.lit("").alias("role"), F.expr("cast(array() as array<int>)").alias("out"))
 
     def step(acc, row):
+        n = F.length(row["text"])
         alone = row["role"].isin("heading", "list") | acc["role"].isin("heading", "list")
-        new = (acc["chunk"] < 0) | alone | (acc["size"] + row["n"] > target)
+        new = (acc["chunk"] < 0) | alone | (acc["size"] + n > target)
         chunk = F.when(new, acc["chunk"] + 1).otherwise(acc["chunk"])
-        return F.struct(chunk.alias("chunk"), F.when(new, row["n"]).otherwise(acc["size"] + row["n"]).alias("size"), row["role"].alias("role"), F.array_append(acc["out"], F.struct(row["reading_order"].alias("reading_order"), chunk.alias("chunk"))).alias("out"))
+        return F.struct(chunk.alias("chunk"), F.when(new, n).otherwise(acc["size"] + n).alias("size"), row["role"].alias("role"), F.array_append(acc["out"], chunk).alias("out"))
 
-    numbered = rows.select(*PAGE, F.explode(F.aggregate("rows", start, step, lambda acc: acc["out"])).alias("r")).select(*PAGE, "r.reading_order", "r.chunk")
-    pages = numbered.groupBy(*PAGE).agg((F.max("chunk") + 1).alias("n"))
-    before = Window.partitionBy("doc_id").orderBy("page_number").rowsBetween(Window.unboundedPreceding, -1)
-    first = pages.select(*PAGE, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    return kept.join(numbered, [*PAGE, "reading_order"]).join(first, [*PAGE]).withColumn("chunk", (F.col("first") + F.col("chunk")).cast("int")).drop("first")
+    numbers = F.aggregate("rows", start, step, lambda acc: acc["out"])
+    each = rows.select(*PAGE, F.explode(F.arrays_zip(F.col("rows").alias("r"), numbers.alias("c"))).alias("z"))
+    each = each.select(*PAGE, "z.r.reading_order", *(F.col(f"z.r.{c}").alias(c) for c in own), F.col("z.c").alias("chunk"))
+    # Numbers go on from page to page: the rank of (page, number) in the document.
+    return each.withColumn("chunk", (F.dense_rank().over(Window.partitionBy("doc_id").orderBy("page_number", "chunk")) - 1).cast("int"))
 
 
 def chunks(blocks: DataFrame, target: int = TARGET) -> DataFrame:
