@@ -42,8 +42,13 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     one task; the number of rounds grows with the logarithm of the longest chain.
     """
     now = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    now, seen = cut(now, "edges"), None
-    for _ in range(limit):
+    now = cut(now, "edges")
+
+    def mark(df: DataFrame) -> tuple:
+        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+    seen = mark(now)
+    for _ in range(limit if seen[0] else 0):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -51,12 +56,12 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = small.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
         now = cut(small, "stars")
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(mark) == seen:
+        before, seen = seen, mark(now)
+        if before == seen:
             break
-        seen = tuple(mark)
     else:
-        raise RuntimeError("connected components did not settle")
+        if seen[0]:
+            raise RuntimeError("connected components did not settle")
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
 
