@@ -25,12 +25,18 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/docloom/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def cut(df: DataFrame, name: str, free: bool = False) -> DataFrame:
     """Write df once as Parquet in the shared folder and read it back: lineage ends here, and a lost
-    executor costs no recomputation of what came before."""
+    executor costs no recomputation of what came before.
+
+    free: let go of the shuffle files of what came before now, not when the driver next happens to
+    collect its garbage; for steps that move whole texts.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    if free:
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

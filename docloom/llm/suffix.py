@@ -366,10 +366,10 @@ def _finished(docs: DataFrame, length: int, crowd: int, keep: list[str], schema:
     found = _found(rows, length, grams)
     same = F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("l.d") == F.col("r.d"))
     both = rows.alias("l").join(found.alias("r"), same, "left").select(*(F.col(f"l.{c}") for c in dict.fromkeys([*keep, "doc_id", "d"])), (F.col("l.text") if whole else F.when(F.col("r.found").isNotNull(), F.col("l.text"))).alias("text"), "r.found")
-    table = cut(both, "candidates")
+    table = cut(both, "candidates", free=True)
     some = table.where("found is not null")
-    segments = cut(_segments(some.select("doc_id", "d", F.col("text").cast("binary").alias("text"), "found"), ["doc_id", "d"], "doc_id bigint, d bigint", _FromDocs(length)), "segments")
-    marks = _resolve(segments, 0, grams, length, crowd)
+    segments = cut(_segments(some.select("doc_id", "d", F.col("text").cast("binary").alias("text"), "found"), ["doc_id", "d"], "doc_id bigint, d bigint", _FromDocs(length)), "segments", free=True)
+    marks = cut(_resolve(segments, 0, grams, length, crowd), "marks", free=True)
     refs = segments.where("bytes is null").select("doc_id", "d", "at", "segment").distinct()
     hits = refs.join(marks, "segment").select("doc_id", "d", F.transform("lows", lambda x: x + F.col("at")).alias("lows"), F.transform("highs", lambda x: x + F.col("at")).alias("highs"))
     hits = hits.groupBy("doc_id", "d").agg(F.flatten(F.collect_list("lows")).alias("lows"), F.flatten(F.collect_list("highs")).alias("highs"))
