@@ -26,6 +26,8 @@ FAN = 8
 CROWD = 2048
 ALL = (1 << 64) - 1
 LONG = 4_000_000
+#: keep_first() sends the ids of dropped documents to all tasks while they are no more than this; beyond, texts are shuffled to them.
+SENT_IDS = 1_000_000
 
 
 def _shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
@@ -279,8 +281,8 @@ def simhash_groups(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) ->
 def keep_first(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
     """docs, all columns, with the document of smallest doc_id of each component; of repeated doc_ids one row stays, and rows with a null doc_id stay."""
     groups = cut(simhash_groups(docs, width, radius), "groups")
-    gone = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
+    gone = cut(groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "gone")
+    kept = docs.join(F.broadcast(gone) if gone.count() <= SENT_IDS else gone, "doc_id", "left_anti")
     if groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
         return kept
     return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
