@@ -15,6 +15,8 @@ by longer grams, down to single strings, so no task holds an unbounded group.
 from __future__ import annotations
 
 import hashlib
+import re
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -28,6 +30,10 @@ CROWD = 512
 BLOCK = 200_000
 STRETCH = 1 << 20
 LONGEST_RUN = 2048
+#: Bytes of a word's code, where runs of words are looked for.
+CODE = 8
+#: White space as UTF-8.
+SPACE = re.compile(rb"(?:[\t-\r ]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80)+")
 
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
@@ -196,13 +202,36 @@ def _intervals(mask: np.ndarray) -> tuple[list[int], list[int]]:
     return np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()
 
 
-def remove(raw: bytes, lows: np.ndarray, highs: np.ndarray, length: int = LENGTH) -> tuple[bytes, int, int]:
-    """raw without the bytes of the strings that start in [low, high): what is left, bytes and runs removed."""
-    if not len(lows):
+@lru_cache(1 << 16)
+def _code(word: bytes) -> bytes:
+    from xxhash import xxh64_digest
+
+    return xxh64_digest(word.decode("utf-8", "replace").lower().encode("utf-8", "replace"))
+
+
+def word_codes(raw: bytes) -> bytes:
+    """The words of raw, CODE bytes each: equal runs of words make equal strings, whatever their case and the white space between."""
+    return b"".join(map(_code, (raw if raw.isascii() else SPACE.sub(b" ", raw)).split()))
+
+
+def word_spans(raw: bytes, lows: np.ndarray, highs: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the runs of `words` words begin and end in raw whose codes start in [low, high); the white space behind a run goes with it."""
+    bounds = np.array([0, *(m.end() for m in SPACE.finditer(raw) if 0 < m.start() and m.end() < len(raw)), len(raw)], dtype=np.int64)
+    first, last = -(-lows // CODE), (highs - 1) // CODE
+    some = first <= last  # strings that start within a code are no runs of words
+    return bounds[first[some]], bounds[last[some] + words]
+
+
+def remove(raw: bytes, lows: np.ndarray, highs: np.ndarray, length: int = LENGTH, spans: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[bytes, int, int]:
+    """raw without the bytes of the strings that start in [low, high), and without the spans (begins, ends): what is left, bytes and runs removed."""
+    if not len(lows) and (spans is None or not len(spans[0])):
         return raw, 0, 0
     change = np.zeros(len(raw) + 1, dtype=np.int64)
     np.add.at(change, lows, 1)
     np.add.at(change, highs + (length - 1), -1)
+    if spans is not None:
+        np.add.at(change, spans[0], 1)
+        np.add.at(change, spans[1], -1)
     gone = np.cumsum(change)[:-1] > 0
     runs_gone = int(np.count_nonzero(gone[1:] & ~gone[:-1]) + gone[0])
     return np.frombuffer(raw, dtype=np.uint8)[~gone].tobytes(), int(gone.sum()), runs_gone
@@ -260,12 +289,13 @@ def _segments(rows: DataFrame, owner: list[str], kinds: str, cut_up) -> DataFram
 class _FromDocs:
     """Stretches of the documents whose grams are found twice or more."""
 
-    def __init__(self, length: int):
-        self.length = length
+    def __init__(self, length: int, coded: bool):
+        self.length, self.coded = length, coded
 
     def __call__(self, batch):
         for row, (text, found) in enumerate(zip(batch.column("text"), batch.column("found").to_pylist())):
             raw = text.as_buffer().to_pybytes()
+            raw = word_codes(raw) if self.coded else raw
             yield row, raw, [f["key"] for f in found], [f["a"] for f in found], [f["n"] for f in found], 1
 
 
@@ -331,8 +361,8 @@ def _resolve(table: DataFrame, level: int, grams: tuple[int, ...], length: int,
     return calm.unionByName(up)
 
 
-def _found(docs: DataFrame, length: int, grams: tuple[int, ...]) -> DataFrame:
-    """(doc_id, d, found): for each document with grams that occur twice or more, their stretches."""
+def _found(docs: DataFrame, length: int, grams: tuple[int, ...], coded: bool) -> DataFrame:
+    """(doc_id, d, found): for each document with grams that occur twice or more, their stretches. coded: of its words' codes."""
     k = grams[0]
 
     def run(batches):
@@ -343,7 +373,8 @@ def _found(docs: DataFrame, length: int, grams: tuple[int, ...]) -> DataFrame:
             for row, text in enumerate(batch.column("text")):
                 if not text.is_valid:
                     continue
-                key, a, n, again = runs(text.as_buffer().to_pybytes(), k, length)
+                raw = text.as_buffer().to_pybytes()
+                key, a, n, again = runs(word_codes(raw) if coded else raw, k, length)
                 rows.append(np.full(len(key), row))
                 keys.append(key)
                 firsts.append(a)
@@ -353,32 +384,53 @@ def _found(docs: DataFrame, length: int, grams: tuple[int, ...]) -> DataFrame:
                 at = pa.array(np.concatenate(rows))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("d").take(at), *(pa.array(np.concatenate(c)) for c in (keys, firsts, counts, agains))], names=["doc_id", "d", "key", "a", "n", "again"])
 
-    long = docs.where(F.octet_length("text") >= length).select("doc_id", "d", "text")
+    long = docs.where(F.octet_length("text") >= (2 * (length // CODE) - 1 if coded else length)).select("doc_id", "d", "text")
     table = cut(long.mapInArrow(run, "doc_id bigint, d bigint, key bigint, a bigint, n bigint, again boolean"), "grams")
     twice = table.groupBy("key").agg(F.sum(F.lit(1) + F.col("again").cast("int")).alias("c")).where("c > 1").select("key")
     return table.join(twice, "key").groupBy("doc_id", "d").agg(F.collect_set(F.struct("key", "a", "n")).alias("found"))
 
 
-def _finished(docs: DataFrame, length: int, crowd: int, keep: list[str], schema: str, of, whole: bool = False) -> DataFrame:
-    """docs with what of(raw, lows, highs) makes of each text that has candidates; for the others nulls, or if whole the text and nulls."""
-    grams = tuple(max(1, g * length // LENGTH) for g in GRAMS)
+def _finished(docs: DataFrame, length: int, crowd: int, keep: list[str], schema: str, of, whole: bool = False, words: int = 0) -> DataFrame:
+    """docs with what of(raw, lows, highs) makes of each text that has candidates; for the others nulls, or if whole the text and nulls.
+
+    words: if not 0, runs of so many words are looked for as well, and of() gets the lows and highs of their codes too.
+    """
     rows = docs.withColumn("d", F.xxhash64("text"))
-    found = _found(rows, length, grams)
+    # What is looked for, by the names of its columns: (length, grams, whether in the words' codes).
+    kinds = {"": (length, False)} | ({"w": (words * CODE, True)} if words else {})
+    kinds = {w: (n, tuple(max(1, g * n // LENGTH) for g in GRAMS), coded) for w, (n, coded) in kinds.items()}
+
+    def merged(parts: dict[str, DataFrame], columns: list[str], agg) -> DataFrame:
+        """Each kind's columns beside each other, by document."""
+        rows = [df.select("doc_id", "d", *((F.col(c) if w == v else F.lit(None).cast(df.schema[c].dataType)).alias(v + c) for v in kinds for c in columns)) for w, df in parts.items()]
+        one = rows[0]
+        for more in rows[1:]:
+            one = one.unionByName(more)
+        return one.groupBy("doc_id", "d").agg(*(agg(v + c).alias(v + c) for v in kinds for c in columns))
+
+    found = {w: _found(rows, *kind) for w, kind in kinds.items()}
+    found = merged(found, ["found"], lambda c: F.first(c, ignorenulls=True)) if words else found[""]
     same = F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("l.d") == F.col("r.d"))
-    both = rows.alias("l").join(found.alias("r"), same, "left").select(*(F.col(f"l.{c}") for c in dict.fromkeys([*keep, "doc_id", "d"])), (F.col("l.text") if whole else F.when(F.col("r.found").isNotNull(), F.col("l.text"))).alias("text"), "r.found")
+    of_found = [F.col(f"r.{w}found") for w in kinds]
+    both = rows.alias("l").join(found.alias("r"), same, "left").select(*(F.col(f"l.{c}") for c in dict.fromkeys([*keep, "doc_id", "d"])), (F.col("l.text") if whole else F.when(F.coalesce(*of_found).isNotNull(), F.col("l.text"))).alias("text"), *of_found)
     table = cut(both, "candidates", free=True)
-    some = table.where("found is not null")
-    segments = cut(_segments(some.select("doc_id", "d", F.col("text").cast("binary").alias("text"), "found"), ["doc_id", "d"], "doc_id bigint, d bigint", _FromDocs(length)), "segments", free=True)
-    marks = cut(_resolve(segments, 0, grams, length, crowd), "marks", free=True)
-    refs = segments.where("bytes is null").select("doc_id", "d", "at", "segment").distinct()
-    hits = refs.join(marks, "segment").select("doc_id", "d", F.transform("lows", lambda x: x + F.col("at")).alias("lows"), F.transform("highs", lambda x: x + F.col("at")).alias("highs"))
-    hits = hits.groupBy("doc_id", "d").agg(F.flatten(F.collect_list("lows")).alias("lows"), F.flatten(F.collect_list("highs")).alias("highs"))
+    has = F.coalesce(*(F.col(f"{w}found") for w in kinds))
+    some = table.where(has.isNotNull())
+    hits = {}
+    for w, (n, grams, coded) in kinds.items():
+        texts = some.where(f"{w}found is not null").select("doc_id", "d", F.col("text").cast("binary").alias("text"), F.col(f"{w}found").alias("found"))
+        segments = cut(_segments(texts, ["doc_id", "d"], "doc_id bigint, d bigint", _FromDocs(n, coded)), "segments", free=True)
+        marks = cut(_resolve(segments, 0, grams, n, crowd), "marks", free=True)
+        refs = segments.where("bytes is null").select("doc_id", "d", "at", "segment").distinct()
+        hits[w] = refs.join(marks, "segment").select("doc_id", "d", F.transform("lows", lambda x: x + F.col("at")).alias("lows"), F.transform("highs", lambda x: x + F.col("at")).alias("highs"))
+    hits = merged(hits, ["lows", "highs"], lambda c: F.flatten(F.collect_list(c)))
+    of_hits = [w + c for w in kinds for c in ("lows", "highs")]
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            made = [of(t.as_buffer().to_pybytes(), np.array(lo or [], dtype=np.int64), np.array(hi or [], dtype=np.int64)) for t, lo, hi in zip(batch.column("text"), batch.column("lows").to_pylist(), batch.column("highs").to_pylist())]
+            made = [of(t.as_buffer().to_pybytes(), *(np.array(m or [], dtype=np.int64) for m in marks)) for t, *marks in zip(batch.column("text"), *(batch.column(c).to_pylist() for c in of_hits))]
             names = [f.name for f in fields]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array([m[k] for m in made], f.type) for k, f in enumerate(fields))], names=[*keep, *names])
 
@@ -388,9 +440,9 @@ def _finished(docs: DataFrame, length: int, crowd: int, keep: list[str], schema:
     added = _parse_datatype_string(schema)
     fields = list(to_arrow_schema(added))
     kept = StructType([f for c in keep for f in [table.schema[c]]])
-    joined = some.alias("l").join(hits.alias("r"), same, "left").select(*(F.col(f"l.{c}") for c in keep), F.col("l.text").alias("text"), "r.lows", "r.highs")
+    joined = some.alias("l").join(hits.alias("r"), same, "left").select(*(F.col(f"l.{c}") for c in keep), F.col("l.text").alias("text"), *(f"r.{c}" for c in of_hits))
     done = joined.mapInArrow(run, StructType([*kept.fields, *added.fields]))
-    rest = table.where("found is null").select(*keep, *((F.col("text") if whole and f.name == "text" else F.lit(None).cast(f.dataType)).alias(f.name) for f in added.fields))
+    rest = table.where(has.isNull()).select(*keep, *((F.col("text") if whole and f.name == "text" else F.lit(None).cast(f.dataType)).alias(f.name) for f in added.fields))
     return done.unionByName(rest)
 
 
@@ -413,19 +465,20 @@ def repeats(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) -> DataFr
     return out.select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept", "whole").alias("kept_sha256"))
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD, words: int = 0) -> DataFrame:
     """docs with the repeated passages cut out of their texts (bytes of a character cut in two go with it) and n_chars, if there, counted anew.
 
-    A document of which nothing is left goes; one that was null or empty before stays as it was.
+    Passages are strings of `length` bytes and, if words is not 0, runs of that many words too (of any case,
+    parted by any white space). A document of which nothing is left goes; one that was null or empty before stays as it was.
     """
     others = [c for c in docs.columns if c not in ("text", "doc_id")]
     rows = docs.select("doc_id", "text", F.struct(F.lit(0).alias("c"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others))).alias("others"))
 
-    def of(raw, lows, highs):
-        left, n, _ = remove(raw, lows, highs, length)
+    def of(raw, lows, highs, *coded):
+        left, n, _ = remove(raw, lows, highs, length, word_spans(raw, *coded, words) if coded else None)
         return left.decode("utf-8", "ignore"), n
 
-    out = _finished(rows, length, crowd, ["doc_id", "others"], "text string, removed bigint", of, whole=True)
+    out = _finished(rows, length, crowd, ["doc_id", "others"], "text string, removed bigint", of, whole=True, words=words)
     out = out.where((F.coalesce("removed", F.lit(0)) == 0) | (F.col("text") != ""))
     held = {c: F.col("others")[f"c{i}"] for i, c in enumerate(others)}
     if "n_chars" in held:

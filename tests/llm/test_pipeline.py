@@ -74,3 +74,17 @@ def test_stages_keep_columns(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, path).columns == docs.columns
         assert stage(spark, docs.limit(0), path).count() == 0
+
+
+def test_short_words_are_cut(spark):
+    """Passages of 51 short words, far under 400 bytes, in other case and white space; 50 words stay."""
+    import corpus_pipeline
+
+    run, other = (" ".join(f"{c}{i % 10}{'abcde'[i // 10 % 5]}" for i in range(51)) for c in "xy")
+    fifty, single = other.rsplit(" ", 1)[0], " ".join("abcdefghij"[i * i % 7] + "klm"[i % 3] * (i % 2) for i in range(51))
+    rows = [(1, f"Head one {run} one tail"), (2, "head two\n" + run.upper().replace(" ", "\u00a0\n") + " two tail"), (3, f"{fifty} three"), (4, f"four {fifty}"), (5, f"é {single}  five"), (6, f"six {single}"), (7, run), (8, None), (None, f"none {run}"), (9, "short"), (10, "日本 " * 60 + "end")]
+    docs = spark.createDataFrame([(d, t, len(t or "")) for d, t in rows], "doc_id bigint, text string, n_chars int").repartition(3)
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.cut_repeats(spark, docs, "").collect()}
+    want = dict(rows) | {1: "Head one one tail", 2: "head two\ntwo tail", 5: "é five", 6: "six ", None: "none ", 10: "end"}
+    del want[7]
+    assert got == {d: (t, len(t or "")) for d, t in want.items()}
