@@ -26,7 +26,10 @@ FAN = 8
 CROWD = 2048
 ALL = (1 << 64) - 1
 LONG = 4_000_000
-#: keep_first() sends the ids of dropped documents to all tasks while they are no more than this; beyond, texts are shuffled to them.
+#: What keep_first() takes for near copies: words a shingle and Jaccard similarity; and its MinHash sketch, which a pair at NEAR passes with a chance of 1 - (1 - NEAR ** ROWS) ** BANDS = 0.9996.
+NEAR_WIDTH, NEAR = 5, 0.8
+BANDS, ROWS = 20, 5
+#: keep_first() sends ids of documents to all tasks while they are no more than this; beyond, texts are shuffled to them.
 SENT_IDS = 1_000_000
 
 
@@ -278,11 +281,133 @@ def simhash_groups(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) ->
     return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
-    """docs, all columns, with the document of smallest doc_id of each component; of repeated doc_ids one row stays, and rows with a null doc_id stay."""
-    groups = cut(simhash_groups(docs, width, radius), "groups")
-    gone = cut(groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "gone")
-    kept = docs.join(F.broadcast(gone) if gone.count() <= SENT_IDS else gone, "doc_id", "left_anti")
-    if groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return kept
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+def shingles(text: str | None, width: int) -> np.ndarray:
+    """Hashes of a text's word shingles, ascending, each once; a shorter text is one shingle, a null text or one without words has none."""
+    from xxhash import xxh64_intdigest
+
+    found, carry = [np.zeros(0, dtype=np.uint64)], []
+    for part in _parts((text or "").encode().lower(), LONG):
+        words = carry + part.split()
+        if len(words) >= width:
+            found.append(_shingle_hashes(words, width))
+            carry = words[len(words) - width + 1 :]
+        else:
+            carry = words
+    if len(found) == 1 and carry:
+        found.append(np.array([xxh64_intdigest(b" ".join(carry), SEED)], dtype=np.uint64))
+    return np.unique(np.concatenate(found))
+
+
+def band_keys(found: np.ndarray) -> list[int]:
+    """A key for each band of the MinHash sketch of a set of shingles, the band's number in it."""
+    from xxhash import xxh64_intdigest
+
+    rng = np.random.default_rng(SEED)
+    xor, odd = rng.integers(0, 2**64, size=(2, BANDS * ROWS, 1), dtype=np.uint64)
+    odd |= np.uint64(1)
+    least = np.full(BANDS * ROWS, ALL, dtype=np.uint64)
+    for at in range(0, len(found), 4096):
+        least = np.minimum(least, ((found[None, at : at + 4096] ^ xor) * odd).min(axis=1))
+    return [xxh64_intdigest(band.tobytes(), k) - (1 << 63) for k, band in enumerate(least.reshape(BANDS, ROWS))]
+
+
+def _set_key(found: np.ndarray) -> int:
+    from xxhash import xxh64_intdigest
+
+    return xxh64_intdigest(found.tobytes(), SEED) - (1 << 63)
+
+
+def _sketched(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, d, s, keys) of rows (doc_id, d, text): s stands for the set of shingles."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for part in text_batches(batch):
+                s, keys = [], []
+                for text in part.column("text").to_pylist():
+                    found = shingles(text, width)
+                    s.append(_set_key(found))
+                    keys.append(band_keys(found))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("d"), pa.array(s, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "d", "s", "keys"])
+
+    return docs.mapInArrow(run, "doc_id bigint, d bigint, s bigint, keys array<bigint>")
+
+
+def _sets(docs: DataFrame, width: int) -> DataFrame:
+    """(s, found) of rows (text), once for each s."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for part in text_batches(batch):
+                found = [shingles(text, width) for text in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(map(_set_key, found), pa.int64()), pa.array([f.view(np.int64) for f in found], pa.list_(pa.int64()))], names=["s", "found"])
+
+    return docs.select("text").mapInArrow(run, "s bigint, found array<bigint>").groupBy("s").agg(F.first("found").alias("found"))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose sets have a Jaccard similarity of at least `least`."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            x, y = batch.column("x"), batch.column("y")
+            near = np.zeros(batch.num_rows, dtype=bool)
+            for k in range(batch.num_rows):
+                p, q = x[k].values.to_numpy(), y[k].values.to_numpy()
+                if min(len(p), len(q)) >= least * max(len(p), len(q)):
+                    both = len(p) + len(q) - len(np.union1d(p, q))
+                    near[k] = both >= least * (len(p) + len(q) - both)
+            yield batch.select(["a", "b"]).filter(pa.array(near))
+
+    both = pairs.join(sets.select(F.col("s").alias("a"), F.col("found").alias("x")), "a").join(sets.select(F.col("s").alias("b"), F.col("found").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+
+
+def _sent(ids: DataFrame) -> DataFrame:
+    """ids, to all tasks while they are few."""
+    return F.broadcast(ids) if ids.count() <= SENT_IDS else ids
+
+
+def similar(marked: DataFrame, docs: DataFrame, width: int, least: float) -> DataFrame:
+    """(a, b): pairs of different sets with a similarity of at least `least`. marked: as of _sketched(), docs: (d, text).
+
+    Sets that share a band's key meet; each is compared with two of the bucket, drawn anew for every
+    band, so the pairs grow with the sets and not with the square of a group.
+    """
+    classes = cut(marked.groupBy("s").agg(F.min("d").alias("d"), F.first("keys").alias("keys")), "sets")
+    rows = cut(classes.select("s", F.explode("keys").alias("key")), "bands")
+    drawn = F.struct(F.xxhash64("s", "key").alias("o"), "s")
+    drawn = rows.groupBy("key").agg(F.min(drawn)["s"].alias("p"), F.max(drawn)["s"].alias("q")).where("p <> q")
+    pairs = rows.join(drawn, "key").select("s", F.explode(F.array("p", "q")).alias("p")).where("s <> p")
+    pairs = cut(pairs.select(F.greatest("s", "p").alias("a"), F.least("s", "p").alias("b")).distinct(), "pairs")
+    met = pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct()
+    texts = cut(classes.join(met, "s", "left_semi").select("d").distinct(), "met")
+    sets = cut(_sets(docs.join(_sent(texts), "d", "left_semi"), width), "shingles")
+    return _verified(pairs, sets, least)
+
+
+def keep_first(docs: DataFrame, width: int = NEAR_WIDTH, least: float = NEAR) -> DataFrame:
+    """docs, all columns, with one row of each group of near copies: of those with the smallest doc_id; rows with a null doc_id stay.
+
+    Near copies have a Jaccard similarity of at least `least` on shingles of `width` words, or are linked
+    in steps of such. Rows are told apart by doc_id and text, so different texts may share a doc_id.
+    """
+    rows = docs.withColumn("__d", F.xxhash64("text"))
+    texts = rows.select("doc_id", F.col("__d").alias("d"), "text")
+    marked = cut(_sketched(texts, width), "sketches")
+    found = components(similar(marked, texts.select("d", "text"), width, least))
+    mine = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "d"))
+    firsts = marked.groupBy("s").agg(F.min(mine).alias("first")).join(found.select(F.col("node").alias("s"), "root"), "s", "left").withColumn("root", F.coalesce("root", "s"))
+    firsts = firsts.select("s", "root").join(firsts.groupBy("root").agg(F.min("first").alias("first")), "root").select("s", "first")
+    ids = cut(marked.where("doc_id is not null").select("doc_id", "d", "s").join(firsts, "s").select("doc_id", F.col("d").alias("__d"), (F.struct("doc_id", "d") == F.col("first")).alias("kept")), "groups")
+    gone = cut(ids.where("not kept").select("doc_id", "__d").distinct(), "gone")
+    kept = rows.join(_sent(gone), ["doc_id", "__d"], "left_anti")
+    if not ids.where("kept").groupBy("doc_id", "__d").count().where("count > 1").isEmpty():
+        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id", "__d"]).unionByName(kept.where("doc_id is null"))
+    return kept.select(docs.columns)

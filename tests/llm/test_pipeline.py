@@ -88,3 +88,22 @@ def test_short_words_are_cut(spark):
     want = dict(rows) | {1: "Head one one tail", 2: "head two\ntwo tail", 5: "é five", 6: "six ", None: "none ", 10: "end"}
     del want[7]
     assert got == {d: (t, len(t or "")) for d, t in want.items()}
+
+
+def test_near_copies_of_five_words(spark):
+    """One document of each pair with five-word Jaccard from 0.8 on, of which most differ in more than 4 bits of op1."""
+    import corpus_pipeline
+
+    rows, near = [], []
+    for i in range(40):
+        words = prose(300, 7000 + i).split()
+        copy = list(words)
+        for at in range(20, 300, 280 // (4 + i % 4)):
+            copy[at] = f"new{at}"
+        x, y = ({tuple(w[k : k + 5]) for k in range(296)} for w in (words, copy))
+        rows += [(i, " ".join(words)), (1000 + i, " ".join(copy))]
+        near.append(len(x & y) >= 0.8 * len(x | y))
+    assert 10 < sum(near) < 40
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()}
+    assert got == {*range(40), *(1000 + i for i in range(40) if not near[i])}
