@@ -167,7 +167,7 @@ class Page:
 
 
 def low_importance(pages: DataFrame) -> DataFrame:
-    """(host, path) of the nodes that hold nearly the same on a host's pages. pages: (host, html)."""
+    """(host, path) of the nodes that hold nearly the same on a host's pages, of which copies count once. pages: (host, html)."""
 
     def run(batches):
         import pyarrow as pa
@@ -176,12 +176,15 @@ def low_importance(pages: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for host, source in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
-                rows.append((host, None, 0))
-                rows += [(host, path, xxh3_64_intdigest(text.encode("utf-8", "replace")) - (1 << 63)) for path, text in Page(source).nodes().items()]
-            columns = list(zip(*rows)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int64())], names=["host", "path", "content"])
-
-    each = pages.select("host", "html").mapInArrow(run, "host string, path string, content bigint")
+                page = Page(source)
+                whole = xxh3_64_intdigest("\0".join(c[0] for c in page.chosen).encode("utf-8", "replace")) - (1 << 63)
+                rows.append((host, whole, None, 0))
+                rows += [(host, whole, path, xxh3_64_intdigest(text.encode("utf-8", "replace")) - (1 << 63)) for path, text in page.nodes().items()]
+            columns = list(zip(*rows)) or [(), (), (), ()]
+            types = (pa.string(), pa.int64(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["host", "page", "path", "content"])
+
+    each = pages.select("host", "html").mapInArrow(run, "host string, page bigint, path string, content bigint").distinct()
     counts = cut(each.groupBy("host", "path", "content").agg(F.count("*").alias("n")), "nodes")
     total = counts.where("path is null").select("host", F.col("n").alias("pages"))
     n = F.sum("n")

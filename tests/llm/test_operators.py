@@ -361,3 +361,11 @@ def test_keep_first(docs):
     kept = simhash.keep_first(docs).collect()
     assert sorted(r["doc_id"] for r in kept if r["doc_id"] is not None) == sorted(d for d, c in groups.items() if d == c)
     assert sum(r["doc_id"] is None for r in kept) == 2
+
+
+def test_html_copied_pages(spark):
+    page = "<body><div class=menu>m</div><article><div class=body><p>Story {0} here</p></div></article>"
+    rows = [(i, f"http://h.org/{i}", page.format(max(0, i - 49))) for i in range(60)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_text.main_text(pages).collect()}
+    assert got == {i: f"Story {max(0, i - 49)} here" for i in range(60)}
