@@ -369,3 +369,12 @@ def test_html_copied_pages(spark):
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
     got = {r["page_id"]: r["text"] for r in html_text.main_text(pages).collect()}
     assert got == {i: f"Story {max(0, i - 49)} here" for i in range(60)}
+
+
+def test_keep_first_repeated_ids(spark):
+    """A doc_id on different texts: each row is decided by itself, and one row of each group stays."""
+    one, two, three = prose(80, 8101), prose(80, 8102), prose(80, 8103)
+    rows = [(1, one), (2, one + " more"), (2, two), (2, three), (2, three), (3, two)]
+    docs = spark.createDataFrame([(d, t, 0) for d, t in rows], "doc_id bigint, text string, d int").repartition(3)
+    got = simhash.keep_first(docs)
+    assert got.columns == docs.columns and sorted((r["doc_id"], r["text"]) for r in got.collect()) == sorted([(1, one), (2, two), (2, three)])
