@@ -6,6 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: A passage of over 50 words that repeats is counted, however few its bytes.
+RUN_WORDS = 51
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -26,7 +29,7 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix import repeats
 
-    return repeats(_table(spark, sf_dir, "documents"))
+    return repeats(_table(spark, sf_dir, "documents"), words=RUN_WORDS)
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

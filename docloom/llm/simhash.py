@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, text_batches
+from .common import components, cut, drop, heavy_join, reached, text_batches
 
 WIDTH = 4
 RADIUS = 4
@@ -168,24 +168,11 @@ def links(bucket: np.ndarray, fp: np.ndarray, radius: int = RADIUS) -> tuple[np.
         stack += [(level - 1, ca[s : s + step], cb[s : s + step], (shared[pair[s : s + step]], gone[pair[s : s + step]])) for s in range(0, len(ca), step)]
     a = np.concatenate([x for x, _ in out]) if out else np.zeros(0, dtype=np.int64)
     b = np.concatenate([y for _, y in out]) if out else np.zeros(0, dtype=np.int64)
-    root = _roots(len(fp), a, b)
+    root = reached(len(fp), a, b)
     far = np.flatnonzero(root != np.arange(len(fp)))
     return order[root[far]], order[far]
 
 
-def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The smallest place that each place reaches."""
-    root = np.arange(n)
-    while len(a):
-        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
-        open_ = low != high
-        a, b, low, high = a[open_], b[open_], low[open_], high[open_]
-        np.minimum.at(root, high, low)
-        while (further := root[root]).tobytes() != root.tobytes():
-            root = further
-    return root
-
-
 def _bits(count: int, blocks: int) -> list[tuple[int, int]]:
     """count bits as nearly equal blocks: (shift, width)."""
     edges = [round(i * count / blocks) for i in range(blocks + 1)]
@@ -278,7 +265,7 @@ def simhash_groups(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) ->
     rooted = classes.join(found.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return heavy_join(marked, named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def shingles(text: str | None, width: int) -> np.ndarray:

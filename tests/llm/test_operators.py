@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 
-from docloom.llm import decontaminate, embeddings, html_text, packing, sharding, simhash, suffix, token_files, tokens, toxicity, url_filter
+from docloom.llm import common, decontaminate, embeddings, html_text, packing, sharding, simhash, suffix, token_files, tokens, toxicity, url_filter
 
 R = random.Random(5)
 WORDS = ["".join(R.choice("abcdefgh") for _ in range(R.randint(1, 7))) for _ in range(300)]
@@ -94,7 +94,7 @@ def test_simhash_links():
     near = (np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 4) & (bucket[:, None] == bucket[None, :])
     i, j = np.nonzero(np.triu(near, 1))
     assert near[a, b].size == 0 or (bucket[a] == bucket[b]).all()
-    assert (simhash._roots(len(fp), a, b) == simhash._roots(len(fp), i, j)).all()
+    assert (common.reached(len(fp), a, b) == common.reached(len(fp), i, j)).all()
 
 
 def test_simhash_crowded(spark):
@@ -104,7 +104,7 @@ def test_simhash_crowded(spark):
     at = {int(x): i for i, x in enumerate(fp)}
     a, b = np.array([at[r["a"]] for r in found]), np.array([at[r["b"]] for r in found])
     i, j = np.nonzero(np.triu(np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 4, 1))
-    assert (simhash._roots(len(fp), a, b) == simhash._roots(len(fp), i, j)).all()
+    assert (common.reached(len(fp), a, b) == common.reached(len(fp), i, j)).all()
 
 
 def library(text):
@@ -195,7 +195,7 @@ def test_suffix_array():
         b = bytes(r.randrange(97, 97 + r.choice([1, 2, 5])) for _ in range(r.randint(1, 200)))
         b = b + b[: r.randint(0, len(b))]
         for length in (3, 70):
-            order = suffix.suffix_array(b, length).tolist()
+            order = suffix.suffix_array(np.frombuffer(b, dtype=np.uint8), length)[0].tolist()
             assert sorted(order) == list(range(len(b)))
             assert [b[i : i + length] for i in order] == sorted(b[i : i + length] for i in range(len(b)))
 
@@ -274,7 +274,7 @@ def test_embeddings(spark, crowd):
     ids = np.array([k for k, _ in good])
     order = np.argsort(ids, kind="stable")
     place = np.argsort(order)
-    root = simhash._roots(len(ids), place[i], place[j])
+    root = common.reached(len(ids), place[i], place[j])
     want = [(int(k), int(near[n].sum()) - 1, int(ids[order[root[place[n]]]])) for n, k in enumerate(ids)]
     want += [(i, 0, i) for i in (3000, 3001, 3002, 3003, 3004, 3005, None)]
     found = [r[:3] for r in got]
