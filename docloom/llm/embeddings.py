@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut
+from .common import components, cut, drop, heavy_join, reached
 
 LEAST = 0.95
 SAMPLE = 20_000
@@ -25,20 +25,11 @@ CROWD = 4096
 SEED = 20
 
 
-def unit(rows: list) -> tuple[np.ndarray, np.ndarray]:
-    """Rows as unit vectors in double precision, and which can be compared: equal lengths, finite, not zero."""
-    width = max((len(r) for r in rows if r is not None), default=0)
-    ok = np.array([r is not None and len(r) == width and width > 0 and not any(v is None for v in r) for r in rows], dtype=bool)
-    x = np.zeros((len(rows), width))
-    for i in np.flatnonzero(ok):
-        x[i] = rows[i]
-    with np.errstate(all="ignore"):
-        peak = np.abs(x).max(axis=1, initial=0)
-        ok &= np.isfinite(peak) & (peak > 0)
-        x[~ok] = 0
-        x[ok] /= peak[ok, None]
-        x[ok] /= np.linalg.norm(x[ok], axis=1)[:, None]
-    return x, ok
+def unit(column) -> np.ndarray:
+    """An Arrow column of vectors - finite, of one length, none zero - as unit vectors in double precision."""
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    x /= np.abs(x).max(axis=1, initial=0, keepdims=True)
+    return x / np.linalg.norm(x, axis=1)[:, None]
 
 
 def grow(sample: np.ndarray, total: int, trees: int = TREES, leaf: int = LEAF, seed: int = SEED) -> list[list[tuple]]:
@@ -113,19 +104,13 @@ def compare(x: np.ndarray, weight: np.ndarray, member: np.ndarray, leaf: int, le
                 earlier[use] = (pad[b[use]] == mine[use, None]).any(axis=1)
             np.add.at(links, a[~earlier], weight[b[~earlier]])
             np.add.at(links, b[~earlier], weight[a[~earlier]])
-            while len(a):
-                low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
-                open_ = low != high
-                a, b, low, high = a[open_], b[open_], low[open_], high[open_]
-                np.minimum.at(root, high, low)
-                while (further := root[root]).tobytes() != root.tobytes():
-                    root = further
+            root = reached(n, np.r_[a, np.arange(n)], np.r_[b, root])
     return links, root
 
 
 def _split_crowded(routed: DataFrame, classes: DataFrame, crowd: int) -> DataFrame:
     """Leaves of more than crowd classes split by planes between random members, as often as their size asks."""
-    for turn in range(4):
+    for turn in range(8):
         each = routed.select("h", F.explode("leaves").alias("leaf"))
         over = cut(each.groupBy("leaf").agg(F.count("*").alias("m")).where(F.col("m") > crowd), "crowded")
         if over.isEmpty():
@@ -139,25 +124,28 @@ def _split_crowded(routed: DataFrame, classes: DataFrame, crowd: int) -> DataFra
             import pyarrow as pa
 
             for batch in batches:
-                out_h, out_leaf = [], []
-                cache: dict[int, np.ndarray] = {}
-                x, _ = unit(batch.column("embedding").to_pylist())
-                for k, (h, leaf, m, planes) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("h", "leaf", "m", "planes")))):
-                    if leaf not in cache:
-                        p, _ = unit(planes)
-                        cache[leaf] = p[::2] - p[1::2]
-                    levels = min(10, max(1, int(np.ceil(np.log2(m / LEAF)))))
-                    sides = [0]
-                    for d, v in zip(cache[leaf][:levels] @ x[k], np.linalg.norm(cache[leaf][:levels], axis=1)):
-                        near = abs(d) < SPILL / np.sqrt(x.shape[1]) * v
-                        sides = [2 * s + b for s in sides for b in ((0, 1) if near else (int(d > 0),))]
-                    out_h += [h] * len(sides)
-                    out_leaf += [(leaf * 1_000_003 + (turn << 40) + s * 7919 + (1 << 50)) & (1 << 62) - 1 for s in sides]
-                yield pa.RecordBatch.from_arrays([pa.array(out_h, pa.int64()), pa.array(out_leaf, pa.int64())], names=["h", "leaf"])
+                x, leaf, size = unit(batch.column("embedding")), batch.column("leaf").to_numpy(), batch.column("m").to_numpy()
+                out_h, out_leaf = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+                h = batch.column("h").to_numpy()
+                for one in np.unique(leaf).tolist():
+                    mine = np.flatnonzero(leaf == one)
+                    p = unit(batch.column("planes")[int(mine[0])].values)
+                    normals = p[::2] - p[1::2]
+                    levels = min(10, max(1, int(np.ceil(np.log2(size[mine[0]] / LEAF)))))
+                    row, side = mine, np.zeros(len(mine), dtype=np.int64)
+                    for normal in normals[:levels]:
+                        d = x[row] @ normal
+                        near = np.abs(d) < SPILL / np.sqrt(x.shape[1]) * np.linalg.norm(normal)
+                        side = 2 * side + (d > 0)
+                        row, side = np.r_[row, row[near]], np.r_[side, side[near] ^ 1]
+                    out_h.append(h[row])
+                    out_leaf.append(((one * 1_000_003 + (turn << 40) + (1 << 50)) % (1 << 62) + side * 7919) & (1 << 62) - 1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_h)), pa.array(np.concatenate(out_leaf))], names=["h", "leaf"])
 
         more = inside.drop("m").join(planes, "leaf").select("h", "leaf", "m", "embedding", "planes").mapInArrow(deeper, "h bigint, leaf bigint")
         calm = each.join(over.select("leaf"), "leaf", "left_anti").select("h", "leaf")
-        routed = cut(calm.unionByName(more).groupBy("h").agg(F.collect_set("leaf").alias("leaves")), "routed")
+        before, routed = routed, cut(calm.unionByName(more).groupBy("h").agg(F.collect_set("leaf").alias("leaves")), "routed")
+        drop(before, over)
     return routed
 
 
@@ -165,30 +153,38 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST, sample: int = SAMP
     """(vec_id, n_links, component_id, kept) of every row of vectors (vec_id, embedding).
 
     Links are pairs found with a cosine of at least `least`; equal vectors are always found. Vectors that
-    are null, zero, of another length than most of their batch, or hold null or non-finite components
-    link with nothing and are their own component; so do rows with a null vec_id, whose component_id is
-    null. Repeated rows count as others. An empty table gives no rows; other columns are not looked at.
+    are null, zero, of another length than most of the table's (the shorter of two as common), or hold null
+    or non-finite components link with nothing and are their own component; so do rows with a null vec_id,
+    whose component_id is null. Repeated rows count as others; of equal distances none is preferred. An empty
+    table gives no rows; other columns are not looked at.
     """
     rows = vectors.select("vec_id", "embedding")
     good = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0)
     fine = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != F.lit(float("inf")))
     good = good & F.forall("embedding", fine) & F.exists("embedding", lambda v: v != 0)
-    marked = rows.withColumn("h", F.when(good, F.xxhash64("embedding")))
-    classes = cut(marked.where("h is not null").groupBy("h").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"), F.first("embedding").alias("embedding")), "classes")
+    widths = rows.where(good).groupBy(F.size("embedding").alias("w")).count().orderBy(F.desc("count"), "w").first()
+    width = widths["w"] if widths else 0
+    good = good & (F.size("embedding") == width)
+    # Equal vectors by a hash; a second one tells should two vectors ever share it, and another seed is taken.
+    for seed in range(100):
+        marked = rows.withColumn("h", F.when(good, F.xxhash64("embedding", F.lit(seed))))
+        proof = F.xxhash64("embedding", F.lit(-1 - seed))
+        classes = cut(marked.where("h is not null").groupBy("h").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"), F.first("embedding").alias("embedding"), (F.min(proof) != F.max(proof)).alias("mixed")), "classes")
+        if classes.where("mixed").isEmpty():
+            break
+        drop(classes)
+    marked, written, classes = marked.select("vec_id", "h"), classes, classes.drop("mixed")
     total = classes.count()
-    picked = classes.select("embedding", F.xxhash64("h", F.lit(SEED)).alias("o")).orderBy("o").limit(sample).select("embedding").toArrow().column("embedding").to_pylist()
-    x, ok = unit(picked)
-    forest = grow(x[ok], total, trees) if ok.any() else []
+    picked = classes.select("embedding", F.xxhash64("h", F.lit(SEED)).alias("o")).orderBy("o").limit(sample).select("embedding").toArrow().column("embedding").combine_chunks()
+    forest = grow(unit(picked), total, trees) if len(picked) else []
 
     def routing(batches):
         import pyarrow as pa
 
         for batch in batches:
-            x, ok = unit(batch.column("embedding").to_pylist())
-            if not forest or x.shape[1] != (forest[0][0][0].shape[0] if forest[0][0][0] is not None else x.shape[1]):
-                ok[:] = False
-            at, leaf = route(forest, x) if ok.any() else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
-            at, leaf = at[ok[at]], leaf[ok[at]]
+            if not batch.num_rows:
+                continue
+            at, leaf = route(forest, unit(batch.column("embedding")))
             order = np.argsort(at, kind="stable")
             ends = np.searchsorted(at[order], np.arange(batch.num_rows + 1))
             leaves = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(leaf[order], pa.int64()))
@@ -201,16 +197,14 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST, sample: int = SAMP
         import pyarrow as pa
 
         def one(leaf, got):
-            h, n, raw, leaves = (sum((g[k] for g in got), []) for k in range(4))
+            h, n, raw, leaves = (pa.concat_arrays([g[k] for g in got]) for k in range(4))
             if len(h) < 2:
                 return None
-            x, _ = unit(raw)
-            member = np.full((len(h), max(map(len, leaves))), -1, dtype=np.int64)
-            for k, own in enumerate(leaves):
-                member[k, : len(own)] = own
-            links, root = compare(x, np.array(n), member, leaf, least)
+            h, n, sizes = h.to_numpy(), n.to_numpy(), leaves.value_lengths().to_numpy()
+            member = np.full((len(h), int(sizes.max())), -1, dtype=np.int64)
+            member[np.arange(member.shape[1]) < sizes[:, None]] = leaves.flatten().to_numpy()
+            links, root = compare(unit(raw), n, member, leaf, least)
             some = np.flatnonzero((links > 0) | (root != np.arange(len(h))))
-            h = np.array(h)
             return pa.RecordBatch.from_arrays([pa.array(h[some]), pa.array(h[root[some]]), pa.array(links[some])], names=["a", "b", "links"]) if len(some) else None
 
         now, got = None, []
@@ -225,7 +219,7 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST, sample: int = SAMP
                         yield made
                     got = []
                 now = int(ids[s])
-                got.append([batch.column(c).slice(s, e - s).to_pylist() for c in ("h", "n", "embedding", "leaves")])
+                got.append([batch.column(c).slice(s, e - s) for c in ("h", "n", "embedding", "leaves")])
         if got and (made := one(now, got)) is not None:
             yield made
 
@@ -234,10 +228,13 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST, sample: int = SAMP
     links = found.groupBy(F.col("a").alias("h")).agg(F.sum("links").alias("links"))
     roots = components(found.select("a", "b")).select(F.col("node").alias("h"), "root")
     rooted = classes.select("h", "least", "n").join(roots, "h", "left").join(links, "h", "left")
-    rooted = rooted.select("h", F.coalesce("root", "h").alias("root"), "least", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
+    rooted = cut(rooted.select("h", F.coalesce("root", "h").alias("root"), "least", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links")), "rooted")
+    drop(written, routed, found)
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(smallest, "root").select("h", "n_links", "component_id")
-    out = marked.select("vec_id", "h").join(named, "h", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    named = heavy_join(rooted, smallest, "root").select("h", "n_links", "component_id")
+    ids = cut(marked, "ids")
+    lone = ids.where("h is null").select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
+    out = heavy_join(ids.where("h is not null"), named, "h").select("vec_id", F.col("n_links").cast("bigint").alias("n_links"), "component_id").unionByName(lone)
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 

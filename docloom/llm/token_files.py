@@ -11,7 +11,7 @@ One file, little-endian::
            doc_id i64 each | doc_id known u8 each | ids u32 each | first byte u64 each
            mark offset in bits u64 each | payload | 4 zero bytes
 
-Files follow each other in ascending doc_id order (null first), equal doc_ids in order of their ids.
+Files follow each other in ascending doc_id order (null first); rows of one doc_id may fill several files.
 """
 
 from __future__ import annotations
@@ -21,11 +21,11 @@ import uuid
 import zlib
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, fresh_path, text_batches
+from .common import cut, drop, fresh_path, text_batches
 from .tokens import encoder, vocabulary_path
 
 MAGIC = b"DLHUFF01"
@@ -33,6 +33,8 @@ LIMIT = 20
 STEP = 256
 BLOCK_IDS = 1 << 17
 TARGET_BYTES = 24_000_000
+#: Beyond so many files they grow instead; a file's bounds come from PARTS measured ranges.
+MOST_FILES, PARTS = 10_000, 8
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -175,61 +177,137 @@ def _open(path: str, mode: str):
     return files.open_input_stream(at, buffer_size=1 << 20)
 
 
-def id_counts(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
-    """(id, n) over all texts, the end of each document included."""
+def token_ids(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
+    """(doc_id, size, n, ids): the bytes of each text, its ids with the end id, as little-endian numbers of two bytes if all fit, else of four."""
 
-    def count(batches):
+    def encode(batches):
         import pyarrow as pa
 
-        tool, total = encoder(vocabulary), None
-        total = np.zeros(max(tool.size, end_id + 1), dtype=np.int64)
+        tool = encoder(vocabulary)
+        kind = "<u2" if max(tool.size, end_id + 1) <= 1 << 16 else "<u4"
         for batch in batches:
             for part in text_batches(batch):
-                flat, _ = tool.encode_flat(part.column("text").to_pylist())
-                total += np.bincount(flat, minlength=len(total))
-                total[end_id] += part.num_rows
+                texts = part.column("text").to_pylist()
+                flat, counts = tool.encode_flat(texts)
+                flat = np.insert(flat, np.cumsum(counts), end_id).astype(kind)
+                ends = np.cumsum(counts + 1) * flat.itemsize
+                ids = pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(np.r_[0, ends].astype(np.int64)), pa.py_buffer(flat)]).cast(pa.binary())
+                sizes = pa.array([len(t.encode()) if t else 0 for t in texts], pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), sizes, pa.array(counts + 1), ids], names=["doc_id", "size", "n", "ids"])
+
+    return docs.select("doc_id", "text").mapInArrow(encode, "doc_id bigint, size bigint, n bigint, ids binary")
+
+
+def _numbers(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, dtype="<u2" if len(raw) == 2 * n else "<u4")
+
+
+def id_counts(coded: DataFrame) -> DataFrame:
+    """(id, count) over all ids of token_ids()."""
+
+    def count(batches):
+        import pyarrow as pa
+
+        total = np.zeros(0, dtype=np.int64)
+        for batch in batches:
+            for raw, n in zip(batch.column("ids"), batch.column("n").to_pylist()):
+                found = np.bincount(_numbers(raw.as_buffer(), n))
+                if len(found) > len(total):
+                    total = np.r_[total, np.zeros(len(found) - len(total), dtype=np.int64)]
+                total[: len(found)] += found
         some = np.flatnonzero(total)
         if len(some):
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["id", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["id", "count"])
 
-    return docs.select("text").mapInArrow(count, "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+    return coded.select("ids", "n").mapInArrow(count, "id int, count bigint").groupBy("id").agg(F.sum("count").alias("count"))
+
+
+def _ranges(coded: DataFrame, files: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Bounds of doc_id, and for each range between them (nulls first, range k holds ids up to bounds[k - 1]) its first file and its files.
+
+    The ranges, PARTS a file and one for each common doc_id, are measured in bytes; a range of one doc_id that
+    is over a file's share gets several files.
+    """
+    marks = [i / (PARTS * files) for i in range(1, PARTS * files)]
+    found = coded.agg(F.percentile_approx("doc_id", marks, F.lit(min(10**6, 100 * PARTS * files)))).first()[0] or []
+    again = {x for x, y in zip(found, found[1:]) if x == y}
+    bounds = np.array(sorted({*found, *(x - 1 for x in again if x > -(1 << 63))}), dtype=np.int64)
+
+    def measure(batches):
+        import pyarrow as pa
+
+        total = np.zeros(len(bounds) + 2, dtype=np.int64)
+        for batch in batches:
+            np.add.at(total, _range_of(batch.column("doc_id"), bounds), batch.column("size").to_numpy() + 8)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["range", "bytes"])
+
+    sizes = np.zeros(len(bounds) + 2, dtype=np.int64)
+    for r in coded.select("doc_id", "size").mapInArrow(measure, "range bigint, bytes bigint").groupBy("range").agg(F.sum("bytes").alias("bytes")).collect():
+        sizes[r["range"]] = r["bytes"]
+    single = np.r_[True, np.diff(bounds, prepend=bounds[:1] - 2) == 1, False]
+    share, out, no, filled = max(1.0, sizes.sum() / files), [], 0, 0
+    for size, one in zip(sizes.tolist(), single.tolist()):
+        if filled and filled + size > share:
+            no, filled = no + 1, 0
+        parts = max(1, round(size / share)) if one else 1
+        out.append((no, parts))
+        no, filled = (no + parts, 0) if parts > 1 else (no, filled + size)
+    return bounds, out
+
+
+def _range_of(doc_ids, bounds: np.ndarray) -> np.ndarray:
+    """The range of each doc_id: 0 for nulls."""
+    known = doc_ids.is_valid().to_numpy(zero_copy_only=False)
+    return np.where(known, np.searchsorted(bounds, doc_ids.fill_null(0).to_numpy(), side="left") + 1, 0)
+
+
+def _own_tasks(spark, n: int) -> np.ndarray:
+    """For each of n tasks a number that repartition(n, number) deals to it."""
+    seen = spark.range(n * (n.bit_length() + 12)).groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("task")).agg(F.min("id").alias("id")).collect()  # a row a task
+    out = np.arange(n)
+    for r in seen:
+        out[r["task"]] = r["id"]
+    return out
 
 
 def write_token_files(docs: DataFrame, path: str | None = None, vocabulary: str | None = None, end_id: int = 1, target_bytes: int = TARGET_BYTES) -> DataFrame:
     """Encode docs (doc_id, text) and write the files below path (default: a new place in the shared folder).
 
     Returns the manifest (file_no, path, docs, ids, start): a row for each file, start the ids in files before.
-    Three passes read the texts' table: sizes and doc_id bounds, id counts, and the encoding itself; only
-    encoded bytes are shuffled. What reaches the driver: the code lengths (at most the vocabulary) and a bound a file.
-    Null texts are empty and hold the end id alone; repeated rows stay; an empty table writes no file.
+    Texts are encoded once; their ids are written, counted, and coded in a second pass. What reaches the driver:
+    the ids' counts (at most the vocabulary), and PARTS measured ranges a file. A file takes about target_bytes
+    of texts, more beyond MOST_FILES files, and is written by a task of its own, block by block.
+    Null texts are empty and hold the end id alone; very long texts are whole documents of one file; repeated
+    rows stay; an empty table writes no file; other columns are not looked at.
     """
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
     vocabulary, path = vocabulary or vocabulary_path(), path or fresh_path(spark, "token-files")
-    total = docs.agg(F.sum(F.octet_length("text")).alias("n"), F.count("*").alias("rows")).first()
-    counts = id_counts(docs, vocabulary, end_id).collect()
-    size = max([end_id, *(r["id"] for r in counts)]) + 1
-    table = np.zeros(size, dtype=np.int64)
+    coded = cut(token_ids(docs, vocabulary, end_id), "ids")
+    total = coded.agg(F.sum("size")).first()[0] or 0
+    counts = id_counts(coded).collect()
+    table = np.zeros(max([end_id, *(r["id"] for r in counts)]) + 1, dtype=np.int64)
     for r in counts:
-        table[r["id"]] = r["n"]
+        table[r["id"]] = r["count"]
     lengths = code_lengths(table)
     codes = canonical(lengths)
-    files = max(1, math.ceil((total["n"] or 0) / target_bytes))
-    marks = [i / files for i in range(1, files)]
-    bounds = np.array((docs.agg(F.percentile_approx("doc_id", marks, F.lit(min(10**6, 100 * files)))).first()[0] or []) if marks else [], dtype=np.int64)
+    bounds, of_range = _ranges(coded, min(MOST_FILES, max(1, math.ceil(total / target_bytes))))
+    first, parts = (np.array(x, dtype=np.int64) for x in zip(*of_range))
+    files = int((first + parts).max())
+    tasks = _own_tasks(spark, files)
 
     def encode(batches):
         import pyarrow as pa
+        from xxhash import xxh3_64_intdigest
 
-        tool = encoder(vocabulary)
-        end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
-            for part in text_batches(batch):
-                ids = [np.frombuffer(x + end, dtype="<u4") for x in tool.encode(part.column("text").to_pylist())]
-                done = [encode_ids(x, lengths, codes) for x in ids]
-                known = part.column("doc_id").to_pylist()
-                where = [0 if d is None else int(np.searchsorted(bounds, d, side="left")) for d in known]
-                yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), part.column("doc_id"), pa.array(map(len, ids), pa.int64()), pa.array([x for x, _ in done], pa.binary()), pa.array([y.tobytes() for _, y in done], pa.binary())], names=["file_no", "doc_id", "n", "payload", "marks"])
+            raws, sizes = [x.as_buffer() for x in batch.column("ids")], batch.column("n").to_pylist()
+            done = [encode_ids(_numbers(x, n), lengths, codes) for x, n in zip(raws, sizes)]
+            at = _range_of(batch.column("doc_id"), bounds)
+            where = first[at]
+            for k in np.flatnonzero(parts[at] > 1).tolist():  # a range of several files: by doc_id, equal ones by their ids
+                where[k] += xxh3_64_intdigest(raws[k]) % int(parts[at[k]])
+            yield pa.RecordBatch.from_arrays([pa.array(tasks[where]), pa.array(where.astype(np.int32)), batch.column("doc_id"), batch.column("n"), pa.array([x for x, _ in done], pa.binary()), pa.array([y.tobytes() for _, y in done], pa.binary())], names=["task", "file_no", "doc_id", "n", "payload", "marks"])
 
     def write(batches):
         import pyarrow as pa
@@ -245,7 +323,7 @@ def write_token_files(docs: DataFrame, path: str | None = None, vocabulary: str
                 made.append((now, name, *seen))
 
         for batch in batches:
-            for no, doc_id, n, payload, at in zip(*(c.to_pylist() for c in batch.columns)):
+            for no, doc_id, n, payload, at in zip(*(batch.column(c).to_pylist() for c in ("file_no", "doc_id", "n", "payload", "marks"))):
                 if no != now:
                     close()
                     now, held, rows, seen = no, [], 0, [0, 0]
@@ -261,11 +339,10 @@ def write_token_files(docs: DataFrame, path: str | None = None, vocabulary: str
         if made:
             yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.int32()), pa.array([m[1] for m in made]), pa.array([m[2] for m in made], pa.int64()), pa.array([m[3] for m in made], pa.int64())], names=["file_no", "path", "docs", "ids"])
 
-    coded = docs.mapInArrow(encode, "file_no int, doc_id bigint, n bigint, payload binary, marks binary")
-    coded = coded.repartition(files, "file_no").sortWithinPartitions("file_no", "doc_id", "n", "payload")
-    made = cut(coded.mapInArrow(write, "file_no int, path string, docs bigint, ids bigint"), "manifest")
-    from pyspark.sql import Window
-
+    made = coded.mapInArrow(encode, "task bigint, file_no int, doc_id bigint, n bigint, payload binary, marks binary")
+    made = made.repartition(files, "task").sortWithinPartitions("file_no", "doc_id", "n", "payload")
+    made = cut(made.mapInArrow(write, "file_no int, path string, docs bigint, ids bigint"), "written")
+    drop(coded)
     before = Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)  # a row a file
     return cut(made.withColumn("start", F.coalesce(F.sum("ids").over(before), F.lit(0).cast("bigint"))), "manifest")
 
@@ -298,4 +375,7 @@ def _read(manifest: DataFrame, column: str, of) -> DataFrame:
                         start += int(ends[-1]) if len(ends) else 0
 
     files = max(1, manifest.count())
-    return manifest.select("path", "start").repartition(min(files, 4096)).mapInArrow(read, schema)
+    tasks = F.array(*[F.lit(int(t)) for t in _own_tasks(manifest.sparkSession, files)])
+    place = F.row_number().over(Window.orderBy("file_no")) - 1  # a row a file
+    dealt = manifest.select("path", "start", F.element_at(tasks, place + 1).cast("bigint").alias("task")).repartition(files, "task")
+    return dealt.select("path", "start").mapInArrow(read, schema)

@@ -1,11 +1,11 @@
 """Token ids of a public word-BPE vocabulary, many times faster than encoding text by text.
 
 The vocabulary (a tokenizers JSON file with end-of-word symbols) drops white space, so a text's ids
-are those of its blank-separated chunks in turn. All texts of a batch are cut into words by array
-operations; words are told apart by 64-bit hashes and remembered with their ids, and new ones are
-merged together, one merge in every word a round. Chunks with anything but plain Latin letters,
-digits and signs (other scripts, controls, apostrophes, special tokens, very long runs) go to the
-tokenizers library itself, so the ids are always the library's.
+are those of its words in turn. All texts of a batch are cut into words by array operations; the
+tokenizers library encodes each distinct word once, and its ids are remembered with its bytes. Words
+are found again by a 64-bit hash and compared byte by byte; should two words ever share a hash, the
+library encodes the batch's whole texts. Chunks with anything but plain Latin letters, digits and
+signs (other scripts, controls, apostrophes, special tokens, very long runs) are words of their own.
 """
 
 from __future__ import annotations
@@ -24,7 +24,6 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
 class WordEncoder:
     """Texts to ids. limit: words remembered; only speed depends on it."""
 
-    NONE = 1 << 30
     LONGEST = 48
     SPACE, LETTER, NUMBER, OTHER, ODD = range(5)
     BASE = 0x2545F4914F6CDD1D
@@ -41,26 +40,12 @@ class WordEncoder:
             model = json.load(f)
         self.special = [x["content"] for x in model.get("added_tokens", [])]
         vocab = model["model"]["vocab"]
-        merges = [m.split(" ") if isinstance(m, str) else m for m in model["model"]["merges"]]
-        self.size = max(vocab.values()) + 1 if vocab else 0
-        self.size = max([self.size, *(x["id"] + 1 for x in model.get("added_tokens", []))])
-        ids = np.array([[vocab[a], vocab[b], vocab[a + b]] for a, b in merges], dtype=np.uint64)
-        keys = ids[:, 0] << np.uint64(32) | ids[:, 1]
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.rank_of, self.made = keys[order], order.astype(np.int32), ids[:, 2].astype(np.int32)
-        letters = self._letters()
-        suffix = model["model"]["end_of_word_suffix"] or ""
-        self.inner = np.array([vocab[letters[b]] for b in range(256)], dtype=np.int32)
-        self.last = np.array([vocab[letters[b] + suffix] for b in range(256)], dtype=np.int32)
+        self.size = max([0, *vocab.values(), *(x["id"] for x in model.get("added_tokens", []))]) + 1
+        suffix = model["model"].get("end_of_word_suffix") or ""
+        self.final = np.zeros(self.size, dtype=bool)
+        self.final[[i for x, i in vocab.items() if suffix and x.endswith(suffix)]] = True
         self._tables()
 
-    @staticmethod
-    def _letters() -> dict[int, str]:
-        """The byte-level alphabet: printable bytes stand for themselves, the rest follow U+0100."""
-        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        rest = [b for b in range(256) if b not in set(shown)]
-        return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
-
     def _tables(self) -> None:
         """For code points below U+0250: the kind of character, and its lower case if that is as long in UTF-8."""
         import unicodedata
@@ -74,12 +59,17 @@ class WordEncoder:
             kind[c], low[c] = {"L": self.LETTER, "N": self.NUMBER}.get(unicodedata.category(chr(c))[0], self.OTHER), ord(lower)
         kind[[0x20, 0x0A]] = self.SPACE
         self.kind, self.low = kind, low
-        self.known_hash, self.known_at, self.known_n = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.pool = np.zeros(0, dtype=np.uint32)
+        self._forget()
         base = np.uint64(self.BASE)
         self.power, self.inverse = np.ones(1, np.uint64), np.ones(1, np.uint64)
         self.bases = (base, np.uint64(pow(self.BASE, -1, 1 << 64)))
 
+    def _forget(self) -> None:
+        """Nothing is known. Of a word: its hash, where its ids and bytes lie in the pools, and how many they are."""
+        np = self.np
+        self.known_hash, self.known = np.zeros(0, np.uint64), np.zeros((0, 4), np.int64)
+        self.pool, self.bytes = np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.uint8)
+
     def _powers(self, n: int) -> None:
         np = self.np
         if len(self.power) < n:
@@ -142,16 +132,15 @@ class WordEncoder:
         too_long = starts[(ends - starts > self.LONGEST) & ~space[starts]]
         special = [i for x in self.special for i in self._finds(raw, x.encode())]
         odd_at = np.unique(np.concatenate([odd_at, too_long, np.array(special, dtype=np.int64)]))
-        odd: list[tuple[int, int]] = []
         if len(odd_at):
             gaps = np.flatnonzero(space)
             to = np.unique(np.searchsorted(gaps, odd_at))
             begin, stop = np.where(to > 0, gaps[to - 1] + 1, 0), gaps[to]
-            odd = list(zip(begin.tolist(), stop.tolist()))
             inside = np.zeros(n + 1, dtype=np.int8)
             inside[begin] += 1
             inside[stop] -= 1
             inside = np.cumsum(inside[:-1], dtype=np.int8) > 0
+            low[inside] = b[inside]
             new &= ~inside
             new[begin] = new[stop] = True
             starts = np.flatnonzero(new)
@@ -164,20 +153,24 @@ class WordEncoder:
             np.cumsum((low.astype(np.uint64) + np.uint64(1)) * self.power[:n], out=s[1:])
             h = (s[ends] - s[starts]) * self.inverse[starts]
             h = (h ^ h >> np.uint64(31)) * np.uint64(0x9FB21C651E98DF25)
-        if odd:  # hashes of their own, apart from words
-            at = np.searchsorted(starts, [o[0] for o in odd])
-            h[at] = self._odd([raw[x:y] for x, y in odd])
         if not len(h):
             return np.zeros(0, dtype=np.uint32), np.zeros(len(raws), dtype=np.int64)
         distinct, one, which = np.unique(h, return_index=True, return_inverse=True)
+        lens = ends - starts
+        if not self._same(low, starts, lens, low, starts[one][which], lens[one][which]):
+            return self._plain(raws)
         place = self._place(distinct)
         missing = np.flatnonzero(place < 0)
         if len(missing):
             text = low.tobytes()
-            words = [text[x:y] for x, y in zip(starts[one[missing]].tolist(), ends[one[missing]].tolist())]
-            self._remember(distinct[missing], self._merge(words))
+            odd = inside[starts[one[missing]]] if len(odd_at) else np.zeros(len(missing), dtype=bool)
+            for kind in (odd, ~odd):
+                at = one[missing[kind]]
+                self._remember(distinct[missing[kind]], [text[x:y].decode() for x, y in zip(starts[at].tolist(), ends[at].tolist())], kind is odd)
             place = self._place(distinct)
-        at, m = self.known_at[place], self.known_n[place]
+        at, m, text_at, text_n = self.known[place].T
+        if not self._same(low, starts[one], lens[one], self.bytes, text_at, text_n):
+            return self._plain(raws)
         m_all = m[which]
         total = int(m_all.sum())
         before = np.cumsum(m_all) - m_all
@@ -186,9 +179,23 @@ class WordEncoder:
         edge = np.searchsorted(starts, np.cumsum(sizes))
         upto = np.r_[0, np.cumsum(m_all)][edge]
         if len(self.known_hash) > self.limit:
-            self.known_hash, self.known_at, self.known_n, self.pool = self.known_hash[:0], self.known_at[:0], self.known_n[:0], self.pool[:0]
+            self._forget()
         return flat, np.diff(np.r_[0, upto])
 
+    def _same(self, x, x_at, x_n, y, y_at, y_n) -> bool:
+        """Are the words of x and y in turn the same bytes?"""
+        np = self.np
+        if (x_n != y_n).any():
+            return False
+        inner = np.arange(int(x_n.sum())) - np.repeat(np.cumsum(x_n) - x_n, x_n)
+        return bool((x[np.repeat(x_at, x_n) + inner] == y[np.repeat(y_at, x_n) + inner]).all())
+
+    def _plain(self, raws: list[bytes]):
+        """Whole texts through the library."""
+        np = self.np
+        ids = [x.ids for x in self.library.encode_batch([r.decode() for r in raws], add_special_tokens=False)]
+        return np.array([i for x in ids for i in x], dtype=np.uint32), np.array([len(x) for x in ids], dtype=np.int64)
+
     @staticmethod
     def _finds(raw: bytes, what: bytes):
         at = raw.find(what)
@@ -203,67 +210,32 @@ class WordEncoder:
         at = np.minimum(np.searchsorted(self.known_hash, h), len(self.known_hash) - 1)
         return np.where(self.known_hash[at] == h, at, -1)
 
-    def _remember(self, h, ids: list[bytes]) -> None:
+    def _ids(self, words: list[str], single: bool) -> tuple:
+        """(ids of all words in turn, ids of each). Words that aren't single (one that the library may part) go in one text: each ends with an id of a word's end."""
         np = self.np
-        n = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
-        at = len(self.pool) + np.cumsum(n) - n
-        self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(ids), dtype="<u4").astype(np.uint32)])
+        if not single:
+            flat = [np.array(self.library.encode(" ".join(words[k : k + 500]), add_special_tokens=False).ids, dtype=np.uint32) for k in range(0, len(words), 500)]
+            flat = np.concatenate([np.zeros(0, dtype=np.uint32), *flat])
+            last = np.flatnonzero(self.final[flat])
+            if len(last) == len(words):
+                return flat, np.diff(np.r_[-1, last])
+        ids = [x.ids for x in self.library.encode_batch(words, add_special_tokens=False)]
+        return np.array([i for x in ids for i in x], dtype=np.uint32), np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+
+    def _remember(self, h, words: list[str], single: bool) -> None:
+        """The library's ids of new words, whose hashes are h."""
+        if not words:
+            return
+        np = self.np
+        ids, n = self._ids(words, single)
+        words = [w.encode() for w in words]
+        size = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        new = np.stack([len(self.pool) + np.cumsum(n) - n, n, len(self.bytes) + np.cumsum(size) - size, size], axis=1)
+        self.pool = np.concatenate([self.pool, ids])
+        self.bytes = np.concatenate([self.bytes, np.frombuffer(b"".join(words), dtype=np.uint8)])
         every = np.concatenate([self.known_hash, h])
         order = np.argsort(every, kind="stable")
-        self.known_hash, self.known_at, self.known_n = every[order], np.concatenate([self.known_at, at])[order], np.concatenate([self.known_n, n])[order]
-
-    def _odd(self, chunks: list[bytes]):
-        """Hashes of odd chunks, whose ids the library gives."""
-        from xxhash import xxh3_64_intdigest
-
-        np = self.np
-        h = np.array([xxh3_64_intdigest(c, 77) for c in chunks], dtype=np.uint64)
-        distinct, one = np.unique(h, return_index=True)
-        fresh = np.flatnonzero(self._place(distinct) < 0)
-        if len(fresh):
-            texts = [chunks[i].decode() for i in one[fresh].tolist()]
-            self._remember(distinct[fresh], [np.array(self.library.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts])
-        return h
-
-    def _rank(self, a, b):
-        """Place of the pair in the list of merges, NONE if it has none."""
-        np = self.np
-        key = a.astype(np.uint64) << np.uint64(32) | b.astype(np.uint64)
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.rank_of[at], self.NONE)
-
-    def _merge(self, words: list[bytes]) -> list[bytes]:
-        np = self.np
-        out: list[bytes] = [b""] * len(words)
-        lens = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        for n in np.unique(lens).tolist():
-            rows = np.flatnonzero(lens == n)
-            raw = np.frombuffer(b"".join([words[i] for i in rows.tolist()]), dtype=np.uint8).reshape(len(rows), n)
-            ids = self.inner[raw]
-            ids[:, -1] = self.last[raw[:, -1]]
-            rank = self._rank(ids[:, :-1], ids[:, 1:])
-            while len(rows):
-                width = ids.shape[1]
-                at = rank.argmin(axis=1) if width > 1 else np.zeros(len(rows), dtype=np.int64)
-                best = rank[np.arange(len(rows)), at] if width > 1 else np.full(len(rows), self.NONE)
-                done = best == self.NONE
-                if done.any():
-                    flat = ids[done].astype("<u4").tobytes()
-                    for k, i in enumerate(rows[done].tolist()):
-                        out[i] = flat[4 * width * k : 4 * width * (k + 1)]
-                    rows, ids, rank, at, best = rows[~done], ids[~done], rank[~done], at[~done], best[~done]
-                    if not len(rows):
-                        break
-                each, cols = np.arange(len(rows)), np.arange(width - 1)
-                ids = np.take_along_axis(ids, cols + (cols > at[:, None]), axis=1)
-                ids[each, at] = self.made[best]
-                cols = cols[:-1]
-                rank = np.take_along_axis(rank, cols + (cols >= at[:, None]), axis=1)
-                right = at < width - 2
-                rank[each[right], at[right]] = self._rank(ids[each[right], at[right]], ids[each[right], at[right] + 1])
-                left = at > 0
-                rank[each[left], at[left] - 1] = self._rank(ids[each[left], at[left] - 1], ids[each[left], at[left]])
-        return out
+        self.known_hash, self.known = every[order], np.concatenate([self.known, new])[order]
 
 
 _encoders: dict[str, WordEncoder] = {}
