@@ -85,27 +85,29 @@ def route(trees: list[list[tuple]], x: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def compare(x: np.ndarray, weight: np.ndarray, member: np.ndarray, leaf: int, least: float, step: int = 512) -> tuple[np.ndarray, np.ndarray]:
     """One leaf: links of each row (weights of its partners that this leaf is the first to hold), and the smallest row it is tied to.
 
-    member: each row's leaves, padded with -1 and -2 so that padding never agrees.
+    member: each row's leaves, padded with negative numbers. Whether two rows share an earlier leaf is told by
+    the product of their rows in a table of 0 and 1, a column for each earlier leaf of two members or more.
     """
     n = len(x)
-    links, root = np.zeros(n, dtype=np.int64), np.arange(n)
-    pad = member.copy()
-    pad[pad < 0] = -2
+    row, column = np.nonzero((member >= 0) & (member < leaf))
+    ids, place, count = np.unique(member[row, column], return_inverse=True, return_counts=True)
+    common = count > 1
+    held = np.zeros((n, int(common.sum())), dtype=np.uint8)
+    some = common[place]
+    held[row[some], (np.cumsum(common) - 1)[place[some]]] = 1
+    links, root, weight = np.zeros(n), np.arange(n), weight.astype(np.float64)
     for s in range(0, n, step):
-        i, j = np.nonzero(x[s : s + step] @ x[s:].T >= least)
-        i, j = i + s, j + s
-        i, j = i[i < j], j[i < j]
-        for k in range(0, len(i), 100_000):
-            a, b = i[k : k + 100_000], j[k : k + 100_000]
-            earlier = np.zeros(len(a), dtype=bool)
-            for c in range(member.shape[1]):
-                mine = member[a, c]
-                use = np.flatnonzero((mine >= 0) & (mine < leaf) & ~earlier)
-                earlier[use] = (pad[b[use]] == mine[use, None]).any(axis=1)
-            np.add.at(links, a[~earlier], weight[b[~earlier]])
-            np.add.at(links, b[~earlier], weight[a[~earlier]])
-            root = reached(n, np.r_[a, np.arange(n)], np.r_[b, root])
-    return links, root
+        near = x[s : s + step] @ x[s:].T >= least
+        near &= np.arange(s, n) > np.arange(s, min(n, s + step))[:, None]
+        if near.any():
+            for c in range(0, held.shape[1], 2048):
+                near &= held[s : s + step, c : c + 2048].astype(np.float32) @ held[s:, c : c + 2048].astype(np.float32).T < 0.5
+        i, j = np.nonzero(near)
+        if len(i):
+            links[s : s + step] += near @ weight[s:]
+            links[s:] += weight[s : s + step] @ near
+            root = reached(n, np.r_[i + s, np.arange(n)], np.r_[j + s, root])
+    return links.astype(np.int64), root
 
 
 def _split_crowded(routed: DataFrame, classes: DataFrame, crowd: int) -> DataFrame:

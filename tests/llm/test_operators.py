@@ -378,3 +378,40 @@ def test_keep_first_repeated_ids(spark):
     docs = spark.createDataFrame([(d, t, 0) for d, t in rows], "doc_id bigint, text string, d int").repartition(3)
     got = simhash.keep_first(docs)
     assert got.columns == docs.columns and sorted((r["doc_id"], r["text"]) for r in got.collect()) == sorted([(1, one), (2, two), (2, three)])
+
+
+def test_html_priors():
+    """Names alone don't cut: a page in one form stays, so do names that only begin like furniture."""
+    of = lambda x: html_text.Page(x).text()
+    assert of("<body><form><div><h1>Title</h1><p>long enough text</p><input></div></form></body>") == "Title\nlong enough text"
+    assert of("<article><p>one two three four</p><form>send<button>go</button></form><p class='share-price'>12</p><div class='related-work'>kept</div><div class='share-box'>x</div></article>") == "one two three four\n12\nkept"
+    assert of("<article><p>one</p><section class='comments'><article class=comment><p>much more text than the article has</p></article></section></article>") == "one"
+
+
+@pytest.mark.parametrize("sent", [100_000, 0])
+def test_html_tree(spark, monkeypatch, sent):
+    """Three hosts' trees by hand: entropy of each node's contents and child styles over the distinct pages, the mean to the base of the pages below 0.25 is cut."""
+    import math
+
+    monkeypatch.setattr(html_text, "SENT", sent)
+    page = "<body><div class=w1><p>Welcome</p><p>to {h}</p></div><div class=w2><b>{i}</b>{x}</div><div class=w3><p>Story {i}</p><p>of {h} {y}</p></div></body>"
+    rows, want = [], {}
+    for h, n in (("a", 30), ("b", 12), ("c", 3)):
+        for i in range(n):
+            x, y = ("same" if i else "other"), "x" * (i % 2)
+            rows.append((len(rows), f"http://{h}.org/{i}", page.format(h=h, i=i // 1 if h != "b" else 0, x=x, y=i)))
+            w2 = f"{i if h != 'b' else 0}{x}"
+            blocks = [("w1", "Welcome"), ("w1", f"to {h}"), ("w2", w2), ("w3", f"Story {i if h != 'b' else 0}"), ("w3", f"of {h} {i}")]
+            want[rows[-1][0]] = (h, blocks)
+    for h in "abc":
+        own = [b for host, b in want.values() if host == h]
+        for node in ("w1", "w2", "w3"):
+            seen = collections.Counter("\n".join(t for k, t in b if k == node) for b in own)
+            entropy = -sum(c / len(own) * math.log(c / len(own), len(own)) for c in seen.values())
+            importance = entropy if node == "" else (entropy + 0) / 2  # every page has the same child styles
+            if len(own) >= html_text.LEAST_PAGES and importance < html_text.ENTROPY:
+                want = {k: (host, [x for x in b if host != h or x[0] != node]) for k, (host, b) in want.items()}
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)
+    got = {r["page_id"]: r["text"] for r in html_text.main_text(pages).collect()}
+    assert got == {k: "\n".join(t for _, t in b) for k, (_, b) in want.items()}
+    assert got[0] == "0other\nStory 0\nof a 0" and got[30] == "Story 0\nof b 0" and got[42].startswith("Welcome")
