@@ -4,8 +4,9 @@ The features of a text: hits and density of insult words, of words learnt from l
 disguised insults (digits and signs for letters); how near a second-person word stands to a hit;
 capitals, shouted words, exclamation marks, other punctuation, odd spellings, drawn-out letters, length.
 
-The trees are fitted on a bounded sample of labelled rows (TRAIN_ROWS, smallest hash of doc_id first);
-every text is scored whole.
+The model is fitted on a bounded sample of labelled rows (TRAIN_ROWS, smallest hash of doc_id first), in the
+same way whatever their number: words are learnt on either half for the features of the other, trees on three
+quarters for the margins of the fourth, which the isotonic map is fitted on. Every text is scored whole.
 """
 
 from __future__ import annotations
@@ -18,12 +19,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_batches
+from .common import cut, drop, text_batches
 
 TRAIN_ROWS = 20_000
 LEXICON = 4_000
 PREFIX = 5
-SMALL = 2_000
 
 # Plain insults and second-person words.
 INSULTS = frozenset("idiot idiots moron morons stupid dumb loser losers pathetic worthless trash scum clown disgusting garbage imbecile jerk fool ugly creep filth vermin cretin idiota estúpido imbécil basura idioten dumm trottel arschloch abschaum connard crétin salaud ordure".split())
@@ -172,33 +172,41 @@ class Model:
         return np.clip(0.99 * calibrated + 0.01 / (1 + np.exp(-margin)), 0, 1)
 
 
-def _lexicon(train: DataFrame) -> frozenset[str]:
-    """Grams far commoner in toxic texts than chance allows; equal texts count once."""
+def _lexicons(train: DataFrame) -> list[frozenset[str]]:
+    """Grams far commoner in toxic texts than chance allows, at most LEXICON: of fold 0, of fold 1, of both; equal texts count once."""
 
     def count(batches):
         import pyarrow as pa
 
-        found: tuple[Counter, Counter] = (Counter(), Counter())
+        found = [Counter() for _ in range(4)]
         for batch in batches:
-            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-                found[toxic].update(grams(text or ""))
-        some = [g for g, n in found[1].items()] + [g for g in found[0] if g not in found[1]]
+            for text, toxic, fold in zip(*(batch.column(c).to_pylist() for c in ("text", "toxic", "fold"))):
+                found[2 * fold + toxic].update(grams(text or ""))
+        some = list(set().union(*found))
         for k in range(0, len(some), 50_000):
             part = some[k : k + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([found[1][g] for g in part], pa.int64()), pa.array([found[0][g] for g in part], pa.int64())], names=["gram", "toxic", "clean"])
-
-    once = train.groupBy(F.xxhash64("text").alias("h")).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    rows = train.join(F.broadcast(once), "doc_id", "left_semi").select("text", "toxic")  # at most TRAIN_ROWS ids
-    total = rows.agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).first()
-    if not total["t"] or total["t"] == total["n"]:
-        return frozenset()
-    rate = (total["t"] + 0.5) / (total["n"] + 1)
-    both = rows.mapInArrow(count, "gram string, toxic bigint, clean bigint").groupBy("gram").agg(F.sum("toxic").alias("p"), F.sum("clean").alias("q"))
-    share = F.col("p") / (F.col("p") + F.col("q"))
-    # Evidence in nats that the gram's texts are toxic more often than the rest, and nearly always.
-    proof = F.col("p") * F.log(share / F.lit(rate)) + F.when(F.col("q") > 0, F.col("q") * F.log((1 - share) / F.lit(1 - rate))).otherwise(0)
-    kept = both.where((F.col("p") >= 4) & (share >= 0.85)).withColumn("proof", proof).where("proof >= 11").orderBy(F.desc("proof"), "gram").limit(LEXICON)
-    return frozenset(r["gram"] for r in kept.select("gram").collect())
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), *(pa.array([f[g] for g in part], pa.int64()) for f in found)], names=["gram", "q0", "p0", "q1", "p1"])
+
+    once = train.groupBy("fold", F.xxhash64("text").alias("h")).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    rows = train.join(F.broadcast(once), "doc_id", "left_semi").select("text", "toxic", "fold")  # at most TRAIN_ROWS ids
+    each = {r["fold"]: (r["t"], r["n"]) for r in rows.groupBy("fold").agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).collect()}
+    sums = [F.sum(c).alias(c) for c in ("q0", "p0", "q1", "p1")]
+    both = cut(rows.mapInArrow(count, "gram string, q0 bigint, p0 bigint, q1 bigint, p1 bigint").groupBy("gram").agg(*sums).where("p0 + p1 >= 4"), "grams")
+    out = []
+    for folds in ((0,), (1,), (0, 1)):
+        toxic, n = (sum(each.get(k, (0, 0))[i] for k in folds) for i in (0, 1))
+        if not toxic or toxic == n:
+            out.append(frozenset())
+            continue
+        rate = (toxic + 0.5) / (n + 1)
+        p, q = (sum((F.col(f"{c}{k}") for k in folds[1:]), F.col(f"{c}{folds[0]}")) for c in "pq")
+        share = p / (p + q)
+        # Evidence in nats that the gram's texts are toxic more often than the rest, and nearly always.
+        proof = p * F.log(share / F.lit(rate)) + F.when(q > 0, q * F.log((1 - share) / F.lit(1 - rate))).otherwise(0)
+        kept = both.where((p >= 4) & (share >= 0.85)).withColumn("proof", proof).where("proof >= 11").orderBy(F.desc("proof"), "gram").limit(LEXICON)
+        out.append(frozenset(r["gram"] for r in kept.select("gram").collect()))
+    drop(both)
+    return out
 
 
 def _features(rows: DataFrame, lexicon: frozenset[str], keep: list[str]) -> DataFrame:
@@ -223,21 +231,28 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
     known = labels.where("doc_id is not null and toxic in (0, 1)").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("bigint").alias("toxic"))
     known = cut(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows), "labels")
     texts = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(known), "doc_id")  # at most train_rows rows
-    train = cut(texts.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(8))), "training")
-    n = train.count()
-    folds = lambda *k: train if n < SMALL else train.where(F.col("fold").isin(*k))
-    lexicon = _lexicon(folds(0, 1, 2, 3))
-    rows = _features(folds(4, 5, 6, 7), lexicon, ["toxic", "fold"]).collect()
+    # One text for each doc_id, should it be repeated: the one of least hash.
+    texts = texts.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"), F.max("toxic").alias("toxic"))
+    fold = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(2))
+    train = cut(texts.select("doc_id", F.col("t.text").alias("text"), "toxic", fold.alias("fold")), "training")
+    drop(known)
+    first, second, whole = _lexicons(train)
+    rows = [r for k, lexicon in ((0, second), (1, first)) for r in _features(train.where(F.col("fold") == k), lexicon, ["doc_id", "toxic"]).collect()]
+    drop(train)
+    rows.sort(key=lambda r: r["doc_id"])
     x, y = np.array([r["x"] for r in rows]).reshape(-1, len(NAMES)), np.array([r["toxic"] for r in rows], dtype=np.float64)
-    if len(y) < 20 or y.min() == y.max():
-        return Model(lexicon, None, None, float(y.mean()) if len(y) else 0.0)
-    last = np.array([r["fold"] for r in rows]) == 7
-    if n < SMALL or not 0 < y[last].sum() < last.sum() or not 0 < y[~last].sum() < (~last).sum():
-        last = np.ones(len(y), dtype=bool)
-        boosted = Boosted().fit(x, y)
-    else:
-        boosted = Boosted().fit(x[~last], y[~last])
-    return Model(lexicon, boosted, isotonic(boosted.margin(x[last]), y[last]), float(y.mean()))
+    if not len(y) or y.min() == y.max():
+        return Model(whole, None, None, float(y.mean()) if len(y) else 0.0)
+    # Quarters by turns in each class, so all have both as far as there are enough.
+    quarter = np.zeros(len(y), dtype=np.int64)
+    for kind in (0, 1):
+        quarter[y == kind] = np.arange(int((y == kind).sum())) % 4
+    margin = np.zeros(len(y))
+    for k in range(4):
+        mine = quarter == k
+        if mine.any():
+            margin[mine] = Boosted().fit(x[~mine], y[~mine]).margin(x[mine])
+    return Model(whole, Boosted().fit(x, y), isotonic(margin, y), float(y.mean()))
 
 
 def scores(docs: DataFrame, model: Model) -> DataFrame:
@@ -257,12 +272,22 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """Fit on labelled rows that aren't held out, score all of docs. Without labels of both kinds the insult words alone decide."""
+    """(doc_id, held_out, score, predicted) of every row of docs, by a model of the labelled rows that aren't held out.
+
+    Null and empty texts are scored like any other, very long ones whole; repeated rows get the same score, rows
+    that repeat a doc_id with another text their own, and one such text is learnt from; equal margins get equal
+    scores; an empty table gives no rows; other columns are not looked at. Without labels of both kinds nothing
+    can be learnt: then the insult words alone decide.
+    """
     return scores(docs, fit(docs, labels, train_rows))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """The rows of docs that are not predicted toxic, with all their columns."""
+    """The rows of docs that are not predicted toxic, with all their columns, whatever their names.
+
+    Null and empty texts are judged like any other, very long ones whole; repeated rows share their fate; an
+    empty table stays empty.
+    """
     model = fit(docs, labels, train_rows)
 
     def run(batches):

@@ -415,3 +415,30 @@ def test_html_tree(spark, monkeypatch, sent):
     got = {r["page_id"]: r["text"] for r in html_text.main_text(pages).collect()}
     assert got == {k: "\n".join(t for _, t in b) for k, (_, b) in want.items()}
     assert got[0] == "0other\nStory 0\nof a 0" and got[30] == "Story 0\nof b 0" and got[42].startswith("Welcome")
+
+
+def test_trees_and_isotonic():
+    """A tree's first cut against every cut tried, pooled values against their minimax form."""
+    rng = np.random.default_rng(12)
+    x = rng.integers(0, 12, size=(300, 3)).astype(float)
+    y = ((x[:, 1] > 6) ^ (rng.random(300) < 0.1)).astype(float)
+    model = toxicity.Boosted(trees=1, depth=1).fit(x, y)
+    p = y.mean()
+    g, h = y - p, np.full(300, p * (1 - p))
+    gains = {}
+    for j in range(3):
+        for c in np.unique(x[:, j])[:-1]:
+            low = x[:, j] <= c
+            if min(h[low].sum(), h[~low].sum()) >= 1:
+                gains[j, c] = g[low].sum() ** 2 / (h[low].sum() + 1) + g[~low].sum() ** 2 / (h[~low].sum() + 1)
+    (j, c), feature, at = max(gains, key=gains.get), *model.trees[0][0][:2]
+    assert feature == j and c <= at < c + 1
+    margin, y = rng.standard_normal(60).round(1), rng.integers(0, 2, size=60).astype(float)
+    at, value = toxicity.isotonic(margin, y)
+    order = np.argsort(margin, kind="stable")
+    t = y[order]
+    plain = [max(min(t[i : j + 1].mean() for j in range(k, 60)) for i in range(k + 1)) for k in range(60)]
+    sizes = [plain.count(v) for v in sorted(set(plain))]
+    want = np.maximum.accumulate([(v * n + 0.5 * t.mean()) / (n + 0.5) for v, n in zip(sorted(set(plain)), sizes)])
+    assert len(value) == len(want) and np.allclose(value, want)
+    assert (np.diff(at) >= 0).all()
