@@ -442,3 +442,62 @@ def test_trees_and_isotonic():
     want = np.maximum.accumulate([(v * n + 0.5 * t.mean()) / (n + 0.5) for v, n in zip(sorted(set(plain)), sizes)])
     assert len(value) == len(want) and np.allclose(value, want)
     assert (np.diff(at) >= 0).all()
+
+
+def test_token_files_of_one_id(spark):
+    """A doc_id that holds most rows, and nulls, fill several files; starts stay gapless and in order of doc_id."""
+    rows = [(7, prose(60, i)) for i in range(120)] + [(None, prose(60, 500 + i)) for i in range(60)] + [(i, prose(20, 900 + i)) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    manifest = token_files.write_token_files(docs, target_bytes=4_000)
+    assert manifest.count() >= 8
+    got = sorted((r["start"], r["n_tokens"], r["doc_id"], bytes(r["ids"])) for r in token_files.read_token_files(manifest).collect())
+    assert [s for s, *_ in got] == [sum(n for _, n, *_ in got[:k]) for k in range(len(got))]
+    assert [d for *_, d, _ in got] == sorted((d for d, _ in rows), key=lambda d: (d is not None, d or 0))
+    want = collections.Counter((d, np.array([*library(t), 1], dtype="<u4").tobytes()) for d, t in rows)
+    assert collections.Counter((d, ids) for *_, d, ids in got) == want
+
+
+def test_components_in_rounds(spark):
+    """More edges than one task joins up: rounds of stars give the same, a hub and a long chain included."""
+    rng = np.random.default_rng(8)
+    edges = [(0, i) for i in range(1, 60)] + [(100 + i, 101 + i) for i in range(40)] + [tuple(map(int, rng.integers(200, 260, size=2))) for _ in range(50)]
+    table = spark.createDataFrame(edges, "a bigint, b bigint").repartition(5)
+    nodes, place = np.unique(np.array([e for e in edges if e[0] != e[1]]).ravel(), return_inverse=True)
+    root = common.reached(len(nodes), place[::2], place[1::2])
+    want = {int(n): int(nodes[r]) for n, r in zip(nodes, root)}
+    for local in (0, 1_000_000):
+        got = common.components(table, local=local).collect()
+        assert len(got) == len(want) and {r["node"]: r["root"] for r in got} == want
+
+
+def test_heavy_join(spark):
+    big = common.cut(spark.createDataFrame([(k, i) for i in range(3000) for k in ([b"hot"] if i % 3 else [str(i).encode()])] + [(None, -1)], "key binary, i int"), "big")
+    small = spark.createDataFrame([(b"hot", 1), (b"3", 2), (b"6", 3), (b"none", 4)], "key binary, v int")
+    assert rows_of(common.heavy_join(big, small, "key")) == rows_of(big.join(small, "key"))
+
+
+def test_suffix_of_very_long_texts(spark, monkeypatch):
+    """Texts far longer than a stretch, with a passage across its edge, and repeats inside one text."""
+    monkeypatch.setattr(suffix, "STRETCH", 1500)
+    one, two = prose(1200, 41), prose(1000, 42)
+    texts = [one, two + one[1300:2100] + two[:900], None, "ab" * 3000, "short"]
+    raws = [np.frombuffer((t or "").encode(), dtype=np.uint8) for t in texts]
+    row, key, a, n, p = suffix.stretches(raws, 128)
+    assert all(sum(n[row == i].tolist()) == max(0, len(r) - 399) for i, r in enumerate(raws))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    want = [(d, *x) for d, x in enumerate(removed([(t or "").encode() for t in texts], 400))]
+    assert rows_of(suffix.repeats(docs)) == sorted(want, key=repr)
+
+
+def test_run_words(spark):
+    """Words in repeated runs of 51, counted plainly."""
+    run = prose(70, 77)
+    texts = [prose(30, 1) + " " + run, run.upper().replace(" ", "\n\u3000") + " " + prose(9, 2), prose(300, 3), " ".join(run.split()[:50]), None, "x y " * 60]
+    words = [(t or "").lower().split() for t in texts]
+    seen = collections.Counter(tuple(w[i : i + 51]) for w in words for i in range(len(w) - 50))
+    want = {}
+    for d, w in enumerate(words):
+        mine = {k for i in range(len(w) - 50) if seen[tuple(w[i : i + 51])] > 1 for k in range(i, i + 51)}
+        want[d] = len(mine)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(2)
+    assert {r["doc_id"]: r["n_run_words"] for r in suffix.repeats(docs, words=51).collect()} == want and want[0] == 70

@@ -2,12 +2,13 @@
 
 import collections
 import importlib.util
+import re
 
 import pytest
 
-from docloom.llm import packing, simhash, toxicity
+from docloom.llm import packing, toxicity
 
-from .test_operators import corpus, crc, library, prose, removed
+from .test_operators import corpus, crc, library, prose
 
 pytestmark = pytest.mark.skipif(importlib.util.find_spec("corpus_pipeline") is None, reason="no pipeline")
 
@@ -23,6 +24,12 @@ def write(spark, path):
     return rows
 
 
+def shingles(text):
+    """A text's five-word shingles; a shorter text is one, one without words has none."""
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} or ({tuple(words)} if words else set())
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
@@ -32,27 +39,34 @@ def test_pipeline(spark, tmp_path):
     toxic = {r["doc_id"] for r in toxicity.toxicity(docs, labels).collect() if r["predicted"]}
     assert toxic >= {d for d in range(500, 520)} and not toxic & set(range(40))
     left = [(d, t) for d, t, *_ in rows if d not in toxic]
-    fps = [simhash.fingerprint(t) for _, t in left]
+    sets = [shingles(t) for _, t in left]
     root = list(range(len(left)))
     for _ in left:
-        for i, a in enumerate(fps):
-            for j, b in enumerate(fps):
-                if (a ^ b).bit_count() <= 4:
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if a == b or len(a & b) >= 0.8 * len(a | b):
                     root[i] = root[j] = min(root[i], root[j])
     least = collections.defaultdict(list)
     for (d, _), r in zip(left, root):
         least[r].append(d)
     left = [(d, t) for (d, t), r in zip(left, root) if d == min(least[r])]
     raws = [(t or "").encode() for _, t in left]
+    words = [(t or "").lower().split() for _, t in left]
     seen = collections.Counter(b[i : i + 400] for b in raws for i in range(len(b) - 399))
+    runs = collections.Counter(tuple(w[i : i + 51]) for w in words for i in range(len(w) - 50))
     after = []
-    for (d, t), b, (n, gone, *_) in zip(left, raws, removed(raws, 400)):
+    for (d, t), b, w in zip(left, raws, words):
         mask = [False] * len(b)
         for i in range(len(b) - 399):
             if seen[b[i : i + 400]] > 1:
                 mask[i : i + 400] = [True] * 400
-        kept = bytes(x for x, m in zip(b, mask) if not m).decode("utf-8", "ignore") if gone else t
-        if not gone or kept:
+        begins = [len(t[: m.start()].encode()) for m in re.finditer(r"\S+", t or "")][1:]
+        bounds = [0, *begins, len(b)]
+        for i in range(len(w) - 50):
+            if runs[tuple(w[i : i + 51])] > 1:
+                mask[bounds[i] : bounds[i + 51]] = [True] * (bounds[i + 51] - bounds[i])
+        kept = bytes(x for x, m in zip(b, mask) if not m).decode("utf-8", "ignore") if any(mask) else t
+        if not any(mask) or kept:
             after.append((d, kept))
     after = [(d, t) for d, t in after if d != 600]
     want = collections.Counter()
