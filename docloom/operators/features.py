@@ -92,6 +92,7 @@ class Features:
 
     def structure(self) -> list[dict]:
         out: list[dict] = []
+        seen: set[str] = set()
         root = self.doc.dictionary(self.doc.catalog.get("StructTreeRoot"))
 
         def visit(value, parent, page, path, depth):
@@ -114,8 +115,9 @@ class Features:
                     visit(node["MCID"], parent, own, path, depth)
                 return
             id_ = f"structure-{ref.obj}-{ref.gen}" if ref else f"structure-{path}"
-            if any(o["id"] == id_ for o in out) if ref else False:
+            if ref and id_ in seen:
                 return
+            seen.add(id_)
             out.append({"id": id_, "parent_id": parent, "depth": depth, "ordinal": len(out), "role": str(self.get(node, "S")), "page_number": own, "mcid": None, "title": text_of(self.get(node, "T")), "alternate_text": text_of(self.get(node, "Alt")), "actual_text": text_of(self.get(node, "ActualText")), "obj": ref.obj if ref else None, "gen": ref.gen if ref else None})
             if "K" in node:
                 visit(node["K"], id_, own, f"{path}-0", depth + 1)

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,28 +23,26 @@ def place():
     return F.coalesce(F.col("page_number"), F.lit(0)), F.col("id")
 
 
-def corpus_fragments(corpus) -> DataFrame:
-    """All channels of a corpus, one union."""
-    marks = corpus.marks()
-    page = F.col("page_number")
-
-    def part(df, channel, id_, text, number=page):
-        return df.select("doc_id", number.alias("page_number"), (F.lit(channel) if isinstance(channel, str) else channel).alias("channel"), id_.alias("id"), text.alias("text"))
-
-    none = F.lit(None).cast("int")
-    texts = marks.where("kind = 'text'")
-    structure = corpus.features("structure")
-    parts = [
-        part(texts, F.when(F.col("visibility") == "hidden", "hidden").otherwise("visible"), F.col("id"), F.col("text")),
-        part(marks.where("kind = 'marked-content'"), "accessibility", F.concat("id", F.lit("-actual-text")), F.col("actual_text")),
-        *(part(structure, "accessibility", F.concat("id", F.lit(f"-{c.replace('_', '-')}")), F.col(c)) for c in ("actual_text", "alternate_text", "title")),
-        part(corpus.features("annotation"), "annotations", F.col("id"), F.col("contents")),
-        part(corpus.features("field"), "forms", F.col("id"), F.col("value")),
-        part(corpus.features("metadata"), "metadata", F.concat(F.lit("metadata-"), "key"), F.col("value"), none),
-        part(corpus.features("attachment"), "attachments", F.concat("id", F.lit("-description")), F.col("description"), none),
-        part(corpus.features("active"), "scripts", F.concat("id", F.lit("-payload")), F.col("payload")),
-    ]
-    return reduce(DataFrame.unionByName, parts).where("text is not null and text <> ''")
+def document_fragments(marks, catalog):
+    """(page_number, channel, id, text) of all channels of a document. marks: its marks; catalog(name): the rows of one of its catalogs."""
+    for m in marks:
+        if m["kind"] == "text":
+            yield m["page_number"], "hidden" if m["visibility"] == "hidden" else "visible", m["id"], m["text"]
+        elif m["kind"] == "marked-content":
+            yield m["page_number"], "accessibility", f"{m['id']}-actual-text", m["actual_text"]
+    for s in catalog("structure"):
+        for c in ("actual_text", "alternate_text", "title"):
+            yield s["page_number"], "accessibility", f"{s['id']}-{c.replace('_', '-')}", s[c]
+    for a in catalog("annotation"):
+        yield a["page_number"], "annotations", a["id"], a["contents"]
+    for f in catalog("field"):
+        yield f["page_number"], "forms", f["id"], f["value"]
+    for m in catalog("metadata"):
+        yield None, "metadata", f"metadata-{m['key']}", m["value"]
+    for a in catalog("attachment"):
+        yield None, "attachments", f"{a['id']}-description", a["description"]
+    for a in catalog("active"):
+        yield a["page_number"], "scripts", f"{a['id']}-payload", a["payload"]
 
 
 def select(fragments: DataFrame, channels=DEFAULT, pages: list[int] | None = None, element_ids: list[str] | None = None) -> DataFrame:

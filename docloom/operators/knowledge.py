@@ -64,9 +64,11 @@ def chunks(blocks: DataFrame, target: int = TARGET) -> DataFrame:
 
 def citations(chunk_table: DataFrame, blocks: DataFrame) -> DataFrame:
     """(doc_id, owner_id, id, page_number, block_id, run_ids, text, start, end): each chunk's blocks, and where their text stands in it."""
-    each = chunk_table.select("doc_id", F.col("id").alias("owner_id"), F.col("text").alias("whole"), F.posexplode("block_ids").alias("at", "block_id"))
+    each = chunk_table.select("doc_id", F.col("id").alias("owner_id"), F.posexplode("block_ids").alias("at", "block_id"))
     joined = each.join(blocks.select("doc_id", "page_number", F.col("id").alias("block_id"), "text", "run_ids"), ["doc_id", "block_id"])
-    out = joined.withColumn("start", F.instr("whole", F.col("text")) - 1).withColumn("end", F.col("start") + F.length("text"))
+    # A chunk's text is its blocks' in turn, a character between: places are sums, the same text twice has two.
+    before = Window.partitionBy("doc_id", "owner_id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    out = joined.withColumn("start", F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0)).cast("int")).withColumn("end", F.col("start") + F.length("text"))
     parts = F.concat(F.array("owner_id", "block_id", "text"), F.col("run_ids"))
     return out.withColumn("id", stable_ids("citation", F.col("block_id"), parts)).select("doc_id", "owner_id", "id", "page_number", "block_id", "run_ids", "text", "start", "end")
 

@@ -42,12 +42,6 @@ SCHEMAS = {
 CATALOGS = ("metadata", "destination", "page_label", "structure", "annotation", "outline", "field", "attachment", "signature", "layer", "active", "finding")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """df in at least as many partitions as there are cores: a kernel's work is per document, whatever the files' splits."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
 def _box(b):
     return None if b is None else dict(zip(("x", "y", "width", "height"), b))
 
@@ -131,11 +125,33 @@ def _marks(doc: Document):
             yield {"page_number": p.number, "bbox": _box(m.get("bbox")), "fill": color_text(m["fill"]) if "fill" in m else None, "stroke": color_text(m["stroke"]) if "stroke" in m else None, "line_width": m.get("width"), "resource_obj": m["resource"].obj if m.get("resource") else None} | {k: m.get(k) for k in ("id", "content_order", "kind", "marked_content_id", "visibility", "text", "tag", "content_kind", "actual_text", "paint", "rule", "point_count", "closed", "cap", "join", "alpha", "blend", "soft_mask")}
 
 
+#: Catalogs that Features has under another name.
+METHODS = {c: f"{c}s" for c in ("destination", "page_label", "annotation", "outline", "field", "attachment", "signature", "layer", "finding")}
+
+
+def _fragments(doc: Document):
+    """All channels in one pass; a catalog that can't be read is empty."""
+    from ..operators.features import Features
+    from ..operators.fragments import document_fragments
+
+    found = Features(doc, doc.pages())
+
+    def catalog(name: str) -> list[dict]:
+        try:
+            return list(getattr(found, METHODS.get(name, name))())
+        except (PdfError, RecursionError, ValueError, TypeError, KeyError, IndexError, AttributeError):
+            return []
+
+    for page, channel, id_, text in document_fragments(_marks(doc), catalog):
+        if text:
+            yield {"page_number": page, "channel": channel, "id": id_, "text": text}
+
+
 def _catalog(name: str):
     def rows(doc: Document):
         from ..operators.features import Features
 
-        method = {"destination": "destinations", "page_label": "page_labels", "annotation": "annotations", "outline": "outlines", "field": "fields", "attachment": "attachments", "signature": "signatures", "layer": "layers", "finding": "findings"}.get(name, name)
+        method = METHODS.get(name, name)
         for row in getattr(Features(doc, doc.pages()), method)():
             yield row | {"bbox": _box(row["bbox"])} if "bbox" in row else row
 
@@ -156,10 +172,10 @@ def _images(which: int, include_bytes: bool):
 class Corpus:
     """policy and budgets hold for each document; passwords come with the rows (password) or for all (passwords)."""
 
-    def __init__(self, table: DataFrame, policy: Policy | None = None, passwords: tuple[str, ...] = ()):
+    def __init__(self, table: DataFrame, policy: Policy | None = None, passwords: tuple[str, ...] = (), partitions: int | None = None):
         self.policy, self.passwords = policy or Policy(javascript="report", launch="report"), passwords
         table = table.select("doc_id", "content", F.col("password") if "password" in table.columns else F.lit(None).cast("string").alias("password"))
-        self.table = table if table.isStreaming else spread(table)
+        self.table = table.repartition(partitions) if partitions else table
 
     def _rows(self, schema: str, of: Callable, whole: bool = False) -> DataFrame:
         policy, passwords = self.policy, self.passwords
@@ -259,22 +275,25 @@ class Corpus:
         found = self.features("attachment").where(F.col("id") == id_).select("doc_id", "id", "name", "obj", "gen")
         return found.join(self.objects(decode=True).select("doc_id", "obj", "gen", F.col("decoded").alias("bytes")), ["doc_id", "obj", "gen"]).select("doc_id", "id", "name", "bytes")
 
-    def verify_signatures(self) -> DataFrame:
-        """(doc_id, id, status, code): whether each signature's byte range covers the file and its digest and key hold."""
+    def verify_signatures(self, trust=None) -> DataFrame:
+        """(doc_id, id, status, code): whether each signature's byte range covers the file and its digest and key hold.
+
+        trust (signatures.Trust): anchors, revocation lists and the time of a chain that must lead to the signer's
+        certificate, else the signature is untrusted; without it the chain isn't looked at.
+        """
 
         def rows(content, passwords, policy):
             from ..operators.features import Features
             from ..operators.signatures import verify
 
             doc = Document(content, policy, passwords)
-            return [{"id": s["id"], **verify(content, s)} for s in Features(doc, doc.pages()).signatures()]
+            return [{"id": s["id"], **verify(content, s, trust)} for s in Features(doc, doc.pages()).signatures()]
 
         return self._rows("doc_id bigint, id string, status string, code string, signer string, digest string", rows)
 
     def fragments(self) -> DataFrame:
-        from ..operators.fragments import corpus_fragments
-
-        return corpus_fragments(self)
+        """(doc_id, page_number or null, channel, id, text) of all channels, each document parsed once."""
+        return self._product("fragments", _fragments, "doc_id bigint, page_number int, channel string, id string, text string")
 
     def search(self, query: str, **options) -> DataFrame:
         from ..operators.fragments import search

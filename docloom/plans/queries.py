@@ -11,7 +11,7 @@ from ..operators import fragments as fr
 from ..operators import knowledge, layout
 from ..sources.crypto import PERMISSIONS
 from ..sources.store import Policy
-from .corpus import Corpus, spread
+from .corpus import Corpus
 from .tables import pdf_corpus, read, text_runs, turn_fragments
 
 QUERIES: dict = {}
@@ -84,14 +84,15 @@ def pdf_open_status(spark, sf_dir):
     return _mixed(spark, sf_dir).opened().select("doc_id", "status", "code", "page_count", "encrypted", "repaired", "pdf_version")
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 16 = 5 THEN 'AESV2' ELSE 'RC4' END AS method, 'secret ' || doc_id AS text, 'user' AS credential, CASE WHEN doc_id % 16 = 5 THEN true ELSE false END AS may_copy FROM documents WHERE doc_id % 8 = 5")
+@query("SELECT doc_id, page AS page_number, text, CASE WHEN doc_id % 2 = 1 THEN 'AESV2' ELSE 'RC4' END AS method, 'user' AS credential, doc_id % 2 = 1 AS may_copy FROM placed", lines=True)
 def pdf_decrypt(spark, sf_dir):
-    """Encrypted documents opened by their user's password."""
-    table = pdf_corpus(spark, sf_dir, _variant("mixed")).where("doc_id % 8 = 5").withColumn("password", F.lit("user"))
+    """Every document encrypted, and all its lines read by its user's password."""
+    table = pdf_corpus(spark, sf_dir, _variant("locked")).withColumn("password", F.lit("user"))
     corpus = Corpus(table)
-    runs = corpus.runs().select("doc_id", "text")
+    runs = corpus.runs().select("doc_id", "page_number", "text")
     allowed = (F.shiftright("p", PERMISSIONS["copy"] - 1).bitwiseAND(F.lit(1)) == 1) | (F.col("credential") != "user")
-    return corpus.opened().join(runs, "doc_id").select("doc_id", F.when(F.col("doc_id") % 16 == 5, "AESV2").otherwise("RC4").alias("method"), "text", "credential", allowed.alias("may_copy"))
+    method = F.when(F.col("doc_id") % 2 == 1, "AESV2").otherwise("RC4")
+    return corpus.opened().join(runs, "doc_id").select("doc_id", "page_number", "text", method.alias("method"), "credential", allowed.alias("may_copy"))
 
 
 @query("SELECT doc_id, kind, CAST(n AS BIGINT) AS n FROM (SELECT doc_id, 'uncompressed' AS kind, 6 + 2 * pages AS n FROM sizes UNION ALL SELECT doc_id, 'free', 1 FROM sizes)", lines=True)
@@ -159,7 +160,7 @@ def filters_round_trip(spark, sf_dir):
             columns = list(zip(*rows)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *(pa.array(c, pa.string()) for c in columns[1:])], names=["doc_id", "filter", "digest", "state"])
 
-    return spread(read(spark, sf_dir, "documents").select("doc_id", "text")).mapInArrow(run, "doc_id bigint, filter string, digest string, state string")
+    return read(spark, sf_dir, "documents").select("doc_id", "text").repartition(spark.sparkContext.defaultParallelism).mapInArrow(run, "doc_id bigint, filter string, digest string, state string")
 
 
 # Features: R2-R8, J4, J5, O10, A7, C9, P2, P10, P12, T4, T18, I1, M5, S17
@@ -347,14 +348,15 @@ def line_grouping(spark, sf_dir):
 
 
 @query(
-    r"""SELECT doc_id, page AS page_number, CAST(line AS INTEGER) AS line, string_agg(w, ' ' ORDER BY i) AS text FROM (
-SELECT doc_id, page, i, w, sum(CASE WHEN i % 8 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page ORDER BY i) AS line FROM (
-SELECT doc_id, page, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM (SELECT doc_id, page, list_filter(string_split(regexp_replace(text, '[^a-zA-Z ]', '', 'g'), ' '), lambda x: x <> '') AS ws FROM placed WHERE pos = 0))) GROUP BY ALL""",
+    r"""SELECT doc_id, CAST(page * 100 + pos AS INTEGER) AS page_number, CAST(line AS INTEGER) AS line, string_agg(w, ' ' ORDER BY i) AS text FROM (
+SELECT doc_id, page, pos, i, w, sum(CASE WHEN i % 8 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page, pos ORDER BY i) AS line FROM (
+SELECT doc_id, page, pos, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM (SELECT doc_id, page, pos, list_filter(string_split(regexp_replace(text, '[^a-zA-Z ]', '', 'g'), ' '), lambda x: x <> '') AS ws FROM placed))) GROUP BY doc_id, page, pos, line""",
     lines=True,
 )
 def word_lines(spark, sf_dir):
-    """Words as runs, eight side by side, then 14 points down."""
-    first = text_runs(spark, sf_dir).where("content_order = 0").select("doc_id", "page_number", F.filter(F.split(F.regexp_replace("text", "[^a-zA-Z ]", ""), " "), lambda w: w != "").alias("ws"))
+    """The words of every line as runs on a page of its own, eight side by side, then 14 points down."""
+    number = (F.col("page_number") * 100 + F.col("content_order")).cast("int")
+    first = text_runs(spark, sf_dir).select("doc_id", number.alias("page_number"), F.filter(F.split(F.regexp_replace("text", "[^a-zA-Z ]", ""), " "), lambda w: w != "").alias("ws"))
     w = first.select("doc_id", "page_number", F.posexplode("ws").alias("i", "text"))
     # Beginnings overlap by design: no wide gap parts words of a line.
     runs = w.select("doc_id", "page_number", F.concat_ws("-", F.lit("run"), "i").alias("id"), F.col("i").alias("content_order"), F.lower("text").alias("low"), "text", (F.lit(72.0) + (F.col("i") % 8) * 10).alias("x"), (720 - 14 * F.floor(F.col("i") / 8)).cast("double").alias("y"), F.lit(12.0).alias("font_size"), F.lit(False).alias("starts_new_line"), F.lit("horizontal").alias("writing_mode"))
@@ -488,16 +490,15 @@ def table_dedupe_best(spark, sf_dir):
 def _order_pages(spark, sf_dir) -> DataFrame:
     """Each order as a page: a header line and a line a lineitem, four columns."""
     l = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("bigint").alias("doc_id"), "l_linenumber", "l_quantity", "l_shipmode" if "l_shipmode" in read(spark, sf_dir, "lineitem").columns else F.lit("x").alias("l_shipmode"), "l_returnflag")
-    l = l.where("doc_id % 16 = 1")
     head = l.select("doc_id").distinct().select("doc_id", F.lit(0).alias("row"), F.array(*map(F.lit, ("Line", "Quantity", "Mode", "Flag"))).alias("cells"))
     body = l.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("l_linenumber", "l_quantity")).alias("row"), F.array(F.col("l_linenumber").cast("string"), F.col("l_quantity").cast("bigint").cast("string"), "l_shipmode", "l_returnflag").alias("cells"))
     rows = head.unionByName(body).select("doc_id", "row", F.posexplode("cells").alias("col", "text"))
     return rows.select("doc_id", F.lit(1).alias("page_number"), F.concat_ws("-", F.lit("block-1"), F.col("row") * 4 + F.col("col") + 1).alias("id"), (F.col("row") * 4 + F.col("col")).alias("reading_order"), "text", (72.0 + 120 * F.col("col")).alias("x"), (720.0 - 20 * F.col("row")).alias("y"), F.lit(12.0).alias("font_size"))
 
 
-@query("SELECT CAST(l_orderkey AS BIGINT) AS doc_id, 'layout-grid' AS heuristic, CAST(4 AS INTEGER) AS headers, CAST(4 * count(*) AS INTEGER) AS cells FROM lineitem WHERE l_orderkey % 16 = 1 GROUP BY l_orderkey HAVING count(*) >= 2")
+@query("SELECT CAST(l_orderkey AS BIGINT) AS doc_id, 'layout-grid' AS heuristic, CAST(4 AS INTEGER) AS headers, CAST(4 * count(*) AS INTEGER) AS cells FROM lineitem GROUP BY l_orderkey HAVING count(*) >= 2")
 def layout_tables(spark, sf_dir):
-    """The grid of every sixteenth order found again from its cells' places."""
+    """The grid of every order found again from its cells' places."""
     return knowledge.tables(_order_pages(spark, sf_dir)).select("doc_id", "heuristic", F.size("headers").alias("headers"), F.size("cells").alias("cells"))
 
 

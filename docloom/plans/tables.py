@@ -26,9 +26,8 @@ def pdf_corpus(spark: SparkSession, sf_dir: str, make=None, columns: tuple[str,
             made = [make(r) if make else text_pdf(r["text"], title=f"{r['source']} {r['lang']}") for r in batch.to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(made, pa.binary())], names=["doc_id", "content"])
 
-    from .corpus import spread
-
-    return spread(read(spark, sf_dir, "documents").select(*columns)).mapInArrow(run, "doc_id bigint, content binary")
+    # A kernel's work is per document, whatever the files' splits.
+    return read(spark, sf_dir, "documents").select(*columns).repartition(spark.sparkContext.defaultParallelism).mapInArrow(run, "doc_id bigint, content binary")
 
 
 def text_runs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,6 +33,18 @@ def mixed(row) -> bytes:
     return text_pdf(text, latin=kind == 6, filters="LZWDecode" if kind == 7 else "FlateDecode")
 
 
+def locked(row) -> bytes:
+    """The whole text, encrypted: AES and leave to copy for odd doc_ids, RC4 and none for even ones."""
+    odd = row["doc_id"] % 2 == 1
+
+    def done(w: Writer) -> bytes:
+        for n, body in w.objects.items():  # the only strings outside streams; encrypted() takes none
+            w.objects[n] = body.replace(b"/Registry(Adobe)/Ordering(Identity)", b"")
+        return encrypted(w, "user", "owner", p=-4 if odd else -20, aes=odd)
+
+    return text_pdf(row["text"], done=done)
+
+
 def rich(row) -> bytes:
     """Labels, outlines, destinations, annotations, a form, an attachment, structure, layers, an image and a path on page 1."""
     text, number = row["text"], row["doc_id"]

@@ -154,8 +154,8 @@ def lines_of(text: str | None) -> list[str]:
     return [line for line in (" ".join(raw.split()) for raw in (text or "").split("\n")) if line]
 
 
-def text_pdf(text: str | None, latin: bool = False, packed: bool = False, filters: str = "FlateDecode", title: str | None = None, labels: str = "", extras=None) -> bytes:
-    """A PDF of a text. extras(writer, pages): puts in more objects and gives (catalog entries, entries of page 1)."""
+def text_pdf(text: str | None, latin: bool = False, packed: bool = False, filters: str = "FlateDecode", title: str | None = None, labels: str = "", extras=None, done=None) -> bytes:
+    """A PDF of a text. extras(writer, pages): puts in more objects and gives (catalog entries, entries of page 1); done(writer): makes the file, if it isn't a plain one."""
     lines = lines_of(text)
     pages = [lines[k : k + LINES] for k in range(0, len(lines), LINES)] or [[]]
     w = Writer()
@@ -184,7 +184,7 @@ def text_pdf(text: str | None, latin: bool = False, packed: bool = False, filter
     if title is not None:
         info = f"/Info {w.add('<</Title <FEFF' + title.encode('utf-16-be').hex().upper() + '>>>')} 0 R"
     w.put(1, f"<</Type/Catalog/Pages 2 0 R{labels}{root_more}>>")
-    return w.file(extra=info, packed=packed)
+    return done(w) if done else w.file(extra=info, packed=packed)
 
 
 def encrypted(w: Writer, user: str, owner: str, p: int = -4, aes: bool = False) -> bytes:
