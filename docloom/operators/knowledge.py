@@ -31,19 +31,21 @@ def chunk_numbers(blocks: DataFrame, target: int = TARGET) -> DataFrame:
     """blocks without headers and footers, and `chunk`, from 0 in each document.
 
     A heading or list item is a chunk of its own; body text of one page is gathered while it stays within
-    the target. The sum starts anew at each cut, so it is a fold over a page's blocks, not a window.
+    the target. The sum starts anew at each cut, so it is a fold over a page's blocks, not a window. Where
+    blocks have a `part` (see outside()), a chunk ends with it.
     """
     kept = blocks.where("role not in ('header', 'footer')")
     own = [c for c in blocks.columns if c not in (*PAGE, "reading_order")]
     rows = kept.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("reading_order", *own))).alias("rows"))
-    start = F.struct(F.lit(-1).alias("chunk"), F.lit(0).alias("size"), F.lit("").alias("role"), F.expr("cast(array() as array<int>)").alias("out"))
+    part = lambda row: row["part"] if "part" in own else F.lit(0)
+    start = F.struct(F.lit(-1).alias("chunk"), F.lit(0).alias("size"), F.lit("").alias("role"), F.lit(0).alias("part"), F.expr("cast(array() as array<int>)").alias("out"))
 
     def step(acc, row):
         n = F.length(row["text"])
         alone = row["role"].isin("heading", "list") | acc["role"].isin("heading", "list")
-        new = (acc["chunk"] < 0) | alone | (acc["size"] + n > target)
+        new = (acc["chunk"] < 0) | alone | (acc["size"] + n > target) | (acc["part"] != part(row))
         chunk = F.when(new, acc["chunk"] + 1).otherwise(acc["chunk"])
-        return F.struct(chunk.alias("chunk"), F.when(new, n).otherwise(acc["size"] + n).alias("size"), row["role"].alias("role"), F.array_append(acc["out"], chunk).alias("out"))
+        return F.struct(chunk.alias("chunk"), F.when(new, n).otherwise(acc["size"] + n).alias("size"), row["role"].alias("role"), part(row).alias("part"), F.array_append(acc["out"], chunk).alias("out"))
 
     numbers = F.aggregate("rows", start, step, lambda acc: acc["out"])
     each = rows.select(*PAGE, F.explode(F.arrays_zip(F.col("rows").alias("r"), numbers.alias("c"))).alias("z"))
@@ -53,11 +55,11 @@ def chunk_numbers(blocks: DataFrame, target: int = TARGET) -> DataFrame:
 
 
 def chunks(blocks: DataFrame, target: int = TARGET) -> DataFrame:
-    """(doc_id, ord, id, text, role, page_number, block_ids, run_ids): role mixed where blocks differ."""
+    """(doc_id, ord, id, text, role, page_number, at, block_ids, run_ids): role mixed where blocks differ, at the first block's place in its page's reading order."""
     rows = F.array_sort(F.collect_list(F.struct("reading_order", "id", "text", "role", "run_ids")))
     grouped = chunk_numbers(blocks, target).groupBy("doc_id", "page_number", "chunk").agg(rows.alias("rows"))
     kinds = F.array_distinct(F.col("rows.role"))
-    out = grouped.select("doc_id", F.col("chunk").alias("ord"), F.array_join(F.col("rows.text"), "\n").alias("text"), F.when(F.size(kinds) == 1, kinds[0]).otherwise("mixed").alias("role"), "page_number", F.col("rows.id").alias("block_ids"), F.flatten(F.col("rows.run_ids")).alias("run_ids"))
+    out = grouped.select("doc_id", F.col("chunk").alias("ord"), F.array_join(F.col("rows.text"), "\n").alias("text"), F.when(F.size(kinds) == 1, kinds[0]).otherwise("mixed").alias("role"), "page_number", F.col("rows.reading_order")[0].cast("int").alias("at"), F.col("rows.id").alias("block_ids"), F.flatten(F.col("rows.run_ids")).alias("run_ids"))
     parts = F.concat(F.array("text", "role"), F.col("block_ids"))
     return out.withColumn("id", stable_ids("chunk", F.substring("text", 1, 80), parts))
 
@@ -144,11 +146,11 @@ def page_tables(rows: list[dict]) -> list[dict]:
     return out
 
 
-TABLE = "doc_id bigint, page_number int, id string, heuristic string, headers array<string>, block_ids array<string>, confidence double, cells array<struct<row_index:int,col_index:int,text:string,block_id:string>>"
+TABLE = "doc_id bigint, page_number int, id string, at int, heuristic string, headers array<string>, block_ids array<string>, confidence double, cells array<struct<row_index:int,col_index:int,text:string,block_id:string>>"
 
 
 def tables(blocks: DataFrame) -> DataFrame:
-    """(doc_id, page_number, id, heuristic, headers, block_ids, confidence, cells): the tables found on each page."""
+    """(doc_id, page_number, id, at, heuristic, headers, block_ids, confidence, cells): the tables found on each page, at the place of their first block."""
     packed = blocks.groupBy(*PAGE).agg(F.collect_list(F.struct("id", "reading_order", "text", "x", "y", "font_size")).alias("rows"))
 
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -162,9 +164,10 @@ def tables(blocks: DataFrame) -> DataFrame:
         for batch in batches:
             made = []
             for doc_id, page, rows in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "page_number", "rows"))):
+                places = {b["id"]: b["reading_order"] for b in rows}
                 for t in page_tables(rows):
                     cells = [{"row_index": i, "col_index": j, "text": b["text"], "block_id": b["id"]} for i, r in enumerate(t["rows"]) for j, b in r]
-                    made.append({"doc_id": doc_id, "page_number": page, "id": stable_id("table", " ".join(t["headers"]), [t["heuristic"], *t["headers"], *t["blocks"], *(c["text"] for c in cells)]), "heuristic": t["heuristic"], "headers": t["headers"], "block_ids": t["blocks"], "confidence": t["confidence"], "cells": cells})
+                    made.append({"doc_id": doc_id, "page_number": page, "id": stable_id("table", " ".join(t["headers"]), [t["heuristic"], *t["headers"], *t["blocks"], *(c["text"] for c in cells)]), "at": min(places[i] for i in t["blocks"]), "heuristic": t["heuristic"], "headers": t["headers"], "block_ids": t["blocks"], "confidence": t["confidence"], "cells": cells})
             yield pa.RecordBatch.from_pylist(made, schema=arrow)
 
     return packed.mapInArrow(run, TABLE)
@@ -190,16 +193,26 @@ def fields(blocks: DataFrame) -> DataFrame:
     return rows.withColumn("form_id", form).withColumn("block_id", F.col("id")).withColumn("id", stable_ids("field", F.col("name"), F.array("block_id", "name", "_value"))).select("doc_id", "page_number", "form_id", "id", "name", F.col("_value").alias("value"), "block_id")
 
 
+def outside(blocks: DataFrame, table_rows: DataFrame) -> DataFrame:
+    """The blocks that no table owns - their text is said by the table -, and `part`: how many owned ones stand before on the page. No chunk crosses a table."""
+    owned = table_rows.select(*PAGE, F.explode("block_ids").alias("id"), F.lit(1).alias("owned")).distinct()
+    before = Window.partitionBy(*PAGE).orderBy("reading_order")
+    rows = blocks.join(owned, [*PAGE, "id"], "left").withColumn("part", F.count("owned").over(before).cast("int"))
+    return rows.where("owned is null").drop("owned")
+
+
 def markdown(chunk_table: DataFrame, table_rows: DataFrame | None = None) -> DataFrame:
-    """(doc_id, markdown): headings as `## `, lists as `- `, tables of bars, in order; what bars and backslashes mean is escaped."""
+    """(doc_id, markdown): headings as `## `, lists as `- `, tables of bars, in order; what bars and backslashes mean is escaped.
+
+    With tables the chunks are those of outside(); both stand where their first blocks do.
+    """
     line = T.escape_markdown(F.regexp_replace("text", "\n", " "))
     bare = F.regexp_replace(line, T.LIST, "")
     shown = F.when(F.col("role") == "heading", F.concat(F.lit("## "), line)).when(F.col("role") == "list", F.concat(F.lit("- "), bare)).otherwise(line)
-    rows = chunk_table.select("doc_id", "page_number", F.col("ord").cast("double").alias("ord"), shown.alias("md"))
+    rows = chunk_table.select("doc_id", "page_number", "at", "ord", shown.alias("md"))
     if table_rows is not None:
-        # A table follows the page's chunks.
-        rows = rows.unionByName(table_rows.select("doc_id", "page_number", F.lit(1e9).alias("ord"), table_markdown("headers", "cells").alias("md")))
-    packed = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_number", "ord", "md"))).alias("rows"))
+        rows = rows.unionByName(table_rows.select("doc_id", "page_number", "at", F.lit(-1).alias("ord"), table_markdown("headers", "cells").alias("md")))
+    packed = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_number", "at", "ord", "md"))).alias("rows"))
     return packed.select("doc_id", F.array_join(F.col("rows.md"), "\n\n").alias("markdown"))
 
 

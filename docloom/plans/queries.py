@@ -514,7 +514,8 @@ def form_fields(spark, sf_dir):
 def knowledge_markdown(spark, sf_dir):
     """G1, G13, T20, T21."""
     blocks = Corpus(pdf_corpus(spark, sf_dir)).layout()
-    return knowledge.markdown(knowledge.chunks(blocks), knowledge.tables(blocks))
+    found = knowledge.tables(blocks)
+    return knowledge.markdown(knowledge.chunks(knowledge.outside(blocks, found)), found)
 
 
 def _roman_sql() -> str:

@@ -103,3 +103,16 @@ def test_layout_roles(spark):
     assert "hyphenated" in text and text.startswith("OVERVIEW OF RESULTS\n\n")
     md = knowledge.markdown(knowledge.chunks(layout.blocks(runs_of(spark, rows)))).first()["markdown"]
     assert md.startswith("## OVERVIEW OF RESULTS\n\n") and "- an item" in md
+
+
+def test_tables_in_markdown(spark):
+    """A table stands where its first block stood, and its blocks' text is said once; equal texts are cited at their own places."""
+    cells = [("Name", 72, 700), ("Size", 200, 700), ("Place", 330, 700)] + [(f"{c}{i}", x, 700 - 20 * i) for i in (1, 2, 3) for c, x in (("n", 72), ("s", 200), ("p", 330))]
+    rows = [("before the table", 72, 760), *cells, ("after the table", 72, 560), ("after the table", 72, 540)]
+    blocks = spark.createDataFrame([(1, 1, f"block-1-{k}", k, "body", t, float(x), float(y), 12.0, [f"run-{k}"]) for k, (t, x, y) in enumerate(rows)], "doc_id bigint, page_number int, id string, reading_order int, role string, text string, x double, y double, font_size double, run_ids array<string>")
+    found = knowledge.tables(blocks)
+    chunks = knowledge.chunks(knowledge.outside(blocks, found))
+    md = knowledge.markdown(chunks, found).first()["markdown"]
+    assert md.index("| Name | Size | Place |") < md.index("after the table") and md.count("n1") == 1 and "p3 |" in md
+    places = sorted((r["start"], r["end"], r["text"]) for r in knowledge.citations(knowledge.chunks(blocks.where("reading_order > 12")), blocks).collect())
+    assert places == [(0, 15, "after the table"), (16, 31, "after the table")]
