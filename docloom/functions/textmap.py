@@ -251,19 +251,27 @@ class Font:
             self.codes = encoding(named)
         self.kind = "to-unicode" if self.cmap else "single-byte" if self.codes else "embedded" if self.glyphs else "collection" if self.japanese else "unknown"
 
-    def decode(self, raw: bytes) -> tuple[str, bool]:
-        """(text, all of it mapped)."""
+    def decode(self, raw: bytes) -> tuple[str, bool, int, int]:
+        """(text, all of it mapped, codes, mapped codes)."""
         if self.cmap and self.cmap.map:
-            text, complete, *_ = self.cmap.decode(raw)
-            return text, complete
+            return self.cmap.decode(raw)
         if self.codes is not None:
-            text = "".join(self.codes.get(b, "�") for b in raw)
-            return text, "�" not in text
+            return counted([self.codes.get(b) for b in raw])
         if self.glyphs or self.japanese:
             cids = struct.unpack(f">{len(raw) // 2}H", raw[: len(raw) // 2 * 2])
             embedded = [(self.glyphs or {}).get(c) for c in cids]
             listed = [japan1(c) if self.japanese else None for c in cids]
             # The one that maps more wins, the embedded font if both map as many.
             best = listed if listed.count(None) < embedded.count(None) else embedded
-            return "".join("�" if t is None else t for t in best), None not in best
-        return "".join(chr(b) if 32 <= b < 127 else "�" for b in raw), all(32 <= b < 127 for b in raw)
+            return counted(best)
+        return ascii_text(raw)
+
+
+def counted(texts: list[str | None]) -> tuple[str, bool, int, int]:
+    """(text, all of it mapped, codes, mapped codes) of the codes' texts."""
+    lost = sum(t is None or t == "�" for t in texts)
+    return "".join("�" if t is None else t for t in texts), not lost, len(texts), len(texts) - lost
+
+
+def ascii_text(raw: bytes) -> tuple[str, bool, int, int]:
+    return counted([chr(b) if 32 <= b < 127 else None for b in raw])

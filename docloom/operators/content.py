@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import re
 
-from ..functions.textmap import Font
+from ..functions.textmap import Font, ascii_text
 from ..sources.syntax import Lexer
 from ..sources.values import Name, PdfError, Ref, Stream, Text, format_number, format_value
 
@@ -194,15 +194,16 @@ class Observer:
         def show(strings, stream):
             nonlocal tm, order, fresh_line
             font, ref = self._font(state["font"]) if state["font"] is not None else (None, None)
-            text, complete, gap = "", True, None
+            text, complete, gap, units, mapped = "", True, None, 0, 0
             said = next((m["actual_text"] for m in reversed(marked) if m["actual_text"]), None)
             for s in strings:
                 if not isinstance(s, bytes):
                     gap = s
                     continue
-                got, ok = font.decode(s) if font else ("".join(chr(b) if 32 <= b < 127 else "�" for b in s), all(32 <= b < 127 for b in s))
+                got, ok, codes, known = font.decode(s) if font else ascii_text(s)
                 if said and not s.hexadecimal and (better := spoken(said, got)) is not None:
-                    got, ok = better, True
+                    got, ok, known = better, True, codes
+                units, mapped = units + codes, mapped + known
                 text, complete, gap = text + seam(text, got, gap) + got, complete and ok, None
             clean = normal(text)
             m = multiply(tm, multiply(state["ctm"], shown))
@@ -211,7 +212,7 @@ class Observer:
                 size = abs(state["size"]) * math.hypot(m[2], m[3])
                 vertical = font is not None and font.vertical or abs(m[1]) > 1.5 * abs(m[0])
                 number = order + 1
-                self.runs.append({"id": f"run-{page.number}-{number}", "content_order": order, "text": clean, "glyph_count": len(clean), "encoding_kind": font.kind if font else "unknown", "mapping_source": font.kind if font else None, "writing_mode": "vertical" if vertical else "horizontal", "x": x, "y": y, "font_size": size, "starts_new_line": fresh_line, "font": ref, "stream": stream, "complete": complete})
+                self.runs.append({"id": f"run-{page.number}-{number}", "content_order": order, "text": clean, "glyph_count": len(clean), "encoding_kind": font.kind if font else "unknown", "mapping_source": font.kind if font else None, "writing_mode": "vertical" if vertical else "horizontal", "x": x, "y": y, "font_size": size, "starts_new_line": fresh_line, "font": ref, "stream": stream, "complete": complete, "source_units": units, "mapped_units": mapped})
                 self.gaps += not complete
                 mark("text", text=clean, run_id=f"run-{page.number}-{number}", x=x, y=y, stream=stream, paint="invisible" if state["mode"] == 3 else "shown")
                 order += 1

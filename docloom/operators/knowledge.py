@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.numerals import stable_id
+from .labels import label_form
 from .layout import PAGE
+from .regions import evidence, page_regions
+from .sequences import compact_table, font_table, plain, stacked_table
 
 TARGET = 420
 
@@ -115,8 +118,8 @@ def assign(xs: list[float], texts: list[str], columns: list[float], numeric: lis
     return out[::-1]
 
 
-def page_tables(rows: list[dict]) -> list[dict]:
-    """Tables of a page: a header row of three or more short texts over at least two rows that fit its columns; and rows parted by bars."""
+def grid_tables(rows: list[dict]) -> list[dict]:
+    """Tables of a page: a header row of three or more short texts over at least two rows that fit its columns."""
     out, lines = [], grid_rows(rows)
     k = 0
     while k < len(lines):
@@ -136,22 +139,80 @@ def page_tables(rows: list[dict]) -> list[dict]:
             k += 1 + len(body)
             continue
         k += 1
-    barred = [b for b in sorted(rows, key=lambda b: b["reading_order"]) if b["text"].count("|") >= 2]
-    used = {i for t in out for i in t["blocks"]}
-    barred = [b for b in barred if b["id"] not in used]
-    if len(barred) >= 2:
-        cells = [[c.strip() for c in b["text"].strip("| ").split("|")] for b in barred]
-        if len(set(map(len, cells))) == 1:
-            out.append({"heuristic": "text-rows", "headers": cells[0], "rows": [[(j, {**b, "text": c}) for j, c in enumerate(r)] for r, b in zip(cells[1:], barred[1:])], "blocks": [b["id"] for b in barred], "confidence": 0.8})
     return out
 
 
-TABLE = "doc_id bigint, page_number int, id string, at int, heuristic string, headers array<string>, block_ids array<string>, confidence double, cells array<struct<row_index:int,col_index:int,text:string,block_id:string>>"
+def commonest(counts: list[int]) -> int:
+    """The commonest of counts, the larger of equals; 0 of none."""
+    return max(set(counts), key=lambda n: (counts.count(n), n), default=0)
+
+
+def bar_table(rows: list[dict]) -> dict | None:
+    """Lines parted by bars, of which those with the commonest number of cells are rows."""
+    barred = [b for b in sorted(rows, key=lambda b: b["reading_order"]) if b["text"].count("|") >= 2]
+    parted = [(b, [c.strip() for c in b["text"].strip("| ").split("|")]) for b in barred]
+    n = commonest([len(cells) for _, cells in parted])
+    parted = [(b, cells) for b, cells in parted if len(cells) == n]
+    if len(parted) < 2:
+        return None
+    return {"heuristic": "text-rows", "headers": parted[0][1], "rows": [[(j, {**b, "text": c}) for j, c in enumerate(cells)] for b, cells in parted[1:]], "blocks": [b["id"] for b, _ in parted], "confidence": 0.8}
+
+
+def page_tables(rows: list[dict], runs: list[dict] | None = None) -> list[dict]:
+    """A page's tables: those inside its regions, then grids, bars, and sequences of runs, then a form of labels.
+
+    Of two that share a block the first stays, but a grid gives way to a larger one under the same headers.
+    """
+    rows = sorted(rows, key=lambda b: b["reading_order"])
+    owner = {i: b for b in rows for i in b["run_ids"] or ()}
+    runs = sorted((r for r in runs or () if plain(r["text"])), key=lambda r: r["content_order"])
+    kept: list[dict] = []
+
+    def offer(t: dict | None) -> None:
+        if t is None:
+            return
+        for k, o in enumerate(kept):
+            if set(o["blocks"]) & set(t["blocks"]):
+                grids = o["heuristic"] == t["heuristic"] == "layout-grid" and [h.lower() for h in o["headers"]] == [h.lower() for h in t["headers"]]
+                if grids and sum(map(len, t["rows"])) > sum(map(len, o["rows"])):
+                    kept[k] = t
+                return
+        kept.append(t)
+
+    for region in page_regions(rows):
+        ids = set(region["block_ids"])
+        own = [b for b in rows if b["id"] in ids]
+        if region["kind"] == "table":
+            for t in (*grid_tables(own), bar_table(own)):
+                offer(t)
+        else:
+            offer(label_form(own, runs, {i: b for i, b in owner.items() if b["id"] in ids}))
+    for t in (*grid_tables(rows), bar_table(rows), compact_table(runs, owner) or font_table(runs, owner), stacked_table(runs, owner), label_form(rows, runs, owner)):
+        offer(t)
+    return kept
+
+
+CELL = "struct<row_index:int,col_index:int,text:string,block_id:string,run_id:string>"
+TABLE = f"doc_id bigint, page_number int, id string, at int, heuristic string, headers array<string>, block_ids array<string>, confidence double, cells array<{CELL}>"
+
 
+def tables(blocks: DataFrame, runs: DataFrame | None = None) -> DataFrame:
+    """(doc_id, page_number, id, at, heuristic, headers, block_ids, confidence, cells): the tables found on each page, at the place of their first block.
 
-def tables(blocks: DataFrame) -> DataFrame:
-    """(doc_id, page_number, id, at, heuristic, headers, block_ids, confidence, cells): the tables found on each page, at the place of their first block."""
-    packed = blocks.groupBy(*PAGE).agg(F.collect_list(F.struct("id", "reading_order", "text", "x", "y", "font_size")).alias("rows"))
+    With the runs the blocks were made of, tables that only the order of runs tells are found too; blocks and runs
+    of a page meet in one shuffle.
+    """
+    for name, kind in (("role", "string"), ("run_ids", "array<string>")):
+        if name not in blocks.columns:
+            blocks = blocks.withColumn(name, F.lit(None).cast(kind))
+    seen = evidence(F.struct("id", "text", "x", "y", "font_size"))
+    rows = blocks.select(*PAGE, seen.withField("reading_order", F.col("reading_order")).withField("role", F.col("role")).withField("run_ids", F.col("run_ids")).alias("block"))
+    if runs is None:
+        packed = rows.groupBy(*PAGE).agg(F.collect_list("block").alias("rows"), F.expr("cast(array() as array<struct<id:string,text:string,font_size:double,content_order:int>>)").alias("runs"))
+    else:
+        told = runs.select(*PAGE, F.struct("id", "text", "font_size", "content_order").alias("run"))
+        both = rows.unionByName(told, allowMissingColumns=True)
+        packed = both.groupBy(*PAGE).agg(F.collect_list("block").alias("rows"), F.collect_list("run").alias("runs"))
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
@@ -163,16 +224,65 @@ def tables(blocks: DataFrame) -> DataFrame:
 
         for batch in batches:
             made = []
-            for doc_id, page, rows in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "page_number", "rows"))):
+            for doc_id, page, rows, told in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "page_number", "rows", "runs"))):
                 places = {b["id"]: b["reading_order"] for b in rows}
-                for t in page_tables(rows):
-                    cells = [{"row_index": i, "col_index": j, "text": b["text"], "block_id": b["id"]} for i, r in enumerate(t["rows"]) for j, b in r]
-                    made.append({"doc_id": doc_id, "page_number": page, "id": stable_id("table", " ".join(t["headers"]), [t["heuristic"], *t["headers"], *t["blocks"], *(c["text"] for c in cells)]), "at": min(places[i] for i in t["blocks"]), "heuristic": t["heuristic"], "headers": t["headers"], "block_ids": t["blocks"], "confidence": t["confidence"], "cells": cells})
+                for t in page_tables(rows, told):
+                    cells = [{"row_index": i, "col_index": j, "text": b["text"], "block_id": b["id"], "run_id": b.get("run")} for i, r in enumerate(t["rows"]) for j, b in r]
+                    made.append({"doc_id": doc_id, "page_number": page, "id": stable_id("table", " ".join(t["headers"]), [t["heuristic"], *t["headers"], *t["blocks"], *(c["text"] for c in cells)]), "at": min((places[i] for i in t["blocks"]), default=0), "heuristic": t["heuristic"], "headers": t["headers"], "block_ids": t["blocks"], "confidence": t["confidence"], "cells": cells})
             yield pa.RecordBatch.from_pylist(made, schema=arrow)
 
     return packed.mapInArrow(run, TABLE)
 
 
+def cell_citations(table_rows: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(doc_id, page_number, table_id, row_index, col_index, id, block_id, run_ids, text, start, end): where each cell's text stands in its block.
+
+    The cell's own text if the block holds it, else the block's or its first line that the cell holds; cells of which
+    neither is true have no row.
+    """
+    cells = table_rows.select(*PAGE, F.col("id").alias("table_id"), F.explode("cells").alias("c")).select(*PAGE, "table_id", "c.row_index", "c.col_index", F.col("c.text").alias("cell"), "c.block_id", "c.run_id")
+    joined = cells.join(blocks.select(*PAGE, F.col("id").alias("block_id"), F.col("text").alias("whole"), "run_ids"), [*PAGE, "block_id"])
+    line = F.filter(F.split("whole", "\n"), lambda t: (t != "") & F.contains(F.col("cell"), t))
+    said = F.when(F.contains("whole", F.col("cell")), F.col("cell")).when(F.contains("cell", F.col("whole")), F.col("whole")).otherwise(F.try_element_at(line, F.lit(1)))
+    rows = joined.withColumn("text", said).where("text <> ''")
+    rows = rows.withColumn("start", F.expr("locate(text, whole)") - 1).withColumn("end", F.col("start") + F.length("text"))
+    rows = rows.withColumn("run_ids", F.when(F.col("run_id").isNull(), F.col("run_ids")).otherwise(F.filter("run_ids", lambda r: r == F.col("run_id"))))
+    parts = F.concat(F.array(F.lit("table-cell"), "table_id", F.col("row_index").cast("string"), F.col("col_index").cast("string"), "text", "block_id"), F.coalesce("run_ids", F.expr("cast(array() as array<string>)")))
+    return rows.withColumn("id", stable_ids("citation", F.col("block_id"), parts)).select(*PAGE, "table_id", "row_index", "col_index", "id", "block_id", "run_ids", "text", "start", "end")
+
+
+def projection(chunk_table: DataFrame, table_rows: DataFrame | None = None) -> DataFrame:
+    """(doc_id, page_number, at, ord, part, kind, text, items, rows, owner_id): headings, paragraphs, lists and tables in reading order.
+
+    A chunk whose lines all have as many cells between bars is a table; what follows a heading's first line is a paragraph.
+    """
+    lines = F.filter(F.transform(F.split("text", r"\r?\n"), T.normal), lambda t: t != "")
+    cells = F.filter(F.transform(F.col("_lines"), lambda t: F.filter(F.transform(F.split(t, r"\|"), T.normal), lambda c: c != "")), lambda c: F.size(c) > 0)
+    strings, nothing = "cast(null as array<string>)", "cast(null as array<array<string>>)"
+    node = lambda kind, text=None, items=None, rows=None: F.struct(F.lit(kind).alias("kind"), (F.lit(None).cast("string") if text is None else text).alias("text"), (F.expr(strings) if items is None else items).alias("items"), (F.expr(nothing) if rows is None else rows).alias("rows"))
+    widths = F.transform("_cells", lambda c: F.size(c))
+    literal = (F.size("_cells") >= 2) & (F.array_min(widths) >= 2) & (F.array_min(widths) == F.array_max(widths))
+    head, rest = F.col("_lines")[0], F.slice("_lines", 2, F.greatest(F.size("_lines") - 1, F.lit(1)))
+    listed = F.filter(F.transform("_lines", lambda t: F.trim(F.regexp_replace(t, r"^[-*]\s*", ""))), lambda t: t != "")
+    whole = F.array_join("_lines", "\n")
+    nodes = (
+        F.when(literal, F.array(node("table", rows=F.col("_cells"))))
+        .when((F.col("role") == "heading") & (F.size("_lines") > 1), F.array(node("heading", head), node("paragraph", F.array_join(rest, "\n"))))
+        .when(F.col("role") == "heading", F.array(node("heading", head)))
+        .when(F.col("role") == "list", F.array(node("list", items=listed)))
+        .otherwise(F.array(node("paragraph", whole)))
+    )
+    rows = chunk_table.withColumn("_lines", lines).where("size(_lines) > 0").withColumn("_cells", cells)
+    out = rows.select("doc_id", "page_number", "at", "ord", F.col("id").alias("owner_id"), F.posexplode(nodes).alias("part", "n"))
+    out = out.select("doc_id", "page_number", "at", "ord", "part", "n.kind", "n.text", "n.items", "n.rows", "owner_id")
+    if table_rows is None:
+        return out
+    numbers = F.array_sort(F.array_distinct(F.transform("cells", lambda c: c["row_index"])))
+    body = F.transform(numbers, lambda i: F.filter(F.transform(F.filter("cells", lambda c: c["row_index"] == i), lambda c: T.normal(c["text"])), lambda t: t != ""))
+    found = table_rows.withColumn("rows", F.filter(F.concat(F.array("headers"), body), lambda r: F.size(r) > 0)).where("size(rows) > 0")
+    return out.unionByName(found.select("doc_id", "page_number", "at", F.lit(-1).alias("ord"), F.lit(0).alias("part"), F.lit("table").alias("kind"), F.lit(None).cast("string").alias("text"), F.expr(strings).alias("items"), "rows", F.col("id").alias("owner_id")))
+
+
 def best_tables(candidates: DataFrame) -> DataFrame:
     """Of candidates (doc_id, page_number, signature, n_headers, n_cells, confidence, seen) the best of each signature: more headers, more cells, surer, seen first."""
     order = Window.partitionBy(*PAGE, "signature").orderBy(F.desc("n_headers"), F.desc("n_cells"), F.desc("confidence"), "seen")

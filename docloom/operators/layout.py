@@ -13,6 +13,13 @@ from ..functions import text as T
 
 PAGE = ("doc_id", "page_number")
 
+# A sentence's end before another sentence, and abbreviations that end no sentence; what is known to be heuristic.
+TAIL = r"(?s)^(.{2,24}?[.!?])\s+([\p{Lu}\p{Lt}].+)$"
+ABBREVIATED = r"(?i)(?:^|\s)(?:Dr|Mr|Mrs|Ms|Prof|Sr|Jr|St|No|Fig|Eq|Sec|Ch|vs|e\.g|i\.e)\.$"
+TAIL_WORDS, TAIL_GAP, TAIL_SIZES = 3, 48.0, 4.2
+LAYOUT_LIMITS = ("layout-block-heuristic", "layout-role-heuristic", "layout-reading-order-heuristic", "layout-region-heuristic")
+KNOWLEDGE_LIMITS = ("knowledge-chunk-heuristic", "knowledge-markdown-heuristic", "table-projection-heuristic")
+
 
 def by_page(*order):
     return Window.partitionBy(*PAGE).orderBy(*order)
@@ -98,24 +105,82 @@ def _rows_match(tall: list[list[float]], size: float) -> bool:
 
 
 def ordered(table: DataFrame) -> DataFrame:
-    """lines and reading_order, from 0 on each page."""
+    """lines, reading_order, from 0 on each page, and table_part: header or body of the page's table."""
     from pyspark.sql.functions import arrow_udf
 
-    @arrow_udf("array<int>")
+    from .regions import evidence
+
+    @arrow_udf("array<struct<at:int,part:string>>")
     def places(rows):
         import pyarrow as pa
 
+        from .regions import table_lines
+
         made = []
         for page in rows.to_pylist():
-            made.append(page_order([r["x"] for r in page], [r["y"] for r in page], [r["font_size"] for r in page], [r["text"] for r in page], bool(page[0]["vertical"])))
-        return pa.array(made, pa.list_(pa.int32()))
+            order = page_order([r["x"] for r in page], [r["y"] for r in page], [r["font_size"] for r in page], [r["text"] for r in page], bool(page[0]["vertical"]))
+            table, head = table_lines([page[i] for i in order])
+            parts = {b["id"]: "body" for b in table} | {b["id"]: "header" for b in head}
+            made.append([{"at": i, "part": parts.get(page[i]["id"])} for i in order])
+        return pa.array(made, pa.list_(pa.struct([("at", pa.int32()), ("part", pa.string())])))
 
     own = [c for c in table.columns if c not in PAGE]
     packed = table.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("line", *(c for c in own if c != "line")))).alias("rows"))
-    seen = F.transform("rows", lambda r: F.struct(r["x"].alias("x"), r["y"].alias("y"), r["font_size"].alias("font_size"), r["text"].alias("text"), r["vertical"].alias("vertical")))
+    seen = F.transform("rows", lambda r: evidence(r).withField("vertical", r["vertical"]))
     packed = packed.withColumn("order", places(seen))
-    each = packed.select(*PAGE, F.posexplode(F.transform("order", lambda i: F.element_at("rows", i + 1))).alias("reading_order", "r"))
-    return each.select(*PAGE, *(F.col(f"r.{c}").alias(c) for c in own), "reading_order")
+    each = packed.select(*PAGE, F.posexplode(F.transform("order", lambda o: F.struct(F.element_at("rows", o["at"] + 1).alias("r"), o["part"].alias("part")))).alias("reading_order", "z"))
+    return each.select(*PAGE, *(F.col(f"z.r.{c}").alias(c) for c in own), "reading_order", F.col("z.part").alias("table_part"))
+
+
+def split_tails(table: DataFrame) -> DataFrame:
+    """Ordered lines, of which those that begin with the end of the line before are two; tail_part: tail or body of such a line, else null.
+
+    What a line is compared with is the line before or that line's body half: they have one place and one end, so
+    a window does.
+    """
+    order = by_page("reading_order")
+    back = lambda c: F.lag(c).over(order)
+    size = F.greatest(F.coalesce(back("font_size"), F.lit(12.0)), F.coalesce("font_size", F.lit(12.0)))
+    column = F.coalesce(F.abs(back("x") - F.col("x")) <= F.greatest(F.lit(18.0), size * 1.6), F.lit(True))
+    near = F.coalesce(F.abs(back("y") - F.col("y")), F.lit(0.0)) <= F.greatest(F.lit(TAIL_GAP), F.coalesce("font_size", F.lit(12.0)) * TAIL_SIZES)
+    tail, body = F.trim(F.regexp_extract("text", TAIL, 1)), F.trim(F.regexp_extract("text", TAIL, 2))
+    fit = ~F.coalesce("vertical", F.lit(False)) & (tail != "") & (F.size(F.split(tail, r"\s+")) <= TAIL_WORDS) & ~tail.rlike(ABBREVIATED) & back("text").isNotNull() & ~T.ends_sentence(back("text")) & column & near
+    rows = table.withColumn("_fit", F.coalesce(fit, F.lit(False)))
+    half = lambda part, text: F.struct(F.concat_ws("-", "id", F.lit(part)).alias("id"), text.alias("text"), F.lit(part).alias("tail_part"))
+    whole = F.struct("id", "text", F.lit(None).cast("string").alias("tail_part"))
+    each = rows.select("*", F.posexplode(F.when(F.col("_fit"), F.array(half("tail", tail), half("body", body))).otherwise(F.array(whole))).alias("_part", "_half"))
+    places = F.row_number().over(by_page("reading_order", "_part")) - 1
+    own = [F.col(f"_half.{c}").alias(c) if c in ("id", "text") else F.col(c) for c in table.columns if c != "reading_order"]
+    return each.select(*own, F.col("_half.tail_part").alias("tail_part"), places.alias("reading_order"))
+
+
+def run_blocks(table: DataFrame) -> DataFrame:
+    """(doc_id, page_number, run_id, block_id): the block of each run, the last in reading order where several list it."""
+    each = table.select(*PAGE, F.explode("run_ids").alias("run_id"), "reading_order", "id")
+    return each.groupBy(*PAGE, "run_id").agg(F.max_by("id", "reading_order").alias("block_id"))
+
+
+def decode_gaps(runs: DataFrame) -> DataFrame:
+    """(doc_id, page_number, decode_gap): a run of the page lost most of its text, or several lost more than a little. From complete, source_units and mapped_units."""
+    units, mapped = F.coalesce("source_units", F.lit(0)), F.coalesce("mapped_units", F.lit(0))
+    lost, share = units - mapped, mapped / units
+    none = (mapped == 0) | (units == 0)
+    slight = (lost == 1) & (mapped >= 8) | (lost <= 2) & (mapped >= 24)
+    material = none | (lost > 0) & ~slight & ((mapped < 4) | (share < 0.9))
+    severe = none | (lost > 0) & ((lost >= 2) & (mapped < 8) | (share < 0.7))
+    gap = ~F.coalesce("complete", F.lit(True)) & material
+    return runs.groupBy(*PAGE).agg((F.coalesce(F.bool_or(gap & severe), F.lit(False)) | (F.count_if(gap) > 1)).alias("decode_gap"))
+
+
+def known_limits(runs: DataFrame, stage: str = "knowledge") -> DataFrame:
+    """(doc_id, known_limits): what a document's layout or knowledge cannot promise; knowledge's are sorted."""
+    if stage not in ("layout", "knowledge"):
+        raise TypeError("a stage is layout or knowledge")
+    gaps = decode_gaps(runs).groupBy("doc_id").agg(F.bool_or("decode_gap").alias("gap"))
+    seen = F.when(F.col("gap"), F.array(F.lit("native-text-unicode-mapping-incomplete"))).otherwise(F.expr("cast(array() as array<string>)"))
+    more = LAYOUT_LIMITS + (KNOWLEDGE_LIMITS if stage == "knowledge" else ())
+    both = F.array_distinct(F.concat(seen, F.array(*map(F.lit, more))))
+    return gaps.select("doc_id", (F.array_sort(both) if stage == "knowledge" else both).alias("known_limits"))
 
 
 def repeated_keys(table: DataFrame) -> DataFrame:
@@ -150,7 +215,7 @@ def _bands(table: DataFrame) -> DataFrame:
 
 
 def roles(table: DataFrame) -> DataFrame:
-    """Ordered lines and role, role_confidence, method: list, repeated heading, header, footer, heading or body.
+    """Ordered lines and role, role_confidence, method: table header and body, list, repeated heading, header, footer, heading or body.
 
     All evidence comes from windows over the same rows, so the runs below are made once: pages share one
     partitioning, and only the repeated keys of a document need another.
@@ -178,8 +243,11 @@ def roles(table: DataFrame) -> DataFrame:
         lit = lambda v: v if isinstance(v, Column) else F.lit(v)
         return F.struct(lit(role).alias("role"), lit(confidence).cast("double").alias("confidence"), lit(method).alias("method"))
 
+    part = F.col("table_part") if "table_part" in table.columns else F.lit(None).cast("string")
     kind = (
-        F.when(T.is_list(F.col("text")), verdict("list", 0.86, "list-prefix"))
+        F.when(part == "header", verdict("heading", 0.88, "table-header"))
+        .when(part == "body", verdict("body", 0.9, "table-body"))
+        .when(T.is_list(F.col("text")), verdict("list", 0.86, "list-prefix"))
         .when(again & (ratio >= 1.25) & heading, verdict("heading", 0.86, "repeated-boundary-heading"))
         .when(again & compact & (numeric >= 2), verdict("heading", 0.86, "repeated-boundary-table-heading"))
         .when(edge, verdict(F.when(foot, "footer").otherwise("header"), F.when(again, 0.9).otherwise(0.74), F.when(again, "repeated-boundary").otherwise("page-band")))
@@ -204,12 +272,14 @@ def paragraphs(table: DataFrame) -> DataFrame:
     rows = rows.withColumn("_island", F.sum((~joins).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     entries = F.col("_compact") & (F.count("*").over(Window.partitionBy(*PAGE, "_island")) >= 3)
     starts = (F.row_number().over(order) == 1) | (F.col("role") != "body") | (F.col("_before") != "body") | entries | ~F.col("_column") | (F.col("_gap") > F.greatest(F.lit(18.0), F.col("_size") * 1.75)) | T.is_short_tail(F.col("_tail")) & T.begins_sentence(F.col("text"))
+    if "tail_part" in table.columns:
+        starts = F.when(F.col("tail_part") == "tail", False).when(F.col("tail_part") == "body", True).otherwise(starts)
     return rows.withColumn("starts_paragraph", F.coalesce(starts, F.lit(False))).select(*table.columns, "starts_paragraph")
 
 
 def blocks(runs: DataFrame) -> DataFrame:
     """The whole layout of runs: lines in reading order with roles and paragraph starts."""
-    return paragraphs(roles(ordered(lines(runs))))
+    return paragraphs(roles(split_tails(ordered(lines(runs)))))
 
 
 def page_texts(table: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.crypto import permissions
 from ..sources.store import Document, Policy
 from ..sources.values import PdfError, Ref, Stream, format_value
 
@@ -22,7 +23,8 @@ SCHEMAS = {
     "objects": "doc_id bigint, obj int, gen int, revision int, src_start bigint, src_end bigint, value_text string, type_name string, subtype string, has_stream boolean, filters array<string>, decode_state string, decoded binary, stream_role string",
     "pages": f"doc_id bigint, page_number int, obj int, gen int, media_box {BOX}, crop_box {BOX}, rotate int, content_count int, annotation_count int, fonts array<string>, xobjects array<string>",
     "content": "doc_id bigint, page_number int, op_index int, operator string, operands array<struct<kind:string,token:string>>, stream_obj int",
-    "runs": "doc_id bigint, page_number int, id string, content_order int, text string, glyph_count int, encoding_kind string, writing_mode string, x double, y double, font_size double, starts_new_line boolean, font_obj int, stream_obj int, complete boolean, visibility string",
+    "runs": "doc_id bigint, page_number int, id string, content_order int, text string, glyph_count int, encoding_kind string, writing_mode string, x double, y double, font_size double, starts_new_line boolean, font_obj int, stream_obj int, complete boolean, source_units int, mapped_units int, visibility string",
+    "reachable": "doc_id bigint, obj int, gen int, revision int, src_start bigint, type_name string, has_stream boolean",
     "marks": f"doc_id bigint, page_number int, id string, content_order int, kind string, marked_content_id string, visibility string, bbox {BOX}, text string, tag string, content_kind string, actual_text string, paint string, rule string, point_count int, closed boolean, fill string, stroke string, line_width double, cap string, join string, alpha double, blend string, soft_mask boolean, resource_obj int",
     "metadata": "doc_id bigint, source string, key string, value string, custom boolean",
     "destination": "doc_id bigint, name string, page_number int, view string",
@@ -114,7 +116,7 @@ def _runs(doc: Document):
     for p, seen in _observed(doc):
         shown = {m["run_id"]: m["visibility"] for m in seen.marks if m["kind"] == "text"}
         for r in seen.runs:
-            yield {"page_number": p.number, "font_obj": r["font"].obj if r["font"] else None, "stream_obj": r["stream"].obj, "visibility": shown[r["id"]]} | {k: r[k] for k in ("id", "content_order", "text", "glyph_count", "encoding_kind", "writing_mode", "x", "y", "font_size", "starts_new_line", "complete")}
+            yield {"page_number": p.number, "font_obj": r["font"].obj if r["font"] else None, "stream_obj": r["stream"].obj, "visibility": shown[r["id"]]} | {k: r[k] for k in ("id", "content_order", "text", "glyph_count", "encoding_kind", "writing_mode", "x", "y", "font_size", "starts_new_line", "complete", "source_units", "mapped_units")}
 
 
 def _marks(doc: Document):
@@ -147,12 +149,64 @@ def _fragments(doc: Document):
             yield {"page_number": page, "channel": channel, "id": id_, "text": text}
 
 
-def _catalog(name: str):
+#: What a reference to a page's surroundings is called; closures don't follow it.
+UPWARD = ("Parent", "P", "Kids")
+
+
+def references(value):
+    """The references a value holds, but for those upward."""
+    pending = [value]
+    while pending:
+        v = pending.pop()
+        if isinstance(v, Ref):
+            yield v
+        elif isinstance(v, list):
+            pending += v
+        elif isinstance(v, (dict, Stream)):
+            pending += [w for k, w in (v.items if isinstance(v, Stream) else v).items() if k not in UPWARD]
+
+
+def _reachable(doc: Document, pages: list[int] | None):
+    """The objects that the chosen pages need: the catalog, contents, annotations, resources, layers, and all they refer to."""
+    root = doc.trailer.get("Root")
+    pending = [*references(doc.catalog.get("OCProperties"))]
+    for p in doc.pages():
+        if pages is None or p.number in pages:
+            pending += [*p.contents, *references(p.annotations), *references(p.resources)]
+    seen = {root} if isinstance(root, Ref) else set()
+    shown = [root] if isinstance(root, Ref) else []
+    while pending:
+        ref = pending.pop()
+        if ref not in seen:
+            seen.add(ref)
+            if (value := doc.get(ref)) is not None:
+                shown.append(ref)
+                pending += references(value)
+    for ref in shown:
+        found = doc.object(ref)
+        value = found.value
+        items = value.items if isinstance(value, Stream) else value if isinstance(value, dict) else {}
+        name = doc.resolve(items.get("Type"))
+        yield {"obj": ref.obj, "gen": ref.gen, "revision": found.revision, "src_start": found.start, "type_name": str(name) if isinstance(name, str) else None, "has_stream": isinstance(value, Stream)}
+
+
+def pruned(rows: list[dict], pages: list[int]) -> list[dict]:
+    """Structure elements (parents before children) on the pages, on none, or above one that is kept."""
+    chosen, above, kept = set(pages), set(), []
+    for r in reversed(rows):
+        if r["page_number"] is None or r["page_number"] in chosen or r["id"] in above:
+            kept.append(r)
+            above.add(r["parent_id"])
+    return kept[::-1]
+
+
+def _catalog(name: str, pages: list[int] | None = None):
     def rows(doc: Document):
         from ..operators.features import Features
 
         method = METHODS.get(name, name)
-        for row in getattr(Features(doc, doc.pages()), method)():
+        made = getattr(Features(doc, doc.pages()), method)()
+        for row in pruned(list(made), pages) if name == "structure" and pages is not None else made:
             yield row | {"bbox": _box(row["bbox"])} if "bbox" in row else row
 
     return rows
@@ -169,6 +223,18 @@ def _images(which: int, include_bytes: bool):
     return rows
 
 
+#: Products that say a document's text.
+TEXTS = ("runs", "marks", "content", "fragments")
+
+
+def copies(doc: Document, channels: tuple[str, ...] = ()) -> bool:
+    """Whether the policy lets text out: a user's credential needs leave to copy, or for the accessibility channel alone that one's."""
+    if doc.policy.permissions != "enforce" or doc.security is None:
+        return True
+    allowed = permissions(doc.security.p, doc.security.credential)
+    return allowed["copy"] or bool(channels) and set(channels) == {"accessibility"} and allowed["accessibility"]
+
+
 class Corpus:
     """policy and budgets hold for each document; passwords come with the rows (password) or for all (passwords)."""
 
@@ -209,7 +275,8 @@ class Corpus:
 
     def _product(self, name: str, of: Callable, schema: str | None = None) -> DataFrame:
         def rows(content, passwords, policy):
-            return of(Document(content, policy, passwords))
+            doc = Document(content, policy, passwords)
+            return of(doc) if name not in TEXTS or copies(doc) else ()
 
         return self._rows(schema or SCHEMAS[name], rows)
 
@@ -256,10 +323,10 @@ class Corpus:
         return self._product("marks", _marks)
 
     def features(self, catalog: str, pages: list[int] | None = None) -> DataFrame:
-        """One catalog; a choice of pages filters those that have pages."""
+        """One catalog; a choice of pages filters destinations, labels and annotations, and prunes the structure."""
         if catalog not in CATALOGS:
             raise TypeError(f"a catalog is one of {', '.join(CATALOGS)}")
-        found = self._product(catalog, _catalog(catalog))
+        found = self._product(catalog, _catalog(catalog, pages))
         return found.where(F.col("page_number").isin(pages)) if pages is not None and catalog in ("destination", "page_label", "annotation") else found
 
     def images(self, include_bytes: bool = False) -> DataFrame:
@@ -272,8 +339,16 @@ class Corpus:
         """(doc_id, id, name, bytes) of the attachment, unless the policy denies embedded files."""
         if self.policy.embedded_files == "deny":
             raise PermissionError("embedded files are denied")
-        found = self.features("attachment").where(F.col("id") == id_).select("doc_id", "id", "name", "obj", "gen")
-        return found.join(self.objects(decode=True).select("doc_id", "obj", "gen", F.col("decoded").alias("bytes")), ["doc_id", "obj", "gen"]).select("doc_id", "id", "name", "bytes")
+
+        def rows(doc: Document):
+            from ..operators.features import Features
+
+            for a in Features(doc, doc.pages()).attachments():
+                value = doc.get(Ref(a["obj"], a["gen"])) if a["id"] == id_ and a["obj"] is not None else None
+                if isinstance(value, Stream):
+                    yield {"id": a["id"], "name": a["name"], "bytes": doc.decoded(value)}
+
+        return self._product("attachment", rows, "doc_id bigint, id string, name string, bytes binary")
 
     def verify_signatures(self, trust=None) -> DataFrame:
         """(doc_id, id, status, code): whether each signature's byte range covers the file and its digest and key hold.
@@ -291,25 +366,50 @@ class Corpus:
 
         return self._rows("doc_id bigint, id string, status string, code string, signer string, digest string", rows)
 
-    def fragments(self) -> DataFrame:
-        """(doc_id, page_number or null, channel, id, text) of all channels, each document parsed once."""
-        return self._product("fragments", _fragments, "doc_id bigint, page_number int, channel string, id string, text string")
+    def fragments(self, channels: tuple[str, ...] = ()) -> DataFrame:
+        """(doc_id, page_number or null, channel, id, text) of the channels (none named: all), each document parsed once."""
+
+        def rows(content, passwords, policy):
+            doc = Document(content, policy, passwords)
+            return (f for f in _fragments(doc) if not channels or f["channel"] in channels) if copies(doc, channels) else ()
+
+        return self._rows("doc_id bigint, page_number int, channel string, id string, text string", rows)
+
+    def reachable(self, pages: list[int] | None = None) -> DataFrame:
+        """(doc_id, obj, gen, revision, src_start, type_name, has_stream): the objects that the pages (none named: all) need."""
+        return self._product("reachable", lambda doc: _reachable(doc, pages))
 
     def search(self, query: str, **options) -> DataFrame:
         from ..operators.fragments import search
 
-        return search(self.fragments(), query, **options)
+        return search(self.fragments(tuple(options.get("channels") or ())), query, **options)
 
     def read(self, max_characters: int, **options) -> DataFrame:
         from ..operators.fragments import read
 
-        return read(self.fragments(), max_characters, **options)
+        return read(self.fragments(tuple(options.get("channels") or ())), max_characters, **options)
 
     def layout(self) -> DataFrame:
         from ..operators.layout import blocks
 
         return blocks(self.runs())
 
+    def regions(self) -> DataFrame:
+        from ..operators.regions import regions
+
+        return regions(self.layout())
+
+    def tables(self) -> DataFrame:
+        """Tables and label forms of every page, those that only the order of runs tells included."""
+        from ..operators.knowledge import tables
+
+        return tables(self.layout(), self.runs())
+
+    def known_limits(self, stage: str = "knowledge") -> DataFrame:
+        from ..operators.layout import known_limits
+
+        return known_limits(self.runs(), stage)
+
     def knowledge(self) -> DataFrame:
         from ..operators.knowledge import chunks
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.numerals import ROMAN
 from ..operators import fragments as fr
-from ..operators import knowledge, layout
+from ..operators import knowledge, layout, regions
 from ..sources.crypto import PERMISSIONS
 from ..sources.store import Policy
 from .corpus import Corpus
@@ -510,6 +510,130 @@ def form_fields(spark, sf_dir):
     return knowledge.fields(b).select("doc_id", "name", "value")
 
 
+@query(
+    """SELECT CAST(l_orderkey AS BIGINT) AS doc_id, CASE WHEN count(*) >= 2 THEN 'table' ELSE 'form-like' END AS kind, CAST(4 * (count(*) + 1) AS INTEGER) AS blocks, CAST(CASE WHEN count(*) >= 2 THEN 4 ELSE 0 END AS INTEGER) AS headers,
+round(CASE WHEN count(*) >= 2 THEN least(CAST(0.93 AS DOUBLE), CAST(0.68 AS DOUBLE) + least(CAST(0.2 AS DOUBLE), CAST(0.015 AS DOUBLE) * 4 * (count(*) + 1))) ELSE CAST(0.5 AS DOUBLE) END, 6) AS confidence FROM lineitem GROUP BY l_orderkey"""
+)
+def layout_regions(spark, sf_dir):
+    """Orders as grids; two rows of short words without numbers look like a form."""
+    found = regions.regions(_order_pages(spark, sf_dir))
+    return found.select("doc_id", "kind", F.size("block_ids").alias("blocks"), F.size("header_ids").alias("headers"), F.round("confidence", 6).alias("confidence"))
+
+
+def _order_runs(spark, sf_dir, cells: bool) -> DataFrame:
+    """Each order as runs, one a line: a header line over compact rows, or cells before larger headers."""
+    l = read(spark, sf_dir, "lineitem")
+    at = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_quantity", "l_returnflag"))
+    l = l.select(F.col("l_orderkey").cast("bigint").alias("doc_id"), at.alias("row"), F.col("l_quantity").cast("bigint").cast("string").alias("n"), "l_returnflag", "l_linestatus")
+    ids = l.select("doc_id").distinct()
+    if cells:
+        body = l.select("doc_id", "row", F.posexplode(F.array("l_returnflag", "n", "l_linestatus")).alias("col", "text"), F.lit(10.0).alias("font_size"))
+        head = ids.select("doc_id", F.lit(1 << 20).alias("row"), F.posexplode(F.array(*map(F.lit, ("Flag", "Count", "Status")))).alias("col", "text"), F.lit(14.0).alias("font_size"))
+    else:
+        body = l.select("doc_id", "row", F.lit(0).alias("col"), F.concat_ws(" ", "l_returnflag", "n", F.lit("kg"), "l_linestatus").alias("text"), F.lit(12.0).alias("font_size"))
+        head = ids.select("doc_id", F.lit(0).alias("row"), F.lit(0).alias("col"), F.lit("Mode Total Quantity Flag").alias("text"), F.lit(12.0).alias("font_size"))
+    order = (F.row_number().over(Window.partitionBy("doc_id").orderBy("row", "col")) - 1).cast("int")
+    rows = head.unionByName(body).withColumn("content_order", order)
+    return rows.select("doc_id", F.lit(1).alias("page_number"), F.concat_ws("-", F.lit("run-1"), F.col("content_order") + 1).alias("id"), "content_order", "text", F.lit(72.0).alias("x"), (720.0 - 14 * F.col("content_order")).alias("y"), "font_size", F.lit(False).alias("starts_new_line"), F.lit("horizontal").alias("writing_mode"))
+
+
+def _sequence_tables(runs: DataFrame) -> DataFrame:
+    blocks = layout.lines(runs).withColumn("reading_order", F.col("line") - 1)
+    return knowledge.tables(blocks, runs).select("doc_id", "heuristic", F.array_join("headers", "|").alias("headers"), F.size("cells").alias("cells"), F.array_join(F.transform(F.array_sort("cells"), lambda c: c["text"]), "|").alias("texts"))
+
+
+_SEQUENCE = """SELECT doc_id, 'row-sequence' AS heuristic, '{headers}' AS headers, CAST(3 * count(*) AS INTEGER) AS cells, string_agg(l_returnflag || '|' || n || '{unit}|' || l_linestatus, '|' ORDER BY at) AS texts
+FROM (SELECT CAST(l_orderkey AS BIGINT) AS doc_id, l_returnflag, l_linestatus, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS n, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity, l_returnflag) AS at FROM lineitem) GROUP BY doc_id HAVING count(*) >= 2"""
+
+
+@query(_SEQUENCE.format(headers="Mode|Total Quantity|Flag", unit=" kg"))
+def table_compact_rows(spark, sf_dir):
+    """Rows of one run each under a header line whose words are dealt to the columns."""
+    return _sequence_tables(_order_runs(spark, sf_dir, cells=False))
+
+
+@query(_SEQUENCE.format(headers="Flag|Count|Status", unit=""))
+def table_run_sequence(spark, sf_dir):
+    """Cells of one run each, before headers in a larger font."""
+    return _sequence_tables(_order_runs(spark, sf_dir, cells=True))
+
+
+@query("SELECT CAST(s_suppkey AS BIGINT) AS doc_id, 'field-label-form' AS heuristic, 'Supplier Form' AS headers, 'Name:|Nation:|Contact:|Reviewer:' AS labels FROM supplier")
+def form_labels(spark, sf_dir):
+    """Labels without values under a title."""
+    s = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("bigint").alias("doc_id"), F.posexplode(F.array(*map(F.lit, ("Supplier Form", "Name:", "Nation:", "Contact:", "Reviewer:")))).alias("k", "text"))
+    runs = s.select("doc_id", F.lit(1).alias("page_number"), F.concat_ws("-", F.lit("run-1"), F.col("k") + 1).alias("id"), F.col("k").alias("content_order"), "text", F.lit(72.0).alias("x"), (740.0 - 24 * F.col("k")).alias("y"), F.when(F.col("k") == 0, 22.0).otherwise(12.0).alias("font_size"), F.lit(False).alias("starts_new_line"), F.lit("horizontal").alias("writing_mode"))
+    blocks = layout.lines(runs).withColumn("reading_order", F.col("line") - 1).withColumn("role", F.when(F.col("line") == 1, "heading").otherwise("body"))
+    return knowledge.tables(blocks, runs).select("doc_id", "heuristic", F.array_join("headers", "|").alias("headers"), F.array_join(F.transform("cells", lambda c: c["text"]), "|").alias("labels"))
+
+
+@query(
+    """SELECT doc_id, row_index, col_index, text, CAST(0 AS INTEGER) AS start, CAST(length(text) AS INTEGER) AS "end" FROM (SELECT doc_id, CAST(at - 1 AS INTEGER) AS row_index, unnest([0, 1, 2, 3]) AS col_index, unnest([n, q, 'x', f]) AS text
+FROM (SELECT CAST(l_orderkey AS BIGINT) AS doc_id, CAST(l_linenumber AS VARCHAR) AS n, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS q, l_returnflag AS f, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity) AS at, count(*) OVER (PARTITION BY l_orderkey) AS c FROM lineitem) WHERE c >= 2)"""
+)
+def cell_citations(spark, sf_dir):
+    """Every cell of every order's grid is cited in its block."""
+    blocks = _order_pages(spark, sf_dir).withColumn("run_ids", F.array(F.concat(F.lit("run-"), "id")))
+    return knowledge.cell_citations(knowledge.tables(blocks), blocks).select("doc_id", "row_index", "col_index", "text", "start", "end")
+
+
+@query(
+    r"""SELECT doc_id, page_number, id || '-' || part AS id, CASE part WHEN 'tail' THEN tail ELSE body END AS text FROM (SELECT doc_id, page AS page_number, 'block-' || page || '-' || (pos + 1) AS id, lag(text) OVER (PARTITION BY doc_id, page ORDER BY pos) AS before,
+trim(regexp_extract(text, '(?s)^(.{2,24}?[.!?])\s+([\p{Lu}\p{Lt}].+)$', 1)) AS tail, trim(regexp_extract(text, '(?s)^(.{2,24}?[.!?])\s+([\p{Lu}\p{Lt}].+)$', 2)) AS body FROM placed), (SELECT unnest(['tail', 'body']) AS part)
+WHERE tail <> '' AND before IS NOT NULL AND NOT regexp_matches(before, '[.!?]["'')\]]*$') AND len(regexp_split_to_array(tail, '\s+')) <= 3 AND NOT regexp_matches(tail, '(?i)(?:^|\s)(?:Dr|Mr|Mrs|Ms|Prof|Sr|Jr|St|No|Fig|Eq|Sec|Ch|vs|e\.g|i\.e)\.$')""",
+    lines=True,
+)
+def sentence_tails(spark, sf_dir):
+    """A line that begins with the end of the one before is two."""
+    rows = layout.lines(text_runs(spark, sf_dir)).withColumn("reading_order", F.col("line") - 1)
+    return layout.split_tails(rows).where("tail_part is not null").select("doc_id", "page_number", "id", "text")
+
+
+@query(
+    r"""parts AS (SELECT f.doc_id, b + chunk AS c, f.item, len(list_filter(list_transform(string_split(text, '|'), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '')) AS n FROM fold f JOIN base ON base.doc_id = f.doc_id AND base.page = f.page JOIN placed p ON p.doc_id = f.doc_id AND p.page = f.page AND p.pos = f.pos),
+whole AS (SELECT doc_id, c, bool_or(item) AS item, count(*) FILTER (n > 0) AS k, min(n) FILTER (n > 0) AS lo, max(n) AS hi FROM parts GROUP BY ALL)
+SELECT doc_id, CASE WHEN k >= 2 AND lo = hi AND hi >= 2 THEN 'table' WHEN item THEN 'list' ELSE 'paragraph' END AS kind, CAST(count(*) AS BIGINT) AS n FROM whole GROUP BY ALL"""
+)
+def projection_nodes(spark, sf_dir):
+    """Chunks as paragraphs, lists and tables of bars."""
+    made = knowledge.projection(knowledge.chunks(_flat_blocks(spark, sf_dir)))
+    return made.groupBy("doc_id", "kind").agg(F.count("*").alias("n"))
+
+
+SQL["projection_nodes"] = f"WITH RECURSIVE {LINES}, {_CHUNKS}, {SQL['projection_nodes']}"
+
+
+@query(
+    """SELECT doc_id, page_number, bool_or(gap AND severe) OR count(*) FILTER (gap) > 1 AS decode_gap FROM (SELECT *, m = 0 OR u - m > 0 AND NOT (u - m = 1 AND m >= 8 OR u - m <= 2 AND m >= 24) AND (m < 4 OR m / u < 0.9) AS gap, m = 0 OR u - m > 0 AND (u - m >= 2 AND m < 8 OR m / u < 0.7) AS severe
+FROM (SELECT CAST(l_orderkey AS BIGINT) AS doc_id, CAST(1 AS INTEGER) AS page_number, CAST(CAST(l_quantity AS BIGINT) AS DOUBLE) AS u, CAST(greatest(CAST(l_quantity AS BIGINT) - l_linenumber, 0) AS DOUBLE) AS m FROM lineitem)) GROUP BY ALL"""
+)
+def decode_gaps(spark, sf_dir):
+    """Lineitems as runs that lost as many codes as their line number."""
+    q = F.col("l_quantity").cast("int")
+    runs = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("bigint").alias("doc_id"), F.lit(1).alias("page_number"), q.alias("source_units"), F.greatest(q - F.col("l_linenumber").cast("int"), F.lit(0)).alias("mapped_units"), F.lit(False).alias("complete"))
+    return layout.decode_gaps(runs)
+
+
+@query("SELECT doc_id, ['knowledge-chunk-heuristic', 'knowledge-markdown-heuristic', 'layout-block-heuristic', 'layout-reading-order-heuristic', 'layout-region-heuristic', 'layout-role-heuristic', 'table-projection-heuristic']::VARCHAR[] AS known_limits FROM sizes WHERE n > 0", lines=True)
+def known_limits(spark, sf_dir):
+    """U4: every code is mapped, so only the heuristics remain."""
+    return Corpus(pdf_corpus(spark, sf_dir)).known_limits()
+
+
+@query("SELECT doc_id, CAST(5 AS BIGINT) AS page_one, CAST(4 + pages AS BIGINT) AS all_pages FROM sizes", lines=True)
+def reachable_objects(spark, sf_dir):
+    """The catalog, a font of three objects, and a stream a page."""
+    corpus = Corpus(pdf_corpus(spark, sf_dir))
+    one = corpus.reachable([1]).groupBy("doc_id").agg(F.count("*").alias("page_one"))
+    return one.join(corpus.reachable().groupBy("doc_id").agg(F.count("*").alias("all_pages")), "doc_id")
+
+
+@query("SELECT doc_id, 'Document' AS role, 'whole' AS title FROM documents")
+def structure_pages(spark, sf_dir):
+    """The figure on page 1 goes, the element without a page stays."""
+    return _rich(spark, sf_dir).features("structure", pages=[2]).select("doc_id", "role", "title")
+
+
 @query()
 def knowledge_markdown(spark, sf_dir):
     """G1, G13, T20, T21."""

@@ -36,17 +36,18 @@ class Budget:
 
 @dataclass(frozen=True)
 class Policy:
-    """allow, report or deny of each kind of content; repair safe or strict; encryption allow or forbid."""
+    """allow, report or deny of each kind of content; repair safe or strict; encryption allow or forbid; permissions report or enforce."""
 
     javascript: str = "deny"
     launch: str = "deny"
     embedded_files: str = "report"
     repair: str = "safe"
     encryption: str = "allow"
+    permissions: str = "report"
     budget: Budget = field(default_factory=Budget)
 
     def __post_init__(self):
-        for k, most in (("javascript", ("allow", "report", "deny")), ("launch", ("allow", "report", "deny")), ("embedded_files", ("allow", "report", "deny")), ("repair", ("safe", "strict")), ("encryption", ("allow", "forbid"))):
+        for k, most in (("javascript", ("allow", "report", "deny")), ("launch", ("allow", "report", "deny")), ("embedded_files", ("allow", "report", "deny")), ("repair", ("safe", "strict")), ("encryption", ("allow", "forbid")), ("permissions", ("report", "enforce"))):
             if getattr(self, k) not in most:
                 raise TypeError(f"{k} is one of {', '.join(most)}")
 

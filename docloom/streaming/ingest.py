@@ -38,9 +38,11 @@ def statuses_by_hour(files: DataFrame, policy: Policy | None = None, late: str =
 
     chosen = policy or Policy()
 
-    @F.udf("string")
-    def status(content):
-        return opened_row(bytes(content), (), chosen)["status"]
+    @F.arrow_udf("string")
+    def status(contents):
+        import pyarrow as pa
+
+        return pa.array(["blocked" if c is None else opened_row(c, (), chosen)["status"] for c in contents.to_pylist()], pa.string())
 
     hours = files.withWatermark("arrived", late).select("arrived", status("content").alias("status"))
     return hours.groupBy(F.window("arrived", "1 hour").alias("w"), "status").agg(F.count("*").alias("n")).select(F.col("w.start").alias("hour"), "status", "n")

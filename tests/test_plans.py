@@ -13,7 +13,7 @@ from docloom.sources.store import Policy
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-QUICK = ("pdf_extract_runs", "pdf_open_status", "pdf_decrypt", "pdf_revisions", "search_literal", "search_word", "read_bounded", "word_lines", "body_font_size", "text_predicates", "chunks_420", "stable_ids", "markdown_tables", "layout_tables", "form_fields", "table_dedupe_best")
+QUICK = ("pdf_extract_runs", "pdf_open_status", "pdf_decrypt", "pdf_revisions", "search_literal", "search_word", "read_bounded", "word_lines", "body_font_size", "text_predicates", "chunks_420", "stable_ids", "markdown_tables", "layout_tables", "form_fields", "table_dedupe_best", "layout_regions", "table_compact_rows", "table_run_sequence", "form_labels", "cell_citations", "sentence_tails", "projection_nodes", "decode_gaps", "known_limits", "reachable_objects", "structure_pages")
 
 needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
 
