@@ -491,7 +491,7 @@ def _order_pages(spark, sf_dir) -> DataFrame:
     """Each order as a page: a header line and a line a lineitem, four columns."""
     l = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("bigint").alias("doc_id"), "l_linenumber", "l_quantity", "l_shipmode" if "l_shipmode" in read(spark, sf_dir, "lineitem").columns else F.lit("x").alias("l_shipmode"), "l_returnflag")
     head = l.select("doc_id").distinct().select("doc_id", F.lit(0).alias("row"), F.array(*map(F.lit, ("Line", "Quantity", "Mode", "Flag"))).alias("cells"))
-    body = l.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("l_linenumber", "l_quantity")).alias("row"), F.array(F.col("l_linenumber").cast("string"), F.col("l_quantity").cast("bigint").cast("string"), "l_shipmode", "l_returnflag").alias("cells"))
+    body = l.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("l_linenumber", "l_quantity", "l_returnflag")).alias("row"), F.array(F.col("l_linenumber").cast("string"), F.col("l_quantity").cast("bigint").cast("string"), "l_shipmode", "l_returnflag").alias("cells"))
     rows = head.unionByName(body).select("doc_id", "row", F.posexplode("cells").alias("col", "text"))
     return rows.select("doc_id", F.lit(1).alias("page_number"), F.concat_ws("-", F.lit("block-1"), F.col("row") * 4 + F.col("col") + 1).alias("id"), (F.col("row") * 4 + F.col("col")).alias("reading_order"), "text", (72.0 + 120 * F.col("col")).alias("x"), (720.0 - 20 * F.col("row")).alias("y"), F.lit(12.0).alias("font_size"))
 
@@ -523,7 +523,7 @@ def layout_regions(spark, sf_dir):
 def _order_runs(spark, sf_dir, cells: bool) -> DataFrame:
     """Each order as runs, one a line: a header line over compact rows, or cells before larger headers."""
     l = read(spark, sf_dir, "lineitem")
-    at = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_quantity", "l_returnflag"))
+    at = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_quantity", "l_returnflag", "l_linestatus"))
     l = l.select(F.col("l_orderkey").cast("bigint").alias("doc_id"), at.alias("row"), F.col("l_quantity").cast("bigint").cast("string").alias("n"), "l_returnflag", "l_linestatus")
     ids = l.select("doc_id").distinct()
     if cells:
@@ -542,8 +542,8 @@ def _sequence_tables(runs: DataFrame) -> DataFrame:
     return knowledge.tables(blocks, runs).select("doc_id", "heuristic", F.array_join("headers", "|").alias("headers"), F.size("cells").alias("cells"), F.array_join(F.transform(F.array_sort("cells"), lambda c: c["text"]), "|").alias("texts"))
 
 
-_SEQUENCE = """SELECT doc_id, 'row-sequence' AS heuristic, '{headers}' AS headers, CAST(3 * count(*) AS INTEGER) AS cells, string_agg(l_returnflag || '|' || n || '{unit}|' || l_linestatus, '|' ORDER BY at) AS texts
-FROM (SELECT CAST(l_orderkey AS BIGINT) AS doc_id, l_returnflag, l_linestatus, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS n, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity, l_returnflag) AS at FROM lineitem) GROUP BY doc_id HAVING count(*) >= 2"""
+_SEQUENCE = """SELECT doc_id, 'row-sequence' AS heuristic, '{headers}' AS headers, CAST(3 * count(*) AS INTEGER) AS cells, string_agg(l_returnflag || '|' || n || '{unit}|' || l_linestatus, '|' ORDER BY k) AS texts
+FROM (SELECT CAST(l_orderkey AS BIGINT) AS doc_id, l_returnflag, l_linestatus, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS n, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity, l_returnflag, l_linestatus) AS k FROM lineitem) GROUP BY doc_id HAVING count(*) >= 2"""
 
 
 @query(_SEQUENCE.format(headers="Mode|Total Quantity|Flag", unit=" kg"))
@@ -568,8 +568,8 @@ def form_labels(spark, sf_dir):
 
 
 @query(
-    """SELECT doc_id, row_index, col_index, text, CAST(0 AS INTEGER) AS start, CAST(length(text) AS INTEGER) AS "end" FROM (SELECT doc_id, CAST(at - 1 AS INTEGER) AS row_index, unnest([0, 1, 2, 3]) AS col_index, unnest([n, q, 'x', f]) AS text
-FROM (SELECT CAST(l_orderkey AS BIGINT) AS doc_id, CAST(l_linenumber AS VARCHAR) AS n, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS q, l_returnflag AS f, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity) AS at, count(*) OVER (PARTITION BY l_orderkey) AS c FROM lineitem) WHERE c >= 2)"""
+    """SELECT doc_id, row_index, col_index, text, CAST(0 AS INTEGER) AS start, CAST(length(text) AS INTEGER) AS "end" FROM (SELECT doc_id, CAST(k - 1 AS INTEGER) AS row_index, unnest([0, 1, 2, 3]) AS col_index, unnest([n, q, 'x', f]) AS text
+FROM (SELECT CAST(l_orderkey AS BIGINT) AS doc_id, CAST(l_linenumber AS VARCHAR) AS n, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS q, l_returnflag AS f, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity, l_returnflag) AS k, count(*) OVER (PARTITION BY l_orderkey) AS c FROM lineitem) WHERE c >= 2)"""
 )
 def cell_citations(spark, sf_dir):
     """Every cell of every order's grid is cited in its block."""
@@ -578,14 +578,20 @@ def cell_citations(spark, sf_dir):
 
 
 @query(
-    r"""SELECT doc_id, page_number, id || '-' || part AS id, CASE part WHEN 'tail' THEN tail ELSE body END AS text FROM (SELECT doc_id, page AS page_number, 'block-' || page || '-' || (pos + 1) AS id, lag(text) OVER (PARTITION BY doc_id, page ORDER BY pos) AS before,
-trim(regexp_extract(text, '(?s)^(.{2,24}?[.!?])\s+([\p{Lu}\p{Lt}].+)$', 1)) AS tail, trim(regexp_extract(text, '(?s)^(.{2,24}?[.!?])\s+([\p{Lu}\p{Lt}].+)$', 2)) AS body FROM placed), (SELECT unnest(['tail', 'body']) AS part)
-WHERE tail <> '' AND before IS NOT NULL AND NOT regexp_matches(before, '[.!?]["'')\]]*$') AND len(regexp_split_to_array(tail, '\s+')) <= 3 AND NOT regexp_matches(tail, '(?i)(?:^|\s)(?:Dr|Mr|Mrs|Ms|Prof|Sr|Jr|St|No|Fig|Eq|Sec|Ch|vs|e\.g|i\.e)\.$')""",
-    lines=True,
+    r"""WITH spelt AS (SELECT doc_id, list_filter(string_split(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM documents),
+cut AS (SELECT doc_id, w, unnest(range((len(w) + 6) // 7)) AS k FROM spelt), placed AS (SELECT doc_id, CAST(k // 48 + 1 AS INTEGER) AS page, CAST(k % 48 AS INTEGER) AS pos, array_to_string(w[7 * k + 1 : 7 * k + 7], ' ') AS text FROM cut),
+parted AS (SELECT doc_id, page, pos, lag(text) OVER (PARTITION BY doc_id, page ORDER BY pos) AS before, trim(regexp_extract(text, '(?s)^(.{2,24}?[.!?])\s+([\p{Lu}\p{Lt}].+)$', 1)) AS tail, trim(regexp_extract(text, '(?s)^(.{2,24}?[.!?])\s+([\p{Lu}\p{Lt}].+)$', 2)) AS body FROM placed)
+SELECT doc_id, page AS page_number, 'block-' || page || '-' || (pos + 1) || '-' || part AS id, CASE part WHEN 'tail' THEN tail ELSE body END AS text FROM parted, (SELECT unnest(['tail', 'body']) AS part)
+WHERE tail <> '' AND before IS NOT NULL AND NOT regexp_matches(before, '[.!?]["'')\]]*$') AND len(regexp_split_to_array(tail, '\s+')) <= 3 AND NOT regexp_matches(tail, '(?i)(?:^|\s)(?:Dr|Mr|Mrs|Ms|Prof|Sr|Jr|St|No|Fig|Eq|Sec|Ch|vs|e\.g|i\.e)\.$')"""
 )
 def sentence_tails(spark, sf_dir):
-    """A line that begins with the end of the one before is two."""
-    rows = layout.lines(text_runs(spark, sf_dir)).withColumn("reading_order", F.col("line") - 1)
+    """Whole texts in lines of seven words; a line that begins with the end of the one before is two."""
+    words = F.filter(F.split(T.normal(F.col("text")), " "), lambda w: w != "")
+    cut = read(spark, sf_dir, "documents").select("doc_id", words.alias("w")).where("size(w) > 0")
+    lines = cut.select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / 7).cast("int")), lambda k: F.array_join(F.slice("w", k * 7 + 1, 7), " "))).alias("k", "text"))
+    at = F.col("k") % 48
+    runs = lines.select("doc_id", (F.floor(F.col("k") / 48) + 1).cast("int").alias("page_number"), F.concat(F.lit("run-"), "k").alias("id"), at.alias("content_order"), "text", F.lit(72.0).alias("x"), (720.0 - 14 * at).alias("y"), F.lit(12.0).alias("font_size"), F.lit(True).alias("starts_new_line"), F.lit("horizontal").alias("writing_mode"))
+    rows = layout.lines(runs).withColumn("reading_order", F.col("line") - 1)
     return layout.split_tails(rows).where("tail_part is not null").select("doc_id", "page_number", "id", "text")
 
 
