@@ -7,6 +7,10 @@ a bucket fingerprints are sorted by Gray rank; runs of neighbours make leaves, r
 upper nodes, and a node holds the bits its members share. Pairs of nodes are walked from the top:
 differences in shared bits add up on the way down, and a pair of groups is dropped as a whole once
 they pass the radius, or linked as a whole once nothing below can pass it.
+
+keep_first() takes a wider radius than blocks can guarantee: a long fingerprint of five-word shingles, of
+which each block deals the documents into buckets; inside a bucket the same order and tree find the pairs
+within the radius, and their exact Jaccard similarity decides.
 """
 
 from __future__ import annotations
@@ -26,9 +30,15 @@ FAN = 8
 CROWD = 2048
 ALL = (1 << 64) - 1
 LONG = 4_000_000
-#: What keep_first() takes for near copies: words a shingle and Jaccard similarity; and its MinHash sketch, which a pair at NEAR passes with a chance of 1 - (1 - NEAR ** ROWS) ** BANDS = 0.9996.
+#: What keep_first() takes for near copies: words a shingle and Jaccard similarity.
 NEAR_WIDTH, NEAR = 5, 0.8
-BANDS, ROWS = 20, 5
+#: Its fingerprint: WORDS of 64 bits, of which a pair at NEAR differs in 0.15. In one of the 91 blocks of BLOCK bits it agrees with a chance of 0.9999, and in the first CHECKED words it differs in at most NEAR_RADIUS bits with one of over 0.9999.
+WORDS, BLOCK, CHECKED, NEAR_RADIUS = 20, 14, 2, 40
+#: So few words are counted bit by bit.
+FEW = 24
+#: A bucket with more pairs than DENSE a row (and DENSE_LEAST) is compared where it lies, the sets sent to it, and only what verified links have not joined up yet; so many shingles at once.
+DENSE, DENSE_LEAST = 4, 64
+AT_ONCE = 2_000_000
 #: keep_first() sends ids of documents to all tasks while they are no more than this; beyond, texts are shuffled to them.
 SENT_IDS = 1_000_000
 
@@ -285,17 +295,36 @@ def shingles(text: str | None, width: int) -> np.ndarray:
     return np.unique(np.concatenate(found))
 
 
-def band_keys(found: np.ndarray) -> list[int]:
-    """A key for each band of the MinHash sketch of a set of shingles, the band's number in it."""
-    from xxhash import xxh64_intdigest
-
-    rng = np.random.default_rng(SEED)
-    xor, odd = rng.integers(0, 2**64, size=(2, BANDS * ROWS, 1), dtype=np.uint64)
-    odd |= np.uint64(1)
-    least = np.full(BANDS * ROWS, ALL, dtype=np.uint64)
+def _ones(words: np.ndarray) -> np.ndarray:
+    """How many of n words have each bit, by adders over whole words; words: (m, n), result (m, 64)."""
+    found, weight = np.zeros((len(words), 64), dtype=np.int64), 1
+    while words.shape[1]:
+        carries = [words[:, :0]]
+        while words.shape[1] > FEW:
+            n = words.shape[1] // 3
+            x, y, z = words[:, :n], words[:, n : 2 * n], words[:, 2 * n : 3 * n]
+            odd = x ^ y
+            carries.append((x & y) | (odd & z))
+            words = np.concatenate([odd ^ z, words[:, 3 * n :]], axis=1)
+        bits = np.unpackbits(words.view(np.uint8).reshape(*words.shape, 8), axis=2, bitorder="little")
+        found += weight * bits.sum(axis=1, dtype=np.int64)
+        words, weight = np.concatenate(carries, axis=1), 2 * weight
+    return found
+
+
+def long_fingerprint(found: np.ndarray, words: int = WORDS) -> np.ndarray:
+    """The SimHash of a set of shingle hashes in `words` words of 64 bits: each bit as in over half the shingles, or if even as in the first; 0 for none."""
+    ones = np.zeros((words, 64), dtype=np.int64)
+    salt = (np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
     for at in range(0, len(found), 4096):
-        least = np.minimum(least, ((found[None, at : at + 4096] ^ xor) * odd).min(axis=1))
-    return [xxh64_intdigest(band.tobytes(), k) - (1 << 63) for k, band in enumerate(least.reshape(BANDS, ROWS))]
+        x = found[None, at : at + 4096] ^ salt
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        ones += 2 * _ones(x)
+        if not at:
+            ones += _ones(x[:, :1])
+    return np.packbits(ones > len(found), axis=1, bitorder="little").view(np.uint64)[:, 0]
 
 
 def _set_key(found: np.ndarray) -> int:
@@ -305,21 +334,216 @@ def _set_key(found: np.ndarray) -> int:
 
 
 def _sketched(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, d, s, keys) of rows (doc_id, d, text): s stands for the set of shingles."""
+    """(doc_id, d, s, fp) of rows (doc_id, d, text): s stands for the set of shingles, fp is its long fingerprint."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             for part in text_batches(batch):
-                s, keys = [], []
+                s, fp = [], []
                 for text in part.column("text").to_pylist():
                     found = shingles(text, width)
                     s.append(_set_key(found))
-                    keys.append(band_keys(found))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("d"), pa.array(s, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "d", "s", "keys"])
+                    fp.append(long_fingerprint(found).tobytes())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("d"), pa.array(s, pa.int64()), pa.array(fp, pa.binary())], names=["doc_id", "d", "s", "fp"])
+
+    return docs.mapInArrow(run, "doc_id bigint, d bigint, s bigint, fp binary")
+
+
+def _blocks(classes: DataFrame) -> DataFrame:
+    """(key, s, w0, w1, ...): each row of classes (s, fp) once for each block of its fingerprint, with the first CHECKED words."""
+    names = [f"w{k}" for k in range(CHECKED)]
+    count = WORDS * 64 // BLOCK
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                fp = np.frombuffer(b"".join(part.column("fp").to_pylist()), dtype=np.uint64).reshape(-1, WORDS)
+                bits = np.unpackbits(fp.view(np.uint8), axis=1, bitorder="little")[:, : count * BLOCK].reshape(-1, count, BLOCK)
+                key = (bits @ (1 << np.arange(BLOCK))) | (np.arange(count) << BLOCK)
+                rows = [key.ravel(), part.column("s").to_numpy().repeat(count), *(fp[:, k].view(np.int64).repeat(count) for k in range(CHECKED))]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], names=["key", "s", *names])
+
+    return classes.select("s", "fp").mapInArrow(run, ", ".join(f"{x} bigint" for x in ("key", "s", *names)))
 
-    return docs.mapInArrow(run, "doc_id bigint, d bigint, s bigint, keys array<bigint>")
+
+def near_pairs(bucket: np.ndarray, fp: np.ndarray, label: np.ndarray, radius: int, full: np.ndarray):
+    """Yields all pairs of row places (a, b) of one bucket and different labels that differ in at most radius bits.
+
+    bucket: ascending numbers from 0, fp: unsigned words (n, any number), in the Gray order of each bucket. Buckets
+    that the caller marks in `full` meanwhile are not walked further.
+    """
+    top, low, high = bucket, label, label
+    levels = [(np.arange(len(fp)), np.arange(len(fp)) + 1, np.full(fp.shape, ALL, dtype=np.uint64), fp, bucket, low, high)]
+    while True:
+        mask, pattern = levels[-1][2:4]
+        starts, ends = _grouped(mask, pattern, top)
+        if len(starts) == len(top):
+            break
+        ones, some = np.bitwise_and.reduceat(pattern, starts), np.bitwise_or.reduceat(pattern, starts)
+        mask = np.bitwise_and.reduceat(mask, starts) & (ones | ~some)
+        top, low, high = top[starts], np.minimum.reduceat(low, starts), np.maximum.reduceat(high, starts)
+        levels.append((starts, ends, mask, ones & mask, top, low, high))
+    step = 8192
+    roots = np.arange(len(top))
+    stack = [(len(levels) - 1, roots[k : k + step], roots[k : k + step]) for k in range(0, len(roots), step)]
+    while stack:
+        level, a, b = stack.pop()
+        starts, ends, mask, pattern, owner, low, high = levels[level]
+        apart = (pattern[a] ^ pattern[b]) & mask[a] & mask[b]
+        near = np.bitwise_count(apart).sum(axis=1, dtype=np.int64) <= radius
+        near &= ~full[owner[a]] & ((low[a] != high[a]) | (low[b] != high[b]) | (low[a] != low[b]))
+        a, b = a[near], b[near]
+        if level <= 1:  # all rows of a leaf with all of another
+            x, y = (starts[node][:, None] + np.arange(FAN if level else 1) for node in (a, b))
+            gone = np.zeros((len(a), x.shape[1], x.shape[1]), dtype=np.uint8 if fp.shape[1] < 4 else np.int64)
+            for word in fp.T:
+                gone += np.bitwise_count(word.take(x, mode="clip")[:, :, None] ^ word.take(y, mode="clip")[:, None, :])
+            node, i, j = np.nonzero(gone <= radius)
+            x, y = x[node, i], y[node, j]
+            some = (x < ends[a[node]]) & (y < ends[b[node]]) & (x < y)
+            x, y = x[some], y[some]
+            some = label[x] != label[y]
+            if some.any():
+                yield x[some], y[some]
+            continue
+        na, nb = ends[a] - starts[a], ends[b] - starts[b]
+        n = na * nb
+        pair = np.repeat(np.arange(len(a)), n)
+        k = np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n)
+        ca, cb = starts[a][pair] + k // nb[pair], starts[b][pair] + k % nb[pair]
+        once = ca <= cb
+        ca, cb = ca[once], cb[once]
+        stack += [(level - 1, ca[s : s + step], cb[s : s + step]) for s in range(0, len(ca), step)]
+
+
+def _gray_order(bucket: np.ndarray, fp: np.ndarray) -> np.ndarray:
+    ranks, odd = [], np.zeros(len(fp), dtype=np.uint64)
+    for word in fp.T:  # a word after an odd one runs backwards
+        ranks.append(gray_rank(word) ^ (np.uint64(0) - odd))
+        odd = ranks[-1] & np.uint64(1)
+    return np.lexsort((*ranks[::-1], bucket))
+
+
+def _whole_keys(batches, names: list[str], most: int):
+    """Batches of rows sorted by key as tables of at least `most` rows, all rows of a key in one."""
+    import pyarrow as pa
+
+    held = []
+    for batch in batches:
+        held.append(batch.select(names))
+        if sum(b.num_rows for b in held) < most:
+            continue
+        now = pa.Table.from_batches(held).combine_chunks()
+        key = now.column("key").to_numpy()
+        end = int(np.searchsorted(key, key[-1]))
+        if end:
+            yield now.slice(0, end)
+        held = now.slice(end).to_batches()
+    if sum(b.num_rows for b in held):
+        yield pa.Table.from_batches(held)
+
+
+def _placed(table) -> tuple:
+    """(bucket, fp, order) of rows (key, w0, ...) sorted by key: in Gray order, which is order of the rows."""
+    key = table.column("key").to_numpy()
+    bucket = np.cumsum(np.r_[0, key[1:] != key[:-1]])
+    fp = np.stack([table.column(f"w{k}").to_numpy() for k in range(CHECKED)], axis=1).view(np.uint64)
+    order = _gray_order(bucket, fp)
+    return bucket, fp[order], order
+
+
+def _met(rows: DataFrame, radius: int) -> DataFrame:
+    """(a, b, key) of rows (key, s, w0, ...): pairs of s within the radius that share a bucket; of a dense bucket only its key."""
+    names = ["key", "s", *(f"w{k}" for k in range(CHECKED))]
+
+    def run(batches):
+        import pyarrow as pa
+
+        def sent(a, b, key):
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, key)], names=["a", "b", "key"])
+
+        for table in _whole_keys(batches, names, 65_536):
+            bucket, fp, order = _placed(table)
+            s = table.column("s").to_numpy()[order]
+            size = np.bincount(bucket)
+            count, full = np.zeros(len(size), dtype=np.int64), np.zeros(len(size), dtype=bool)
+            held = []
+            for a, b in near_pairs(bucket, fp, s, radius, full):
+                held.append((a, b))
+                count += np.bincount(bucket[a], minlength=len(size))
+                full |= (count > DENSE * size) & (count > DENSE_LEAST)
+            for a, b in held:
+                some = ~full[bucket[a]]
+                yield sent(s[a[some]], s[b[some]], [None] * int(some.sum()))
+            key = np.unique(table.column("key").to_numpy()[full[bucket]])
+            yield sent([None] * len(key), [None] * len(key), key)
+
+    dealt = rows.select(names).repartition("key").sortWithinPartitions("key")
+    return dealt.mapInArrow(run, "a bigint, b bigint, key bigint")
+
+
+def _shared(codes: np.ndarray, starts: np.ndarray, flag: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many elements the sets a and b share, pair by pair; a ascending, codes[starts[k] : starts[k + 1]] set k, flag all False."""
+    lens = starts[b + 1] - starts[b]
+    ends = np.cumsum(lens)
+    theirs = codes[np.repeat(starts[b] - (ends - lens), lens) + np.arange(int(ends[-1]))]
+    hit = np.zeros(len(theirs), dtype=np.int64)
+    new = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
+    for x, y in zip(new, np.r_[new[1:], len(a)]):
+        mine = codes[starts[a[x]] : starts[a[x] + 1]]
+        flag[mine] = True
+        at = slice(ends[x] - lens[x], ends[y - 1])
+        hit[at] = flag[theirs[at]]
+        flag[mine] = False
+    return np.add.reduceat(hit, ends - lens)
+
+
+def _dense_links(rows: DataFrame, radius: int, least: float) -> DataFrame:
+    """(a, b): links between labels that a similarity of at least `least` joins up, of rows (key, s, label, w0, ..., found).
+
+    All pairs of a bucket within the radius are compared, but for those that earlier ones of the task have joined up.
+    """
+    names = ["key", "label", "found", *(f"w{k}" for k in range(CHECKED))]
+
+    def run(batches):
+        import pyarrow as pa
+
+        for table in _whole_keys(batches, names, 1024):
+            bucket, fp, order = _placed(table)
+            sets = table.column("found").combine_chunks().take(pa.array(order))
+            sets = pa.concat_arrays(sets.chunks) if isinstance(sets, pa.ChunkedArray) else sets
+            starts = sets.offsets.to_numpy().astype(np.int64)
+            starts, values = starts - starts[0], sets.flatten().to_numpy()
+            words, codes = np.unique(values, return_inverse=True)
+            flag, lens = np.zeros(len(words), dtype=bool), np.diff(starts)
+            labels, mine = np.unique(table.column("label").to_numpy()[order], return_inverse=True)
+            root = np.arange(len(labels))
+            for a, b in near_pairs(bucket, fp, mine, radius, np.zeros(bucket[-1] + 1, dtype=bool)):
+                some = (root[mine[a]] != root[mine[b]]) & (np.minimum(lens[a], lens[b]) >= least * np.maximum(lens[a], lens[b]))
+                a, b = a[some], b[some]
+                order = np.argsort(a, kind="stable")
+                a, b = a[order], b[order]
+                while len(a):
+                    end = max(1, int(np.searchsorted(np.cumsum(lens[b[:16_384]]), AT_ONCE)))
+                    x, y = a[:end], b[:end]
+                    both = _shared(codes, starts, flag, x, y)
+                    near = both >= least * (lens[x] + lens[y] - both)
+                    a, b = a[end:], b[end:]
+                    if near.any():
+                        now = reached(len(labels), np.r_[np.arange(len(labels)), mine[x[near]]], np.r_[root, mine[y[near]]])
+                        far = np.flatnonzero(now != root)
+                        yield pa.RecordBatch.from_arrays([pa.array(labels[far]), pa.array(labels[now[far]])], names=["a", "b"])
+                        root = now
+                        some = root[mine[a]] != root[mine[b]]
+                        a, b = a[some], b[some]
+
+    dealt = rows.select(names).repartition("key").sortWithinPartitions("key")
+    return dealt.mapInArrow(run, "a bigint, b bigint")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -362,28 +586,37 @@ def _sent(ids: DataFrame) -> DataFrame:
 
 
 def similar(marked: DataFrame, docs: DataFrame, width: int, least: float) -> DataFrame:
-    """(a, b): pairs of different sets with a similarity of at least `least`. marked: as of _sketched(), docs: (d, text).
+    """(a, b): links that join up all sets with a similarity of at least `least`. marked: as of _sketched(), docs: (d, text).
 
-    Sets that share a band's key meet; each is compared with two of the bucket, drawn anew for every
-    band, so the pairs grow with the sets and not with the square of a group.
+    Sets whose fingerprints share a block meet, and of a bucket all pairs within the radius are compared. Where
+    they are many - large groups of near copies -, sets are sent to the bucket, so rows grow with the sets and
+    not with the square of a group.
     """
-    classes = cut(marked.groupBy("s").agg(F.min("d").alias("d"), F.first("keys").alias("keys")), "sets")
-    rows = cut(classes.select("s", F.explode("keys").alias("key")), "bands")
-    drawn = F.struct(F.xxhash64("s", "key").alias("o"), "s")
-    drawn = rows.groupBy("key").agg(F.min(drawn)["s"].alias("p"), F.max(drawn)["s"].alias("q")).where("p <> q")
-    pairs = rows.join(drawn, "key").select("s", F.explode(F.array("p", "q")).alias("p")).where("s <> p")
-    pairs = cut(pairs.select(F.greatest("s", "p").alias("a"), F.least("s", "p").alias("b")).distinct(), "pairs")
-    met = pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct()
-    texts = cut(classes.join(met, "s", "left_semi").select("d").distinct(), "met")
+    classes = cut(marked.groupBy("s").agg(F.min("d").alias("d"), F.first("fp").alias("fp")), "sets")
+    rows = _blocks(classes)
+    met = cut(_met(rows, NEAR_RADIUS), "met")
+    pairs = cut(met.where("a is not null").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
+    dense = cut(met.where("a is null").select("key").distinct(), "dense")
+    drop(met)
+    crowded = None if dense.isEmpty() else cut(rows.join(_sent(dense), "key", "left_semi"), "crowded")
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("s"))
+    if crowded is not None:
+        needed = needed.unionByName(crowded.select("s"))
+    texts = cut(classes.join(needed.distinct(), "s", "left_semi").select("d").distinct(), "texts")
     sets = cut(_sets(docs.join(_sent(texts), "d", "left_semi"), width), "shingles")
-    return _verified(pairs, sets, least)
+    found = cut(_verified(pairs, sets, least), "similar")
+    if crowded is not None:
+        labels = components(found).select(F.col("node").alias("s"), F.col("root").alias("label"))
+        crowded = crowded.join(sets, "s").join(labels, "s", "left").withColumn("label", F.coalesce("label", "s"))
+        found = found.unionByName(cut(_dense_links(crowded, NEAR_RADIUS, least), "similar"))
+    return found
 
 
 def keep_first(docs: DataFrame, width: int = NEAR_WIDTH, least: float = NEAR) -> DataFrame:
     """docs, all columns, with one row of each group of near copies: of those with the smallest doc_id; rows with a null doc_id stay.
 
     Near copies have a Jaccard similarity of at least `least` on shingles of `width` words, or are linked
-    in steps of such. Rows are told apart by doc_id and text, so different texts may share a doc_id.
+    in steps of such; pairs come from the index over their SimHash fingerprints. Rows are told apart by doc_id and text, so different texts may share a doc_id.
     """
     rows = docs.withColumn("__d", F.xxhash64("text"))
     texts = rows.select("doc_id", F.col("__d").alias("d"), "text")

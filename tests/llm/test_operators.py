@@ -501,3 +501,21 @@ def test_run_words(spark):
         want[d] = len(mine)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(2)
     assert {r["doc_id"]: r["n_run_words"] for r in suffix.repeats(docs, words=51).collect()} == want and want[0] == 70
+
+
+def test_near_pairs():
+    """The tree over long fingerprints against brute force, of several buckets and labels; bits counted one by one."""
+    rng = np.random.default_rng(5)
+    fp = np.repeat(rng.integers(0, 2**64, size=(100, 2), dtype=np.uint64), 6, axis=0)
+    for row in fp:
+        for bit in rng.choice(128, size=rng.integers(0, 25), replace=False):
+            row[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    bucket, label = np.sort(rng.integers(0, 5, 600)), rng.integers(0, 20, 600)
+    fp = fp[rng.permutation(600)]
+    fp = fp[simhash._gray_order(bucket, fp)]
+    got = [p for a, b in simhash.near_pairs(bucket, fp, label, 40, np.zeros(5, dtype=bool)) for p in zip(a.tolist(), b.tolist())]
+    near = np.bitwise_count(fp[:, None] ^ fp[None]).sum(axis=2) <= 40
+    near &= (bucket[:, None] == bucket) & (label[:, None] != label) & np.triu(np.ones((600, 600), dtype=bool), 1)
+    assert sorted(got) == list(zip(*(x.tolist() for x in np.nonzero(near)))) and len(got) > 100
+    words = rng.integers(0, 2**64, size=(3, 301), dtype=np.uint64)
+    assert (simhash._ones(words) == np.unpackbits(words.view(np.uint8).reshape(3, 301, 8), axis=2, bitorder="little").sum(axis=1)).all()

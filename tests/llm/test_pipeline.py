@@ -2,11 +2,12 @@
 
 import collections
 import importlib.util
+import random
 import re
 
 import pytest
 
-from docloom.llm import packing, toxicity
+from docloom.llm import packing, simhash, toxicity
 
 from .test_operators import corpus, crc, library, prose
 
@@ -121,3 +122,50 @@ def test_near_copies_of_five_words(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
     got = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()}
     assert got == {*range(40), *(1000 + i for i in range(40) if not near[i])}
+
+
+def test_near_copies_among_unlike(spark, monkeypatch):
+    """Many variants of a text that share passages but are no near copies of each other lose no link, in dense buckets either."""
+    base, rows = prose(300, 7500).split(), []
+    for i in range(120):
+        words = list(base)
+        places = random.Random(i).sample(range(300), 13)
+        for at in places[:7]:
+            words[at] = f"v{i}w{at}"
+        copy = list(words)
+        for at in places[7:]:
+            copy[at] = f"c{i}w{at}"
+        rows += [(i, " ".join(words)), (1000 + i, " ".join(copy))]
+    sets = [shingles(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if len(a & b) >= 0.8 * len(a | b):
+                low, high = sorted((find(i), find(j)))
+                root[high] = low
+    groups = collections.Counter(map(find, range(len(rows))))
+    assert 100 < len(groups) < 200
+    least = {}
+    for k, (d, _) in enumerate(rows):
+        least[find(k)] = min(d, least.get(find(k), d))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    assert sorted(r["doc_id"] for r in simhash.keep_first(docs).collect()) == sorted(least.values())
+    monkeypatch.setattr(simhash, "DENSE", 0, raising=False)
+    monkeypatch.setattr(simhash, "DENSE_LEAST", 0, raising=False)
+    assert sorted(r["doc_id"] for r in simhash.keep_first(docs).collect()) == sorted(least.values())
+
+
+def test_near_copies_by_fingerprint(spark, monkeypatch):
+    """The pairs come from the index over fingerprints: with a radius of 0 near copies stay, copies go."""
+    text = prose(300, 7600)
+    rows = [(1, text), (2, text.replace(" ", "\n")), (3, text + " more words"), (4, prose(300, 7601))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted(r["doc_id"] for r in simhash.keep_first(docs).collect()) == [1, 4]
+    monkeypatch.setattr(simhash, "NEAR_RADIUS", 0, raising=False)
+    assert sorted(r["doc_id"] for r in simhash.keep_first(docs).collect()) == [1, 3, 4]
