@@ -36,8 +36,8 @@ NEAR_WIDTH, NEAR = 5, 0.8
 WORDS, BLOCK, CHECKED, NEAR_RADIUS = 20, 14, 2, 40
 #: So few words are counted bit by bit.
 FEW = 24
-#: A bucket with more pairs than DENSE a row (and DENSE_LEAST) is compared where it lies, the sets sent to it, and only what verified links have not joined up yet; so many shingles at once.
-DENSE, DENSE_LEAST = 4, 64
+#: A bucket with more pairs than DENSE a row (and DENSE_LEAST) first gives neighbours alone; what their verified links leave apart is compared where it lies, the sets sent to it, AT_ONCE shingles at a time. Of buckets over LARGE all rows count as met.
+DENSE, DENSE_LEAST, LARGE = 4, 64, 4096
 AT_ONCE = 2_000_000
 #: keep_first() sends ids of documents to all tasks while they are no more than this; beyond, texts are shuffled to them.
 SENT_IDS = 1_000_000
@@ -449,16 +449,22 @@ def _whole_keys(batches, names: list[str], most: int):
 
 
 def _placed(table) -> tuple:
-    """(bucket, fp, order) of rows (key, w0, ...) sorted by key: in Gray order, which is order of the rows."""
+    """(bucket, fp, order) of rows (key, w0, ... or fp) sorted by key: in Gray order, which is order of the rows."""
     key = table.column("key").to_numpy()
     bucket = np.cumsum(np.r_[0, key[1:] != key[:-1]])
-    fp = np.stack([table.column(f"w{k}").to_numpy() for k in range(CHECKED)], axis=1).view(np.uint64)
+    if "fp" in table.column_names:
+        fp = np.frombuffer(b"".join(table.column("fp").to_pylist()), dtype=np.uint64).reshape(-1, WORDS)[:, :CHECKED]
+    else:
+        fp = np.stack([table.column(f"w{k}").to_numpy() for k in range(CHECKED)], axis=1).view(np.uint64)
     order = _gray_order(bucket, fp)
     return bucket, fp[order], order
 
 
 def _met(rows: DataFrame, radius: int) -> DataFrame:
-    """(a, b, key) of rows (key, s, w0, ...): pairs of s within the radius that share a bucket; of a dense bucket only its key."""
+    """(a, b, key) of rows (key, s, w0, ...): pairs of s within the radius that share a bucket.
+
+    A dense bucket gives rows (s, null, key) of those with a pair, and (a, b, key) of some next to each other.
+    """
     names = ["key", "s", *(f"w{k}" for k in range(CHECKED))]
 
     def run(batches):
@@ -471,17 +477,24 @@ def _met(rows: DataFrame, radius: int) -> DataFrame:
             bucket, fp, order = _placed(table)
             s = table.column("s").to_numpy()[order]
             size = np.bincount(bucket)
-            count, full = np.zeros(len(size), dtype=np.int64), np.zeros(len(size), dtype=bool)
-            held = []
+            count, over, full = np.zeros(len(size), dtype=np.int64), *np.zeros((2, len(size)), dtype=bool)
+            met, held = np.zeros(len(s), dtype=bool), []
             for a, b in near_pairs(bucket, fp, s, radius, full):
-                held.append((a, b))
+                met[a] = met[b] = True
+                some = ~over[bucket[a]]
+                held.append((a[some], b[some]))
                 count += np.bincount(bucket[a], minlength=len(size))
-                full |= (count > DENSE * size) & (count > DENSE_LEAST)
+                over |= (count > DENSE * size) & (count > DENSE_LEAST)
+                full |= over & (size > LARGE)
             for a, b in held:
-                some = ~full[bucket[a]]
+                some = ~over[bucket[a]]
                 yield sent(s[a[some]], s[b[some]], [None] * int(some.sum()))
-            key = np.unique(table.column("key").to_numpy()[full[bucket]])
-            yield sent([None] * len(key), [None] * len(key), key)
+            key = table.column("key").to_numpy()
+            at = np.flatnonzero(over[bucket] & (met | full[bucket]))
+            yield sent(s[at], [None] * len(at), key[at])
+            a, b = at[:-1], at[1:]
+            a, b = a[key[a] == key[b]], b[key[a] == key[b]]
+            yield sent(s[a], s[b], key[a])
 
     dealt = rows.select(names).repartition("key").sortWithinPartitions("key")
     return dealt.mapInArrow(run, "a bigint, b bigint, key bigint")
@@ -504,11 +517,11 @@ def _shared(codes: np.ndarray, starts: np.ndarray, flag: np.ndarray, a: np.ndarr
 
 
 def _dense_links(rows: DataFrame, radius: int, least: float) -> DataFrame:
-    """(a, b): links between labels that a similarity of at least `least` joins up, of rows (key, s, label, w0, ..., found).
+    """(a, b): links between labels that a similarity of at least `least` joins up, of rows (key, label, fp, found).
 
     All pairs of a bucket within the radius are compared, but for those that earlier ones of the task have joined up.
     """
-    names = ["key", "label", "found", *(f"w{k}" for k in range(CHECKED))]
+    names = ["key", "label", "fp", "found"]
 
     def run(batches):
         import pyarrow as pa
@@ -593,23 +606,29 @@ def similar(marked: DataFrame, docs: DataFrame, width: int, least: float) -> Dat
     not with the square of a group.
     """
     classes = cut(marked.groupBy("s").agg(F.min("d").alias("d"), F.first("fp").alias("fp")), "sets")
-    rows = _blocks(classes)
-    met = cut(_met(rows, NEAR_RADIUS), "met")
-    pairs = cut(met.where("a is not null").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
-    dense = cut(met.where("a is null").select("key").distinct(), "dense")
-    drop(met)
-    crowded = None if dense.isEmpty() else cut(rows.join(_sent(dense), "key", "left_semi"), "crowded")
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("s"))
-    if crowded is not None:
-        needed = needed.unionByName(crowded.select("s"))
-    texts = cut(classes.join(needed.distinct(), "s", "left_semi").select("d").distinct(), "texts")
-    sets = cut(_sets(docs.join(_sent(texts), "d", "left_semi"), width), "shingles")
-    found = cut(_verified(pairs, sets, least), "similar")
-    if crowded is not None:
-        labels = components(found).select(F.col("node").alias("s"), F.col("root").alias("label"))
-        crowded = crowded.join(sets, "s").join(labels, "s", "left").withColumn("label", F.coalesce("label", "s"))
-        found = found.unionByName(cut(_dense_links(crowded, NEAR_RADIUS, least), "similar"))
-    return found
+    met = cut(_met(_blocks(classes), NEAR_RADIUS), "met")
+
+    def sets(needed: DataFrame) -> DataFrame:
+        texts = cut(classes.join(needed.distinct(), "s", "left_semi").select("d").distinct(), "texts")
+        return cut(_sets(docs.join(_sent(texts), "d", "left_semi"), width), "shingles")
+
+    drawn = F.struct(F.xxhash64("a", "b").alias("o"), "b")
+    few = met.where("key is not null and b is not null").groupBy("a").agg(F.min(drawn)["b"].alias("p"), F.max(drawn)["b"].alias("q"))
+    few = few.select("a", F.explode(F.array("p", "q")).alias("b"))
+    pairs = met.where("key is null").select("a", "b").unionByName(few)
+    pairs = cut(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
+    found = cut(_verified(pairs, sets(pairs.select(F.explode(F.array("a", "b")).alias("s"))), least), "similar")
+    dense = met.where("b is null").select(F.col("a").alias("s"), "key")
+    if dense.isEmpty():
+        return found
+    labels = components(found).select(F.col("node").alias("s"), F.col("root").alias("label"))
+    dense = cut(dense.join(labels, "s", "left").withColumn("label", F.coalesce("label", "s")), "dense")
+    apart = cut(dense.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key"), "apart")
+    dense = cut(dense.join(_sent(apart), "key", "left_semi"), "crowded")
+    if dense.isEmpty():
+        return found
+    dense = dense.join(classes.select("s", "fp"), "s").join(sets(dense.select("s")), "s")
+    return found.unionByName(cut(_dense_links(dense, NEAR_RADIUS, least), "similar"))
 
 
 def keep_first(docs: DataFrame, width: int = NEAR_WIDTH, least: float = NEAR) -> DataFrame:
