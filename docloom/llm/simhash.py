@@ -34,10 +34,14 @@ LONG = 4_000_000
 NEAR_WIDTH, NEAR = 5, 0.8
 #: Its fingerprint: WORDS of 64 bits, of which a pair at NEAR differs in 0.15. In one of the 91 blocks of BLOCK bits it agrees with a chance of 0.9999, and in the first CHECKED words it differs in at most NEAR_RADIUS bits with one of over 0.9999.
 WORDS, BLOCK, CHECKED, NEAR_RADIUS = 20, 14, 2, 40
+#: Of all its bits a pair at NEAR differs in 194, standard deviation 13 (sets of 4 and 5 shingles: 240 and 14).
+LONG_RADIUS = 300
 #: So few words are counted bit by bit.
 FEW = 24
-#: A bucket with more pairs than DENSE a row (and DENSE_LEAST) first gives neighbours alone; what their verified links leave apart is compared where it lies, the sets sent to it, AT_ONCE shingles at a time. Of buckets over LARGE all rows count as met.
+#: A bucket with more pairs than DENSE a row (and DENSE_LEAST) first gives neighbours alone; what their verified links leave apart is joined up by the whole fingerprints in groups, to which the sets are sent. Of buckets over LARGE all rows count as met.
 DENSE, DENSE_LEAST, LARGE = 4, 64, 4096
+#: A group of more than 2 * TILE sets is dealt into at most TILES parts, each pair of parts a task's: no set is sent more than TILES - 1 times. A task compares AT_ONCE shingles at a time.
+TILE, TILES = 512, 16
 AT_ONCE = 2_000_000
 #: keep_first() sends ids of documents to all tasks while they are no more than this; beyond, texts are shuffled to them.
 SENT_IDS = 1_000_000
@@ -453,13 +457,21 @@ def _placed(table) -> tuple:
     key = table.column("key").to_numpy()
     bucket = np.cumsum(np.r_[0, key[1:] != key[:-1]])
     if "fp" in table.column_names:
-        fp = np.frombuffer(b"".join(table.column("fp").to_pylist()), dtype=np.uint64).reshape(-1, WORDS)[:, :CHECKED]
+        fp = np.frombuffer(b"".join(table.column("fp").to_pylist()), dtype=np.uint64).reshape(-1, WORDS)
     else:
         fp = np.stack([table.column(f"w{k}").to_numpy() for k in range(CHECKED)], axis=1).view(np.uint64)
-    order = _gray_order(bucket, fp)
+    order = _gray_order(bucket, fp[:, :CHECKED])
     return bucket, fp[order], order
 
 
+def _long_pairs(bucket: np.ndarray, fp: np.ndarray, label: np.ndarray, radius: int, long_radius: int):
+    """The pairs of near_pairs() by the first CHECKED words of fp that differ in at most long_radius bits of all words."""
+    for a, b in near_pairs(bucket, np.ascontiguousarray(fp[:, :CHECKED]), label, radius, np.zeros(bucket[-1] + 1, dtype=bool)):
+        near = np.bitwise_count(fp[a] ^ fp[b]).sum(axis=1, dtype=np.int64) <= long_radius
+        if near.any():
+            yield a[near], b[near]
+
+
 def _met(rows: DataFrame, radius: int) -> DataFrame:
     """(a, b, key) of rows (key, s, w0, ...): pairs of s within the radius that share a bucket.
 
@@ -516,10 +528,42 @@ def _shared(codes: np.ndarray, starts: np.ndarray, flag: np.ndarray, a: np.ndarr
     return np.add.reduceat(hit, ends - lens)
 
 
-def _dense_links(rows: DataFrame, radius: int, least: float) -> DataFrame:
+def _groups(rows: DataFrame, radius: int, long_radius: int) -> DataFrame:
+    """(a, b): edges that join up all s of rows (key, s, label, fp) that share a bucket, have different labels and are within both radii; fewer than rows."""
+    names = ["key", "s", "label", "fp"]
+
+    def run(batches):
+        import pyarrow as pa
+
+        for table in _whole_keys(batches, names, 16_384):
+            bucket, fp, order = _placed(table)
+            s, label = (table.column(c).to_numpy()[order] for c in ("s", "label"))
+            place, root = np.arange(len(s)), np.arange(len(s))
+            for a, b in _long_pairs(bucket, fp, label, radius, long_radius):
+                some = root[a] != root[b]
+                if some.any():
+                    root = reached(len(s), np.r_[place, a[some]], np.r_[root, b[some]])
+            far = np.flatnonzero(root != place)
+            yield pa.RecordBatch.from_arrays([pa.array(s[far]), pa.array(s[root[far]])], names=["a", "b"])
+
+    dealt = rows.select(names).repartition("key").sortWithinPartitions("key")
+    return dealt.mapInArrow(run, "a bigint, b bigint")
+
+
+def _tiled(rows: DataFrame, tile: int, tiles: int) -> DataFrame:
+    """rows (s, root, ...) with their keys: one for all of a root, or of more than 2 * tile one for each two of at most `tiles` parts."""
+    large = rows.groupBy("root").count().where(F.col("count") > 2 * tile).select("root", F.least(F.ceil(F.col("count") / tile).cast("int"), F.lit(tiles)).alias("parts"))
+    rows = rows.join(_sent(large), "root", "left").withColumn("parts", F.coalesce("parts", F.lit(2)))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("s"), "parts").cast("int"))
+    others = F.array_except(F.sequence(F.lit(0), F.col("parts") - 1), F.array("part"))
+    keys = F.transform(others, lambda k: F.xxhash64("root", F.least("part", k), F.greatest("part", k)))
+    return rows.withColumn("keys", keys).drop("root", "parts", "part")
+
+
+def _dense_links(rows: DataFrame, radius: int, long_radius: int, least: float) -> DataFrame:
     """(a, b): links between labels that a similarity of at least `least` joins up, of rows (key, label, fp, found).
 
-    All pairs of a bucket within the radius are compared, but for those that earlier ones of the task have joined up.
+    All pairs of a key within both radii are compared, but for those that earlier ones of the task have joined up.
     """
     names = ["key", "label", "fp", "found"]
 
@@ -536,7 +580,7 @@ def _dense_links(rows: DataFrame, radius: int, least: float) -> DataFrame:
             flag, lens = np.zeros(len(words), dtype=bool), np.diff(starts)
             labels, mine = np.unique(table.column("label").to_numpy()[order], return_inverse=True)
             root = np.arange(len(labels))
-            for a, b in near_pairs(bucket, fp, mine, radius, np.zeros(bucket[-1] + 1, dtype=bool)):
+            for a, b in _long_pairs(bucket, fp, mine, radius, long_radius):
                 some = (root[mine[a]] != root[mine[b]]) & (np.minimum(lens[a], lens[b]) >= least * np.maximum(lens[a], lens[b]))
                 a, b = a[some], b[some]
                 order = np.argsort(a, kind="stable")
@@ -602,8 +646,9 @@ def similar(marked: DataFrame, docs: DataFrame, width: int, least: float) -> Dat
     """(a, b): links that join up all sets with a similarity of at least `least`. marked: as of _sketched(), docs: (d, text).
 
     Sets whose fingerprints share a block meet, and of a bucket all pairs within the radius are compared. Where
-    they are many - large groups of near copies -, sets are sent to the bucket, so rows grow with the sets and
-    not with the square of a group.
+    they are many - large groups of near copies -, verified neighbours are joined up first; the whole fingerprints
+    tell which of the sets still apart may be similar, and each set is sent to the group of those. Joins meet a set
+    once, so rows grow with the sets and not with the buckets of a set or the square of a group.
     """
     classes = cut(marked.groupBy("s").agg(F.min("d").alias("d"), F.first("fp").alias("fp")), "sets")
     met = cut(_met(_blocks(classes), NEAR_RADIUS), "met")
@@ -618,17 +663,18 @@ def similar(marked: DataFrame, docs: DataFrame, width: int, least: float) -> Dat
     pairs = met.where("key is null").select("a", "b").unionByName(few)
     pairs = cut(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
     found = cut(_verified(pairs, sets(pairs.select(F.explode(F.array("a", "b")).alias("s"))), least), "similar")
-    dense = met.where("b is null").select(F.col("a").alias("s"), "key")
+    dense = met.where("b is null").groupBy(F.col("a").alias("s")).agg(F.collect_list("key").alias("keys"))
+    dense = cut(dense.join(classes.select("s", "fp"), "s"), "dense")
     if dense.isEmpty():
         return found
     labels = components(found).select(F.col("node").alias("s"), F.col("root").alias("label"))
-    dense = cut(dense.join(labels, "s", "left").withColumn("label", F.coalesce("label", "s")), "dense")
-    apart = cut(dense.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key"), "apart")
-    dense = cut(dense.join(_sent(apart), "key", "left_semi"), "crowded")
-    if dense.isEmpty():
+    dense = dense.join(labels, "s", "left").withColumn("label", F.coalesce("label", "s"))
+    groups = components(_groups(dense.select(F.explode("keys").alias("key"), "s", "label", "fp"), NEAR_RADIUS, LONG_RADIUS))
+    apart = cut(dense.drop("keys").join(groups.select(F.col("node").alias("s"), "root"), "s"), "apart")
+    if apart.isEmpty():
         return found
-    dense = dense.join(classes.select("s", "fp"), "s").join(sets(dense.select("s")), "s")
-    return found.unionByName(cut(_dense_links(dense, NEAR_RADIUS, least), "similar"))
+    apart = _tiled(apart, TILE, TILES).join(sets(apart.select("s")), "s").withColumn("key", F.explode("keys"))
+    return found.unionByName(cut(_dense_links(apart, NEAR_RADIUS, LONG_RADIUS, least), "similar"))
 
 
 def keep_first(docs: DataFrame, width: int = NEAR_WIDTH, least: float = NEAR) -> DataFrame:

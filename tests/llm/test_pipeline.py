@@ -169,3 +169,38 @@ def test_near_copies_by_fingerprint(spark, monkeypatch):
     assert sorted(r["doc_id"] for r in simhash.keep_first(docs).collect()) == [1, 4]
     monkeypatch.setattr(simhash, "NEAR_RADIUS", 0, raising=False)
     assert sorted(r["doc_id"] for r in simhash.keep_first(docs).collect()) == [1, 3, 4]
+
+
+def test_dense_sets_are_sent_once(spark, monkeypatch):
+    """Of a group of unlike variants each set is sent to one task, however many buckets it shares, or to few if the group is large."""
+    rows = []
+    for i in range(120):
+        words = prose(300, 7700).split()
+        places = random.Random(i).sample(range(300), 16)
+        for at in places[:7]:
+            words[at] = f"v{i}w{at}"
+        copy = list(words)
+        for at in places[7 : 7 + i % 4 * 3]:
+            copy[at] = f"c{i}w{at}"
+        rows += [(i, " ".join(words)), (1000 + i, " ".join(copy))]
+    sets = [shingles(t) for _, t in rows]
+    near = {(rows[i][0], rows[j][0]) for i, a in enumerate(sets) for j, b in enumerate(sets) if i != j and len(a & b) >= 0.8 * len(a | b)}
+    assert all(abs(a - b) == 1000 for a, b in near) and 60 < len(near) // 2 < 120
+    want = [d for d, _ in rows if (d, d - 1000) not in near]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    monkeypatch.setattr(simhash, "DENSE", 0)
+    monkeypatch.setattr(simhash, "DENSE_LEAST", 0)
+    dense_links, sent = simhash._dense_links, []
+
+    def spy(found, *args):
+        sent.extend(r["n"] for r in found.groupBy("found").count().withColumnRenamed("count", "n").collect())
+        return dense_links(found, *args)
+
+    monkeypatch.setattr(simhash, "_dense_links", spy)
+    assert sorted(r["doc_id"] for r in simhash.keep_first(docs).collect()) == sorted(want)
+    assert len(sent) > 100 and set(sent) == {1}
+    sent.clear()
+    monkeypatch.setattr(simhash, "TILE", 16)
+    monkeypatch.setattr(simhash, "TILES", 4)
+    assert sorted(r["doc_id"] for r in simhash.keep_first(docs).collect()) == sorted(want)
+    assert len(sent) > 100 and set(sent) == {3}
