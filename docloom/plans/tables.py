@@ -8,26 +8,43 @@ from pyspark.sql import functions as F
 from ..functions.text import normal
 
 LINES, TOP, LEFT, STEP = 48, 720, 72, 14
+# Rows taken from a batch at once, bytes of PDFs handed on at once, tasks a core.
+STRETCH, BYTES, TASKS = 32, 4_000_000, 4
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def pdf_batches(batches, make=None):
+    """Arrow batches of rows to ones of (doc_id, PDF) that end with the document that fills them, whatever the size of those that come in."""
+    import pyarrow as pa
+
+    from ..sources.synth import text_pdf
+
+    packed = lambda ids, made: pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(made, pa.binary())], names=["doc_id", "content"])
+    for batch in batches:
+        ids, made, size = [], [], 0
+        for k in range(0, batch.num_rows, STRETCH):
+            for r in batch.slice(k, STRETCH).to_pylist():
+                made.append(make(r) if make else text_pdf(r["text"], title=f"{r['source']} {r['lang']}"))
+                ids.append(r["doc_id"])
+                size += len(made[-1])
+                if size >= BYTES:
+                    yield packed(ids, made)
+                    ids, made, size = [], [], 0
+        yield packed(ids, made)
+
+
 def pdf_corpus(spark: SparkSession, sf_dir: str, make=None, columns: tuple[str, ...] = ("doc_id", "text", "lang", "source")) -> DataFrame:
     """(doc_id, content): a PDF of each document, made by make(row) (default: its text, with lang and source for a title)."""
 
     def run(batches):
-        import pyarrow as pa
-
-        from ..sources.synth import text_pdf
-
-        for batch in batches:
-            made = [make(r) if make else text_pdf(r["text"], title=f"{r['source']} {r['lang']}") for r in batch.to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(made, pa.binary())], names=["doc_id", "content"])
+        return pdf_batches(batches, make)
 
-    # A kernel's work is per document, whatever the files' splits.
-    return read(spark, sf_dir, "documents").select(*columns).repartition(spark.sparkContext.defaultParallelism).mapInArrow(run, "doc_id bigint, content binary")
+    # A kernel's work is per document, whatever the files' splits; more tasks than cores, so that none lags and each is small.
+    n = max(TASKS * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return read(spark, sf_dir, "documents").select(*columns).repartition(n).mapInArrow(run, "doc_id bigint, content binary")
 
 
 def text_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
