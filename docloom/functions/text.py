@@ -30,7 +30,8 @@ def is_list(text: Column) -> Column:
 
 
 def is_sentence(text: Column) -> Column:
-    return (F.size(words(text)) >= 8) & (text.rlike(SENTENCE_END) | text.rlike(r"[,;]\s"))
+    # Eight words and the blanks between are 15 characters: shorter texts need no search.
+    return (F.length(text) >= 15) & (F.size(words(text)) >= 8) & (text.rlike(SENTENCE_END) | text.rlike(r"[,;]\s"))
 
 
 def ends_sentence(text: Column) -> Column:
@@ -52,7 +53,7 @@ def label_marks(text: Column) -> Column:
 def has_numbers(text: Column) -> Column:
     """Two numeric words, an amount or measure, or a leading number."""
     numeric = F.size(F.filter(F.split(text, " "), lambda w: w.rlike(r"^[(+-]?(?:\d[\d.,]*|[.,]\d+)[%)]?$")))
-    return (numeric >= 2) | text.rlike(r"(?i)[$€£¥]\s*\d|\d\s*(?:%|[$€£¥]|(?:mm|cm|kg|kw|kwh)\b)") | text.rlike(r"^\d{2,}\s+\S")
+    return text.rlike(r"\d") & ((numeric >= 2) | text.rlike(r"(?i)[$€£¥]\s*\d|\d\s*(?:%|[$€£¥]|(?:mm|cm|kg|kw|kwh)\b)") | text.rlike(r"^\d{2,}\s+\S"))
 
 
 def boundary_key(text: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.columns import STRETCH, offsets, unswept, values
 
 PAGE = ("doc_id", "page_number")
 
@@ -50,13 +51,20 @@ def with_lines(runs: DataFrame) -> DataFrame:
     return marked.withColumn("line", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("_new")
 
 
-def lines(runs: DataFrame) -> DataFrame:
-    """(doc_id, page_number, id, line, text, run_ids, x, y, font_size, vertical): one row a line; the commonest font size, the larger of equals."""
-    rows = F.array_sort(F.collect_list(F.struct("content_order", "id", T.normal(F.col("text")).alias("text"), "x", "y", "font_size")))
+def lines(runs: DataFrame, keep: bool = False) -> DataFrame:
+    """(doc_id, page_number, id, line, text, run_ids, x, y, font_size, vertical[, runs]): one row a line; the commonest font size, the larger of equals.
+
+    keep: lines hold their runs as they came, and those without text stay, with an empty one.
+    """
+    raw = [F.col("text").alias("raw")] if keep else []
+    rows = F.array_sort(F.collect_list(F.struct("content_order", "id", T.normal(F.col("text")).alias("text"), "x", "y", "font_size", *raw)))
     grouped = with_lines(runs).groupBy(*PAGE, "line").agg(rows.alias("rows"), F.first("_vertical").alias("vertical"))
     sizes = F.filter(F.col("rows.font_size"), lambda s: s.isNotNull())
     counts = F.transform(F.array_distinct(sizes), lambda s: F.struct(F.size(F.filter(sizes, lambda o: o == s)).alias("n"), s.alias("size")))
-    out = grouped.select(*PAGE, F.concat_ws("-", F.lit("block"), "page_number", "line").alias("id"), "line", T.joined(F.col("rows.text")).alias("text"), F.col("rows.id").alias("run_ids"), F.col("rows")[0]["x"].alias("x"), F.col("rows")[0]["y"].alias("y"), F.array_max(counts)["size"].alias("font_size"), "vertical")
+    out = grouped.select(*PAGE, F.concat_ws("-", F.lit("block"), "page_number", "line").alias("id"), "line", T.joined(F.col("rows.text")).alias("text"), F.col("rows.id").alias("run_ids"), F.col("rows")[0]["x"].alias("x"), F.col("rows")[0]["y"].alias("y"), F.array_max(counts)["size"].alias("font_size"), "vertical", *(["rows"] if keep else []))
+    if keep:
+        held = F.transform("rows", lambda r: F.struct(r["id"].alias("id"), r["raw"].alias("text"), r["font_size"].alias("font_size"), r["content_order"].alias("content_order")))
+        return out.withColumn("runs", held).drop("rows")
     return out.where("text <> ''")
 
 
@@ -117,16 +125,23 @@ def ordered(table: DataFrame) -> DataFrame:
         from .regions import table_lines
 
         made = []
-        for page in rows.to_pylist():
-            order = page_order([r["x"] for r in page], [r["y"] for r in page], [r["font_size"] for r in page], [r["text"] for r in page], bool(page[0]["vertical"]))
-            table, head = table_lines([page[i] for i in order])
-            parts = {b["id"]: "body" for b in table} | {b["id"]: "header" for b in head}
-            made.append([{"at": i, "part": parts.get(page[i]["id"])} for i in order])
-        return pa.array(made, pa.list_(pa.struct([("at", pa.int32()), ("part", pa.string())])))
+        for k in range(0, len(rows), STRETCH):
+            orders, parts = [], []
+            with unswept():
+                pages = values(rows.slice(k, STRETCH))
+            for page in pages:
+                order = page_order([r["x"] for r in page], [r["y"] for r in page], [r["font_size"] for r in page], [r["text"] for r in page], bool(page[0]["vertical"]))
+                table, head = table_lines([page[i] for i in order])
+                of = {b["id"]: "body" for b in table} | {b["id"]: "header" for b in head}
+                orders.append(order)
+                parts += [of.get(page[i]["id"]) for i in order]
+            each = pa.StructArray.from_arrays([pa.array([i for o in orders for i in o], pa.int32()), pa.array(parts, pa.string())], names=["at", "part"])
+            made.append(pa.ListArray.from_arrays(offsets([len(o) for o in orders]), each))
+        return pa.concat_arrays(made) if made else pa.array([], pa.list_(pa.struct([("at", pa.int32()), ("part", pa.string())])))
 
     own = [c for c in table.columns if c not in PAGE]
     packed = table.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("line", *(c for c in own if c != "line")))).alias("rows"))
-    seen = F.transform("rows", lambda r: evidence(r).withField("vertical", r["vertical"]))
+    seen = F.transform("rows", lambda r: evidence(r, r["vertical"].alias("vertical")))
     packed = packed.withColumn("order", places(seen))
     each = packed.select(*PAGE, F.posexplode(F.transform("order", lambda o: F.struct(F.element_at("rows", o["at"] + 1).alias("r"), o["part"].alias("part")))).alias("reading_order", "z"))
     return each.select(*PAGE, *(F.col(f"z.r.{c}").alias(c) for c in own), "reading_order", F.col("z.part").alias("table_part"))

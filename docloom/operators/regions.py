@@ -6,6 +6,7 @@ single text tells - numbers, sentences, labels - comes with the lines as Columns
 
 from __future__ import annotations
 
+from functools import lru_cache
 from math import ceil
 from statistics import fmean, median
 
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.columns import STRETCH, offsets, unswept, values
 from .layout import PAGE
 
 # Tolerances in points and in font sizes, lengths in characters, confidences.
@@ -28,11 +30,11 @@ TABLE_SURE, FORM_SURE = (0.68, 0.015, 0.2, 0.93), (0.5, 0.045, 0.72)
 REGIONS = "array<struct<kind:string,block_ids:array<string>,header_ids:array<string>,confidence:double>>"
 
 
-def evidence(row: Column) -> Column:
-    """What the kernels see of a line."""
+def evidence(row: Column, *more: Column) -> Column:
+    """What the kernels see of a line, and more; one struct, as withField() would tell the evidence anew for each field."""
     text = row["text"]
     own = [row[c].alias(c) for c in ("id", "text", "x", "y", "font_size")]
-    return F.struct(*own, T.has_numbers(text).alias("numeric"), T.is_sentence(text).alias("sentence"), T.label_marks(text).cast("int").alias("labels"), F.size(T.words(text)).alias("words"))
+    return F.struct(*own, T.has_numbers(text).alias("numeric"), T.is_sentence(text).alias("sentence"), T.label_marks(text).cast("int").alias("labels"), F.size(T.words(text)).alias("words"), *more)
 
 
 def size_of(line: dict) -> float:
@@ -147,7 +149,26 @@ def _below(label: dict, b: dict) -> bool:
 
 
 def page_regions(lines: list[dict]) -> list[dict]:
-    """The table and the form of a page, if it has them."""
+    """The table and the form of a page, if it has them.
+
+    Of a text only its length and its evidence count, so pages that are alike in that and in their lines' places share one search.
+    """
+    ids = [b["id"] for b in lines]
+    if len(set(ids)) < len(ids):
+        return _search(lines)
+    found = _shape(tuple([(b["x"], b["y"], b["font_size"], len(b["text"]), b["numeric"], b["sentence"], b["labels"], b["words"]) for b in lines]))
+    return [{"kind": kind, "block_ids": [ids[k] for k in own], "header_ids": [ids[k] for k in head], "confidence": sure} for kind, own, head, sure in found]
+
+
+@lru_cache(1024)
+def _shape(lines: tuple) -> list[tuple]:
+    """Regions of lines of which no more than this is known, by the lines' places in the tuple."""
+    names = ("x", "y", "font_size", "text", "numeric", "sentence", "labels", "words")
+    rows = [{"id": k} | dict(zip(names, (*line[:3], "x" * line[3], *line[4:]))) for k, line in enumerate(lines)]
+    return [tuple(r.values()) for r in _search(rows)]
+
+
+def _search(lines: list[dict]) -> list[dict]:
     out = []
     table, head = table_lines(lines)
     if table:
@@ -162,6 +183,13 @@ def page_regions(lines: list[dict]) -> list[dict]:
 
 def regions(blocks: DataFrame) -> DataFrame:
     """(doc_id, page_number, id, kind, block_ids, header_ids, confidence[, run_ids]): at most a table and a form a page."""
+    with_runs = "run_ids" in blocks.columns
+    rows = F.array_sort(F.collect_list(F.struct("reading_order", "id", "text", "x", "y", "font_size", *(["run_ids"] if with_runs else []))))
+    return regions_of(blocks.groupBy(*PAGE).agg(rows.alias("rows")), with_runs)
+
+
+def regions_of(pages: DataFrame, with_runs: bool = False) -> DataFrame:
+    """The same of pages whose lines, in reading order, are the structs of rows."""
     from pyspark.sql.functions import arrow_udf
 
     @arrow_udf(REGIONS)
@@ -169,11 +197,17 @@ def regions(blocks: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         item = pa.struct([("kind", pa.string()), ("block_ids", pa.list_(pa.string())), ("header_ids", pa.list_(pa.string())), ("confidence", pa.float64())])
-        return pa.array([page_regions(p) for p in pages.to_pylist()], pa.list_(item))
-
-    with_runs = "run_ids" in blocks.columns
-    packed = blocks.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("reading_order", "id", "text", "x", "y", "font_size", *(["run_ids"] if with_runs else [])))).alias("rows"))
-    each = packed.withColumn("r", F.explode(found(F.transform("rows", evidence))))
+        made = []
+        for k in range(0, len(pages), STRETCH):
+            with unswept():
+                of = [page_regions(p) for p in values(pages.slice(k, STRETCH))]
+                each = [r for p in of for r in p]
+            lists = [pa.ListArray.from_arrays(offsets([len(r[c]) for r in each]), pa.array([i for r in each for i in r[c]], pa.string())) for c in ("block_ids", "header_ids")]
+            rows = pa.StructArray.from_arrays([pa.array([r["kind"] for r in each], pa.string()), *lists, pa.array([r["confidence"] for r in each], pa.float64())], fields=list(item))
+            made.append(pa.ListArray.from_arrays(offsets([len(p) for p in of]), rows))
+        return pa.concat_arrays(made) if made else pa.array([], pa.list_(item))
+
+    each = pages.withColumn("r", F.explode(found(F.transform("rows", lambda b: evidence(b)))))
     owned = F.filter("rows", lambda b: F.array_contains(F.col("r.block_ids"), b["id"]))
     runs = [F.array_distinct(F.flatten(F.transform(owned, lambda b: b["run_ids"]))).alias("run_ids")] if with_runs else []
     kind = F.when(F.col("r.kind") == "table", "region-table").otherwise("region-form")

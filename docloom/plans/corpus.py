@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import unswept
 from ..sources.crypto import permissions
 from ..sources.store import Document, Policy
 from ..sources.values import PdfError, Ref, Stream, format_value
@@ -299,7 +300,8 @@ class Corpus:
                 for doc_id, content, password in zip(batch.column("doc_id").to_pylist(), batch.column("content"), batch.column("password").to_pylist()):
                     own, content = (password,) if password is not None else (), content.as_py()
                     try:
-                        mine = [{"doc_id": doc_id, **r} for r in of(content, own + passwords, policy)]
+                        with unswept():
+                            mine = [{"doc_id": doc_id, **r} for r in of(content, own + passwords, policy)]
                     except (PdfError, RecursionError, ValueError, TypeError, KeyError, IndexError, AttributeError):
                         if whole:
                             raise

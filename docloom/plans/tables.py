@@ -16,6 +16,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tasks(spark: SparkSession) -> int:
+    """How many tasks kernels are dealt to: more than cores, so that none lags and each is small."""
+    return max(TASKS * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def pdf_batches(batches, make=None):
     """Arrow batches of rows to ones of (doc_id, PDF) that end with the document that fills them, whatever the size of those that come in."""
     import pyarrow as pa
@@ -42,9 +47,8 @@ def pdf_corpus(spark: SparkSession, sf_dir: str, make=None, columns: tuple[str,
     def run(batches):
         return pdf_batches(batches, make)
 
-    # A kernel's work is per document, whatever the files' splits; more tasks than cores, so that none lags and each is small.
-    n = max(TASKS * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return read(spark, sf_dir, "documents").select(*columns).repartition(n).mapInArrow(run, "doc_id bigint, content binary")
+    # A kernel's work is per document, whatever the files' splits.
+    return read(spark, sf_dir, "documents").select(*columns).repartition(tasks(spark)).mapInArrow(run, "doc_id bigint, content binary")
 
 
 def text_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
