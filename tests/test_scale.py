@@ -5,7 +5,8 @@ import time
 import pyarrow as pa
 import pytest
 
-from docloom.operators import content
+from docloom.functions import columns, numerals
+from docloom.operators import content, knowledge, regions
 from docloom.plans import corpus as C
 from docloom.plans import tables, variants
 from docloom.plans.queries import QUERIES
@@ -85,3 +86,54 @@ def test_judged_documents(spark):
     rows = [(k, bytearray(variants.mixed({**ROW, "doc_id": k}))) for k in range(8)] + [(8, None)]
     judged = C.Corpus(spark.createDataFrame(rows, "doc_id bigint, content binary"), Policy()).judged()
     assert {r["doc_id"]: r["status"] for r in judged.collect()} == dict(enumerate("completed completed partial failed blocked blocked completed completed blocked".split()))
+
+
+@pytest.mark.parametrize("name", ["layout_tables", "layout_regions", "cell_citations", "table_compact_rows", "table_run_sequence"])
+def test_lineitems_are_dealt_once(spark, name):
+    shown = plan(QUERIES[name](spark, SF))
+    assert shown.count("Relation [") == 1 and "Join" not in shown and "Union" not in shown
+    physical = QUERIES[name](spark, SF)._jdf.queryExecution().sparkPlan().toString()
+    executed = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert executed.count("Exchange") == 1, physical
+
+
+def test_lists_inside_a_page_are_not_null(spark):
+    """Null lists make Spark's Arrow writer walk over a whole batch for each of its rows."""
+    blocks = spark.createDataFrame([(1, 1, "block-1-1", 0, "a", 1.0, 1.0, 12.0)], "doc_id long, page_number int, id string, reading_order int, text string, x double, y double, font_size double")
+    shown = knowledge.tables(blocks)._jdf.queryExecution().analyzed().toString()
+    assert "null as array<string>) AS run_ids" in shown and "coalesce(" in shown
+
+
+def lines(page, text):
+    return [{"id": f"b-{page}-{k}", "text": text(k), "x": 72.0 + 100 * (k % 3), "y": 700.0 - 20 * (k // 3), "font_size": 12.0, "numeric": k > 2, "sentence": False, "labels": 0, "words": 1, "reading_order": k, "role": None, "run_ids": []} for k in range(12)]
+
+
+def test_pages_alike_share_one_search(monkeypatch):
+    searched = []
+    monkeypatch.setattr(regions, "_search", lambda rows, _of=regions._search: searched.append(1) or _of(rows))
+    regions._shape.cache_clear()
+    knowledge._grids.cache_clear()
+    for page in range(50):
+        rows = lines(page, lambda k: ("abc"[k % 3] if k < 3 else str(page + k)[-1]) * 2)
+        (region,) = regions.page_regions(rows)
+        assert region["block_ids"] == [b["id"] for b in rows] and region["header_ids"] == [b["id"] for b in rows[:3]]
+        (t,) = knowledge.page_tables(rows)
+        assert t["headers"] == ["aa", "bb", "cc"] and [b["text"] for r in t["rows"] for _, b in r] == [b["text"] for b in rows[3:]]
+    assert len(searched) == 1 and knowledge._grids.cache_info().misses == 1
+    twice = [b | {"id": "same"} for b in lines(0, lambda k: "ab" if k < 3 else "11")]
+    assert regions.page_regions(twice) == regions._search(twice)
+
+
+def test_ids_of_a_batch():
+    texts = ["", "a", "\u00e9" * 70, "x" * 500, "\U0001f600b", "\ud800"] + [f"text {k}" * (k % 7) for k in range(60)]
+    assert numerals.fnv1a_all(texts).tolist() == [numerals.fnv1a(t) for t in texts]
+    parts = [[t, None, 3] for t in texts]
+    assert numerals.stable_id_all("p", texts, parts) == [numerals.stable_id("p", t, p) for t, p in zip(texts, parts)]
+    assert numerals.stable_id_all("p", [], []) == []
+
+
+def test_values_by_columns():
+    kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.string()), ("c", pa.list_(pa.string()))]))
+    array = pa.array([[{"a": 1, "b": "x", "c": ["p", None]}, {"a": None, "b": None, "c": None}], None, [], [None, {"a": 3, "b": "y", "c": []}]], kind)
+    for part in (array, array.slice(1), array.slice(2, 2), array.slice(0, 1), array.slice(4)):
+        assert columns.values(part) == part.to_pylist()
