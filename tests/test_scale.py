@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 
 from docloom.functions import columns, numerals
-from docloom.operators import content, knowledge, regions
+from docloom.operators import content, knowledge, layout, regions
 from docloom.plans import corpus as C
 from docloom.plans import tables, variants
 from docloom.plans.queries import QUERIES
@@ -137,3 +137,23 @@ def test_values_by_columns():
     array = pa.array([[{"a": 1, "b": "x", "c": ["p", None]}, {"a": None, "b": None, "c": None}], None, [], [None, {"a": 3, "b": "y", "c": []}]], kind)
     for part in (array, array.slice(1), array.slice(2, 2), array.slice(0, 1), array.slice(4)):
         assert columns.values(part) == part.to_pylist()
+
+
+def test_pages_are_ordered_in_stretches():
+    import tracemalloc
+
+    kind = pa.struct([("id", pa.string()), ("text", pa.string()), ("x", pa.float64()), ("y", pa.float64()), ("font_size", pa.float64()), ("numeric", pa.bool_()), ("sentence", pa.bool_()), ("labels", pa.int32()), ("words", pa.int32()), ("vertical", pa.bool_())])
+    page = [{"id": f"block-1-{k}", "text": f"words of line {k}", "x": 72.0, "y": 720.0 - 14 * k, "font_size": 12.0, "numeric": False, "sentence": False, "labels": 0, "words": 4, "vertical": False} for k in range(10)]
+    pages = pa.array([page] * 2000, pa.list_(kind))
+    tracemalloc.start()
+    made = layout.page_places(pages)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert made.to_pylist() == [[{"at": k, "part": None} for k in range(10)]] * 2000
+    assert most < 6_000_000  # all pages at once are about 20 MB
+
+
+def test_evidence_is_told_once(spark):
+    runs = spark.createDataFrame([(1, 1, "run-1-1", 0, "a", 1.0, 1.0, 12.0, True, "horizontal")], "doc_id long, page_number int, id string, content_order int, text string, x double, y double, font_size double, starts_new_line boolean, writing_mode string")
+    found = knowledge.tables(layout.blocks(runs))
+    assert "update_fields" not in found._jdf.queryExecution().analyzed().toString()
